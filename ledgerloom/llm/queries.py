@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality_rules, secrets, simhash, topk
+from . import chat, classifier, html, mixing, packing, quality_rules, secrets, simhash, topk
 from .common import table
 
 
@@ -27,10 +27,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(table(spark, sf_dir, "conversations"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -41,11 +53,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_html": op4_html,
     "op5_quality_rules": op5_quality_rules,
+    "op6_classifier": op6_classifier,
     "op7_topk": op7_topk,
+    "op8_chat": op8_chat,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
 }

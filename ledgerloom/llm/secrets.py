@@ -222,30 +222,40 @@ def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_str
     return out
 
 
-def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
-    """(doc_id, text, spans array<struct<kind, start, end>>) for every row of ``docs(doc_id, text)``.
-
-    Spans are in code points, end exclusive, by start and then kind. Texts stay
-    as they are, null ones too, which have no span; repeated rows and null ids
-    stay; an empty table gives no rows; other columns are ignored. Without
-    ``formats`` these are learned from a bounded sample of ``docs``.
+def scan(docs: DataFrame, formats: Formats | None = None, keep: tuple[str, ...] = ("doc_id", "text"), mark: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``spans`` array<struct<kind, start, end>>, for every row.
+
+    Spans are in code points of ``text``, end exclusive, by start and then kind.
+    With ``mark``, text is replaced by its redacted form and n_chars, if kept,
+    follows. A null text stays and has no span; repeated rows and null ids stay;
+    an empty table gives no rows; other columns are ignored. Without ``formats``
+    these are learned from a bounded sample of ``docs``.
     """
     ship(docs.sparkSession)
     if formats is None:
         formats = Formats.learn(labelled_strings(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+    docs = docs.select(*keep)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                found = sorted(base + formats.spans(text, base))
+            texts, spans = batch.column("text").to_pylist(), []
+            for i, text in enumerate(texts):
+                base = base_spans(text or "")
+                found = sorted(base + formats.spans(text or "", base))
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, schema.field("spans").type)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, spans array<struct<kind: string, start: long, end: long>>")
+                if mark is not None:
+                    texts[i] = redact(text, spans[-1], mark)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"spans": pa.array(spans, kind)}
+            if mark is not None:
+                columns["text"] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    before = columns["n_chars"].to_pylist()
+                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, before, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def redact(text: str | None, spans: list[dict], mark: str = "[{kind}]") -> str | None:

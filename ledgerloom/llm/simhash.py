@@ -81,7 +81,7 @@ def _emit(part: int, buckets: int, radius: int):
                 mine, bucket = mine[order], bucket[order]
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 found = values[mine], (mine % len(masks)).astype(np.uint16)
-                blobs = [[x[i:j].tobytes() for i, j in zip(edges, [*edges[1:], len(mine)], strict=True)] for x in found]
+                blobs = [[x[i:j].tobytes() for i, j in zip(edges, [*edges[1:], len(mine)][: len(edges)], strict=True)] for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "v", "m"])
 
     return run

@@ -1 +1 @@
-
+"""Column functions of archives."""

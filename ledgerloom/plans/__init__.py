@@ -1 +1 @@
-
+"""Whole operations, and the table queries."""

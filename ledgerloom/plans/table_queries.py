@@ -1,4 +1,429 @@
-"""The archive operators as queries over parquet tables."""
+"""The archive operators as queries over parquet tables, each with DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+An order stands for a ledger: its sequence is the order key, its hash that of
+its fields, and its predecessor's hash its link, with deterministic tampering
+so that checks find something. The order's line items are its transaction set
+and, by another hash, its results. Document texts stand for buckets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import checkpoints as cps
+from ledgerloom.functions.states import LEVEL, STATE, bucket_hashes, state_error
+from ledgerloom.operators import failures as failing
+from ledgerloom.operators import verify as checks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _seq(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("seq"))
+
+
+# --- arithmetic, paths, hashes ---------------------------------------------------
+
+
+@_query("""SELECT CAST(o_orderkey AS BIGINT) AS seq, o_orderkey > 0 AND (o_orderkey + 1) % 64 = 0 AS is_cp,
+  CAST(greatest(63, (o_orderkey + 1) // 64 * 64 - 1) AS BIGINT) AS low, CAST(o_orderkey // 64 * 64 + 63 AS BIGINT) AS high,
+  CAST((o_orderkey // 64 * 64 + 63 - 63) // 64 + 1 AS BIGINT) AS n,
+  CAST(CASE WHEN o_orderkey // 64 = 0 THEN 1 ELSE o_orderkey // 64 * 64 END AS BIGINT) AS first FROM orders""")
+def checkpoint_math(spark, d):
+    seq = F.col("seq")
+    high = cps.ceil_checkpoint(seq)
+    return _seq(spark, d).select(
+        "seq", cps.is_checkpoint(seq).alias("is_cp"), cps.floor_checkpoint(seq).alias("low"), high.alias("high"),
+        cps.count_checkpoints(F.lit(cps.FIRST).cast("bigint"), high).alias("n"), cps.first_ledger(high).alias("first"),
+    )
+
+
+_CP = "o_orderkey * 98317 % 4294967296 // 64 * 64 + 63"
+_PREFIX = "printf('%02x/%02x/%02x', cp >> 24, (cp >> 16) & 255, (cp >> 8) & 255)"
+
+
+def _wide_checkpoints(spark, d):
+    return _seq(spark, d).select(cps.ceil_checkpoint(F.col("seq") * 98317 % (1 << 32)).alias("cp"))
+
+
+@_query(f"""WITH c AS (SELECT CAST({_CP} AS BIGINT) AS cp FROM orders)
+SELECT cp, {_PREFIX} AS prefix, 'history/' || {_PREFIX} || '/history-' || printf('%08x', cp) || '.json' AS history,
+  'ledger/' || {_PREFIX} || '/ledger-' || printf('%08x', cp) || '.xdr.gz' AS ledger FROM c""")
+def checkpoint_paths(spark, d):
+    cp = F.col("cp")
+    return _wide_checkpoints(spark, d).select("cp", cps.checkpoint_prefix(cp).alias("prefix"), *(cps.checkpoint_path(F.lit(k), cp).alias(k) for k in ("history", "ledger")))
+
+
+@_query(f"""WITH c AS (SELECT o_orderkey, CAST({_CP} AS BIGINT) AS cp FROM orders), p AS (
+  SELECT CASE o_orderkey % 7 WHEN 0 THEN 'history/' || printf('%08x', cp) || '/history-' || printf('%08x', cp) || '.json'
+    WHEN 1 THEN 'ledger/x/ledger-' || printf('%08x', cp) || '.xdr.gz' WHEN 2 THEN 'scp/x/scp-' || printf('%08x', cp) || '.xdr.gz'
+    WHEN 3 THEN 'bucket/ab/bucket-' || upper(sha256(CAST(cp AS VARCHAR))) || '.xdr.gz' WHEN 4 THEN 'results/x/results-' || printf('%08x', cp) || '.xdr.gz'
+    WHEN 5 THEN 'bucket/ab/bucket-' || printf('%08x', cp) || '.xdr.gz' ELSE 'transactions/x/transactions-zz.xdr.gz' END AS path, cp, o_orderkey % 7 AS k FROM c)
+SELECT path, CASE WHEN k IN (0, 1, 2, 4, 5) THEN cp ELSE -1 END AS cp, CASE k WHEN 3 THEN sha256(CAST(cp AS VARCHAR)) END AS hash,
+  CASE k WHEN 0 THEN 'history' WHEN 1 THEN 'ledger' WHEN 2 THEN 'scp' WHEN 3 THEN 'bucket' WHEN 4 THEN 'results' WHEN 6 THEN 'transactions' END AS kind,
+  CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 16 WHEN 4 THEN 8 WHEN 6 THEN 4 ELSE -1 END AS INTEGER) AS flag FROM p""")
+def path_parse(spark, d):
+    cp = cps.ceil_checkpoint(F.col("seq") * 98317 % (1 << 32))
+    h, k = F.lower(F.lpad(F.hex(cp), 8, "0")), F.col("seq") % 7
+    path = (
+        F.when(k == 0, F.concat(F.lit("history/"), h, F.lit("/history-"), h, F.lit(".json")))
+        .when(k == 1, F.concat(F.lit("ledger/x/ledger-"), h, F.lit(".xdr.gz"))).when(k == 2, F.concat(F.lit("scp/x/scp-"), h, F.lit(".xdr.gz")))
+        .when(k == 3, F.concat(F.lit("bucket/ab/bucket-"), F.upper(F.sha2(cp.cast("string"), 256)), F.lit(".xdr.gz")))
+        .when(k == 4, F.concat(F.lit("results/x/results-"), h, F.lit(".xdr.gz"))).when(k == 5, F.concat(F.lit("bucket/ab/bucket-"), h, F.lit(".xdr.gz")))
+        .otherwise("transactions/x/transactions-zz.xdr.gz")
+    )
+    path_ = F.col("path")
+    kind = cps.kind_of_path(path_)
+    return _seq(spark, d).select(path.alias("path")).select("path", F.coalesce(cps.checkpoint_from_path(path_), F.lit(-1)).alias("cp"), cps.hash_from_path(path_).alias("hash"), kind.alias("kind"), F.coalesce(cps.flag_of_kind(kind), F.lit(-1)).alias("flag"))
+
+
+_SOME_HASH = "CASE doc_id % 5 WHEN 0 THEN sha256(text) WHEN 1 THEN upper(sha256(text)) WHEN 2 THEN repeat('0', 64) WHEN 3 THEN left(sha256(text), 63) ELSE left(sha256(text), 63) || 'g' END"
+
+
+def _some_hashes(spark, d):
+    h, k = F.sha2("text", 256), F.col("doc_id") % 5
+    some = F.when(k == 0, h).when(k == 1, F.upper(h)).when(k == 2, cps.ZERO_HASH).when(k == 3, F.substring(h, 1, 63)).otherwise(F.concat(F.substring(h, 1, 63), F.lit("g")))
+    return _table(spark, d, "documents").select("doc_id", some.alias("hash"))
+
+
+@_query(f"SELECT doc_id, hash, regexp_full_match(hash, '[0-9a-fA-F]{{64}}') AS valid, hash = repeat('0', 64) AS zero FROM (SELECT doc_id, {_SOME_HASH} AS hash FROM documents)")
+def hash_validity(spark, d):
+    h = F.col("hash")
+    return _some_hashes(spark, d).select("doc_id", "hash", cps.is_valid_hash(h).alias("valid"), cps.is_zero_hash(h).alias("zero"))
+
+
+@_query("SELECT doc_id, 'bucket/' || h[1:2] || '/' || h[3:4] || '/' || h[5:6] || '/bucket-' || h || '.xdr.gz' AS path FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
+def bucket_paths(spark, d):
+    return _table(spark, d, "documents").select("doc_id", cps.bucket_path(F.sha2("text", 256)).alias("path"))
+
+
+@_query("""SELECT hash, CAST(min(cp) AS BIGINT) AS cp, count(*) AS refs FROM (SELECT sha256(text) AS hash, doc_id // 64 * 64 + 63 AS cp FROM documents) GROUP BY hash""")
+def bucket_dedupe(spark, d):
+    refs = _table(spark, d, "documents").select(F.sha2("text", 256).alias("hash"), cps.ceil_checkpoint(F.col("doc_id")).alias("cp"))
+    return refs.groupBy(F.lower("hash").alias("hash")).agg(F.min("cp").alias("cp"), F.count("*").alias("refs"))
+
+
+# --- history states --------------------------------------------------------------
+
+
+def _state_sql() -> str:
+    return """s AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, o_orderkey // 64 * 64 + 63 - CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS cp,
+  CASE WHEN o_orderkey % 9 = 8 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version,
+  o_orderkey % 3 = 0 AND o_orderkey % 33 <> 0 OR o_orderkey % 41 = 1 AS hot, o_orderkey % 4 AS state, o_orderkey % 13 = 2 AS bad_curr, o_orderkey % 17 = 3 AS bad_output,
+  o_orderkey % 19 = 4 AS with_inputs, sha256('c' || (o_orderkey // 2)) AS curr, CASE WHEN o_orderkey % 5 = 0 THEN repeat('0', 64) ELSE sha256('s' || o_orderkey) END AS snap, sha256('o' || o_orderkey) AS output FROM orders)"""
+
+
+def _states(spark, d):
+    seq = F.col("seq")
+    k = lambda n, r: seq % n == r
+    text = lambda tag, x: F.sha2(F.concat(F.lit(tag), x.cast("string")), 256)
+    state = seq % 4
+    curr = F.when(k(13, 2), F.lit("xyz")).otherwise(text("c", F.floor(seq / 2)))
+    snap = F.when(k(5, 0), cps.ZERO_HASH).otherwise(text("s", seq))
+    inputs = k(19, 4) | (state == 2)
+    none = F.lit(None).cast("string")
+    nxt = F.struct(
+        state.alias("state"), F.when(state == 1, F.when(k(17, 3), F.lit("no")).otherwise(text("o", seq))).alias("output"),
+        F.when(inputs, text("c", F.floor(seq / 2))).alias("curr"), F.when(inputs, text("s", seq)).alias("snap"), F.lit(None).cast("array<string>").alias("shadow"),
+    )
+    zero = F.lit(cps.ZERO_HASH)
+    plain = F.struct(zero.alias("curr"), zero.alias("snap"), F.struct(F.lit(0).cast("bigint").alias("state"), none.alias("output"), none.alias("curr"), none.alias("snap"), F.lit(None).cast("array<string>").alias("shadow")).alias("next")).cast(LEVEL)
+    level = F.struct(curr.alias("curr"), snap.alias("snap"), nxt.alias("next")).cast(LEVEL)
+    hot_level = F.struct(text("h", seq).alias("curr"), zero.alias("snap"), plain["next"].alias("next")).cast(LEVEL)
+    hot = (k(3, 0) & (seq % 33 != 0)) | k(41, 1)
+    made = F.struct(
+        F.when(k(9, 8), 3).when(k(3, 0), 2).otherwise(1).cast("bigint").alias("version"), none.alias("server"),
+        (cps.ceil_checkpoint(seq) - F.when(k(50, 0), 1).otherwise(0)).alias("currentLedger"), none.alias("networkPassphrase"),
+        F.concat(F.array(level), F.array_repeat(plain, 10)).alias("currentBuckets"), F.when(hot, F.concat(F.array(hot_level), F.array_repeat(plain, 10))).alias("hotArchiveBuckets"),
+    )
+    return _seq(spark, d).select("seq", made.cast(STATE).alias("state"))
+
+
+@_query(f"""WITH {_state_sql()} SELECT seq, CASE WHEN version = 3 THEN 'unsupported version' WHEN version = 2 AND NOT hot THEN 'version 2 needs hot archive buckets'
+  WHEN version = 1 AND hot THEN 'version 1 has hot archive buckets' WHEN (cp + 1) % 64 <> 0 THEN 'current ledger is not a checkpoint'
+  WHEN bad_curr THEN 'currentBuckets[0]: curr is not a hash' WHEN state = 0 AND with_inputs THEN 'currentBuckets[0]: state 0 has fields'
+  WHEN state = 1 AND bad_output THEN 'currentBuckets[0]: state 1 needs an output hash' WHEN state = 1 AND with_inputs THEN 'currentBuckets[0]: state 1 has inputs'
+  WHEN state = 3 THEN 'currentBuckets[0]: unknown state' END AS error FROM s""")
+def state_rules(spark, d):
+    return _states(spark, d).select("seq", state_error(F.col("state")).alias("error"))
+
+
+@_query(f"""WITH {_state_sql()}, refs AS (SELECT DISTINCT seq, hash FROM (SELECT seq, unnest([CASE WHEN bad_curr THEN 'xyz' ELSE curr END, snap,
+    CASE WHEN state = 1 THEN CASE WHEN bad_output THEN 'no' ELSE output END END, CASE WHEN hot THEN sha256('h' || seq) END]) AS hash FROM s) WHERE hash IS NOT NULL AND hash <> repeat('0', 64))
+SELECT hash, count(*) AS refs, CAST(min(seq) AS BIGINT) AS first FROM refs GROUP BY hash""")
+def bucket_explode(spark, d):
+    refs = _states(spark, d).select("seq", F.explode(bucket_hashes(F.col("state"))).alias("hash"))
+    return refs.groupBy("hash").agg(F.count("*").alias("refs"), F.min("seq").alias("first"))
+
+
+# --- expected and present files --------------------------------------------------
+
+_KINDS = "['history', 'ledger', 'transactions', 'results', 'scp']"
+
+
+@_query(f"""WITH c AS (SELECT unnest(generate_series(63, (SELECT max(o_orderkey) FROM orders) // 64 * 64 + 63, 64)) AS cp), k AS (SELECT cp, unnest({_KINDS}) AS kind FROM c)
+SELECT CAST(cp AS BIGINT) AS cp, kind, kind || '/' || {_PREFIX} || '/' || kind || '-' || printf('%08x', cp) || CASE kind WHEN 'history' THEN '.json' ELSE '.xdr.gz' END AS path FROM k""")
+def expected_files(spark, d):
+    last = _seq(spark, d).agg(F.max("seq").alias("last"))
+    ranged = last.select(F.explode(F.sequence(F.lit(cps.FIRST).cast("bigint"), cps.ceil_checkpoint(F.col("last")), F.lit(cps.FREQUENCY).cast("bigint"))).alias("cp"))
+    kinds = ranged.select("cp", F.explode(F.array(*map(F.lit, cps.KIND_FLAGS))).alias("kind"))
+    return kinds.select("cp", "kind", cps.checkpoint_path(F.col("kind"), F.col("cp")).alias("path"))
+
+
+@_query("SELECT CAST(o_orderkey AS BIGINT) AS seq FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')")
+def missing_files(spark, d):
+    there = _table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("seq"))
+    return _seq(spark, d).join(there, "seq", "left_anti")
+
+
+@_query("""SELECT CAST(o_orderkey AS BIGINT) AS seq, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'skipped' ELSE 'processed' END AS outcome FROM orders""")
+def skipped_files(spark, d):
+    there = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("seq")).distinct().withColumn("outcome", F.lit("skipped"))
+    return _seq(spark, d).join(there, "seq", "left").select("seq", F.coalesce("outcome", F.lit("processed")).alias("outcome"))
+
+
+# --- verification ----------------------------------------------------------------
+
+_H = f"""h0 AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS hash FROM orders),
+li AS (SELECT CAST(l_orderkey AS BIGINT) AS seq, concat_ws('|', l_linenumber, l_partkey, l_suppkey) AS item, concat_ws('|', l_returnflag, l_linestatus, l_linenumber) AS res FROM lineitem),
+items AS (SELECT seq, sha256(string_agg(item, ',' ORDER BY item)) AS tx, sha256(string_agg(res, ',' ORDER BY res)) AS res FROM li GROUP BY seq),
+headers AS (SELECT seq // 64 * 64 + 63 AS cp, seq, hash, prev_hash,
+    CASE WHEN seq % 501 = 7 THEN sha256('x' || seq) WHEN tx IS NOT NULL THEN tx WHEN seq % 3 = 0 THEN repeat('0', 64) WHEN seq % 3 = 1 THEN sha256(unhex(prev_hash)) ELSE sha256('y' || seq) END AS tx_set_hash,
+    CASE WHEN seq % 701 = 9 THEN sha256('z' || seq) WHEN res IS NOT NULL THEN res WHEN seq % 4 = 0 THEN '{cps.EMPTY_ARRAY_HASH}' WHEN seq % 4 = 1 THEN repeat('0', 64) ELSE sha256('w' || seq) END AS result_hash, tx, res
+  FROM (SELECT h.seq, h.hash, tx, res, CASE WHEN h.seq % 997 = 5 OR h.seq > 0 AND h.seq % 640 = 0 THEN sha256('t' || h.seq) ELSE coalesce(p.hash, repeat('0', 64)) END AS prev_hash
+    FROM h0 h LEFT JOIN h0 p ON p.seq = h.seq - 1 LEFT JOIN items i ON i.seq = h.seq)
+  WHERE seq > 0 AND seq % 811 <> 12)"""
+
+
+def _items(spark, d):
+    li = _table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("seq"), F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey").alias("item"), F.concat_ws("|", "l_returnflag", "l_linestatus", "l_linenumber").alias("res"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    return li.groupBy("seq").agg(joined("item").alias("tx"), joined("res").alias("res")).withColumn("cp", cps.ceil_checkpoint(F.col("seq")))
+
+
+def _ledgers(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(headers, tx_sets, results, status); ledgers with seq % 811 = 12 are missing."""
+    seq = F.col("seq")
+    tagged = lambda tag: F.sha2(F.concat(F.lit(tag), seq.cast("string")), 256)
+    own = _table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("seq"), F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("hash"))
+    before = own.select((seq + 1).alias("seq"), F.col("hash").alias("before"))
+    items = _items(spark, d)
+    both = own.join(before, "seq", "left").join(items.drop("cp"), "seq", "left")
+    zero, absent = F.lit(cps.ZERO_HASH), F.col("tx").isNull()
+    prev = F.when((seq % 997 == 5) | ((seq > 0) & (seq % 640 == 0)), tagged("t")).otherwise(F.coalesce("before", zero))
+    tx = F.when(seq % 501 == 7, tagged("x")).when(~absent, F.col("tx")).when(seq % 3 == 0, zero).when(seq % 3 == 1, F.sha2(F.unhex("prev_hash"), 256)).otherwise(tagged("y"))
+    res = F.when(seq % 701 == 9, tagged("z")).when(~absent, F.col("res")).when(seq % 4 == 0, F.lit(cps.EMPTY_ARRAY_HASH)).when(seq % 4 == 1, zero).otherwise(tagged("w"))
+    headers = both.withColumn("prev_hash", prev).withColumns({"tx_set_hash": tx, "result_hash": res, "cp": cps.ceil_checkpoint(seq)})
+    headers = headers.where((seq > 0) & (seq % 811 != 12)).select("cp", "seq", "hash", "prev_hash", "tx_set_hash", "result_hash")
+    kinds = F.explode(F.array(*map(F.lit, ("ledger", "transactions", "results")))).alias("kind")
+    status = own.select(cps.ceil_checkpoint(seq).alias("cp")).distinct().select("cp", kinds).withColumn("parsed", ~((F.col("kind") == "results") & (F.col("cp") % 128 == 63) & (F.col("cp") % 192 == 63)))
+    return headers, items.select("cp", "seq", F.col("tx").alias("hash")), items.select("cp", "seq", F.col("res").alias("hash")), status
+
+
+_LAST = "(SELECT max(o_orderkey) // 64 * 64 + 63 FROM orders)"
+_MISSING = f"missing AS (SELECT unnest(generate_series(1, {_LAST})) AS seq EXCEPT SELECT seq FROM headers)"
+_E = f"""tx_errors AS (SELECT 'ledger' AS error, seq AS id FROM headers WHERE CASE WHEN tx IS NULL THEN result_hash <> '{cps.EMPTY_ARRAY_HASH}' AND NOT (tx_set_hash = repeat('0', 64) OR tx_set_hash = sha256(unhex(prev_hash))
+    OR tx_set_hash = sha256(unhex('00000001' || prev_hash || '00000000'))) ELSE tx <> tx_set_hash END),
+res_errors AS (SELECT 'ledger' AS error, seq AS id FROM headers WHERE NOT (cp % 128 = 63 AND cp % 192 = 63) AND CASE WHEN res IS NULL THEN result_hash NOT IN ('{cps.EMPTY_ARRAY_HASH}', repeat('0', 64)) ELSE res <> result_hash END),
+lagged AS (SELECT seq, prev_hash, lag(seq) OVER w AS b, lag(hash) OVER w AS bh FROM headers WINDOW w AS (PARTITION BY cp ORDER BY seq)),
+chain_errors AS (SELECT 'ledger' AS error, seq AS id FROM lagged WHERE b IS NOT NULL AND (b + 1 <> seq OR bh <> prev_hash)),
+ends AS (SELECT cp, arg_min(prev_hash, seq) AS first_prev_hash, arg_max(hash, seq) AS last_hash FROM headers GROUP BY cp),
+boundary_errors AS (SELECT 'boundary' AS error, a.cp AS id FROM ends a JOIN ends b ON a.cp = b.cp + 64 WHERE a.first_prev_hash <> b.last_hash),
+{_MISSING},
+incomplete AS (SELECT DISTINCT 'checkpoint' AS error, seq // 64 * 64 + 63 AS id FROM missing),
+errors AS (SELECT * FROM tx_errors UNION SELECT * FROM res_errors UNION SELECT * FROM chain_errors UNION SELECT * FROM boundary_errors UNION SELECT * FROM incomplete),
+failed AS (SELECT DISTINCT unnest(CASE error WHEN 'boundary' THEN [id, id - 64] WHEN 'ledger' THEN [id // 64 * 64 + 63] ELSE [id] END) AS cp FROM errors)"""
+_V = f"WITH {_H}, {_E} "
+
+
+@_query(_V + "SELECT CAST(seq // 64 * 64 + 63 AS BIGINT) AS cp, CAST(seq AS BIGINT) AS seq FROM missing")
+def completeness(spark, d):
+    headers, _, _, status = _ledgers(spark, d)
+    return checks.missing_ledgers(status.select("cp").distinct(), headers).select("cp", "seq")
+
+
+def _errors_sql(name: str) -> str:
+    return _V + f"SELECT error, CAST(id AS BIGINT) AS id FROM {name}"
+
+
+@_query(_errors_sql("incomplete"))
+def incomplete_checkpoints(spark, d):
+    headers, _, _, status = _ledgers(spark, d)
+    return checks.incomplete(status, headers)
+
+
+@_query(_errors_sql("tx_errors"))
+def tx_set_check(spark, d):
+    headers, tx_sets, _, status = _ledgers(spark, d)
+    return checks.tx_set_failures(headers, tx_sets, status)
+
+
+@_query(_errors_sql("res_errors"))
+def result_check(spark, d):
+    headers, _, results, status = _ledgers(spark, d)
+    return checks.result_failures(headers, results, status)
+
+
+@_query(_errors_sql("chain_errors"))
+def intra_chain(spark, d):
+    return checks.chain_failures(_ledgers(spark, d)[0])
+
+
+@_query(_V + "SELECT CAST(cp AS BIGINT) AS cp, first_prev_hash, last_hash FROM ends")
+def boundary_rows(spark, d):
+    return checks.boundaries(_ledgers(spark, d)[0])
+
+
+@_query(_errors_sql("boundary_errors"))
+def boundary_chain(spark, d):
+    return checks.boundary_failures(checks.boundaries(_ledgers(spark, d)[0]))
+
+
+@_query(_errors_sql("errors"))
+def all_checks(spark, d):
+    headers, tx_sets, results, status = _ledgers(spark, d)
+    return checks.all_errors(status, headers, tx_sets, results)
+
+
+@_query(_V + "SELECT CAST(cp AS BIGINT) AS cp FROM failed")
+def failure_checkpoints(spark, d):
+    return checks.failed_checkpoints(all_checks(spark, d))
+
+
+# --- failure sets ----------------------------------------------------------------
+
+_F = f"""lf AS (SELECT CAST(l_orderkey // 64 * 64 + 63 AS BIGINT) AS cp, CAST(1 << (l_linenumber % 5) AS INTEGER) AS flag FROM lineitem WHERE l_partkey % 100 = 3),
+flags AS (SELECT cp, CAST(bit_or(flag) AS INTEGER) AS flags FROM lf GROUP BY cp),
+buckets AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 10 = 1),
+marked AS (SELECT DISTINCT CAST(o_orderkey // 64 * 64 + 63 AS BIGINT) AS cp FROM orders WHERE o_orderkey % 199 = 0)"""
+_NAMES = f"list_filter([CASE WHEN flags & 1 <> 0 THEN 'history' END, CASE WHEN flags & 2 <> 0 THEN 'ledger' END, CASE WHEN flags & 4 <> 0 THEN 'transactions' END, CASE WHEN flags & 8 <> 0 THEN 'results' END, CASE WHEN flags & 16 <> 0 THEN 'scp' END], lambda x: x IS NOT NULL)"
+
+
+def _failure_set(spark, d):
+    none = lambda t: F.lit(None).cast(t)
+    li = _table(spark, d, "lineitem").where("l_partkey % 100 = 3")
+    files = li.select(F.lit("file").alias("kind"), cps.ceil_checkpoint(F.col("l_orderkey")).alias("cp"), F.expr("shiftleft(1, l_linenumber % 5)").alias("flag"), none("string").alias("hash"))
+    buckets = _table(spark, d, "documents").where("doc_id % 10 = 1").select(F.lit("bucket").alias("kind"), none("bigint").alias("cp"), none("int").alias("flag"), F.sha2("text", 256).alias("hash"))
+    marked = _seq(spark, d).where("seq % 199 = 0").select(F.lit("checkpoint").alias("kind"), cps.ceil_checkpoint(F.col("seq")).alias("cp"), none("int").alias("flag"), none("string").alias("hash"))
+    return files.union(buckets).union(marked).distinct()
+
+
+@_query(f"WITH {_F} SELECT cp, flags, CAST(bit_count(flags) AS INTEGER) AS n, array_to_string({_NAMES}, ',') AS names, flags & 4 <> 0 AS has_tx, flags | 4 AS with_tx, flags & ~4 AS without_tx FROM flags")
+def failure_flags(spark, d):
+    f = F.col("flags")
+    return failing.file_flags(_failure_set(spark, d)).select(
+        "cp", "flags", F.bit_count(f).alias("n"), F.array_join(cps.flag_names(f), ",").alias("names"), cps.has_flag(f, 4).alias("has_tx"), cps.set_flag(f, 4).alias("with_tx"), cps.unset_flag(f, 4).alias("without_tx"))
+
+
+@_query(f"WITH {_F} SELECT kind, flag, CAST((SELECT count(*) FROM flags WHERE flags & flag <> 0) AS BIGINT) AS n FROM (VALUES ('history', 1), ('ledger', 2), ('transactions', 4), ('results', 8), ('scp', 16)) k(kind, flag)")
+def kind_counts(spark, d):
+    flags = failing.file_flags(_failure_set(spark, d))
+    counted = flags.agg(*(F.count_if(cps.has_flag(F.col("flags"), bit)).alias(kind) for kind, bit in cps.KIND_FLAGS.items()))
+    return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(b).alias("flag"), F.col(k).alias("n")) for k, b in cps.KIND_FLAGS.items()))).alias("x")).select("x.*")
+
+
+@_query(f"""WITH {_F}, o AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 10 < 4 THEN 'skipped' ELSE 'processed' END AS outcome FROM orders)
+SELECT (SELECT count(*) FROM o WHERE outcome = 'processed') AS succeeded, (SELECT count(*) FROM o WHERE outcome = 'skipped') AS skipped,
+  CAST((SELECT sum(bit_count(flags)) FROM flags) + (SELECT count(*) FROM buckets) AS BIGINT) AS failed, CAST(0 AS BIGINT) AS retries""")
+def summary(spark, d):
+    k = F.col("seq") % 10
+    outcomes = _seq(spark, d).select(F.when(k == 0, "failed").when(k < 4, "skipped").otherwise("processed").alias("outcome"))
+    return failing.summary(outcomes, _failure_set(spark, d))
+
+
+_PATH = f"kind || '/' || {_PREFIX} || '/' || kind || '-' || printf('%08x', cp) || CASE kind WHEN 'history' THEN '.json' ELSE '.xdr.gz' END"
+
+
+@_query(f"""WITH {_F}, k AS (SELECT cp, unnest({_NAMES}) AS kind FROM flags)
+SELECT cp, {_PATH} AS path, kind FROM k WHERE kind = 'history' OR NOT EXISTS (SELECT 1 FROM marked m WHERE m.cp = k.cp)
+UNION ALL SELECT CAST(0 AS BIGINT), 'bucket/' || hash[1:2] || '/' || hash[3:4] || '/' || hash[5:6] || '/bucket-' || hash || '.xdr.gz', 'bucket' FROM buckets""")
+def work_list(spark, d):
+    return failing.work_list(_failure_set(spark, d)).select("cp", "path", "kind")
+
+
+@_query(f"WITH {_F} SELECT cp FROM marked EXCEPT SELECT cp FROM flags")
+def unrecorded(spark, d):
+    """Checkpoints that failed, without those that were mended."""
+    marked = _failure_set(spark, d).where("kind = 'checkpoint'").select("cp")
+    return failing.without(marked, failing.file_flags(_failure_set(spark, d)))
+
+
+@_query(f"""WITH {_F} SELECT 'main_pass' AS stage, CAST(cp AS VARCHAR) AS key, array_to_string({_NAMES}, ',') AS names FROM flags
+UNION ALL SELECT 'checkpoint_retry', CAST(cp AS VARCHAR), 'checkpoint' FROM marked UNION ALL SELECT 'file_retry', hash, 'bucket' FROM buckets""")
+def report_sections(spark, d):
+    failures = _failure_set(spark, d)
+    files = failing.file_flags(failures).select(F.lit("main_pass").alias("stage"), F.col("cp").cast("string").alias("key"), F.array_join(cps.flag_names(F.col("flags")), ",").alias("names"))
+    whole = failures.where("kind = 'checkpoint'").select(F.lit("checkpoint_retry").alias("stage"), F.col("cp").cast("string").alias("key"), F.lit("checkpoint").alias("names"))
+    buckets = failures.where("kind = 'bucket'").select(F.lit("file_retry").alias("stage"), F.col("hash").alias("key"), F.lit("bucket").alias("names"))
+    return files.unionByName(whole).unionByName(buckets)
+
+
+# --- plans, JSON, error classes, resuming ----------------------------------------
+
+_NAME = "CASE event_id % 6 WHEN 0 THEN 'history' WHEN 1 THEN 'ledger' WHEN 2 THEN 'scp' WHEN 3 THEN 'bucket' WHEN 4 THEN 'results' ELSE 'transactions' END"
+
+
+@_query(f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unsupported version' WHEN (event_id + 1) % 64 <> 0 OR event_id = 0 THEN 'not a checkpoint' WHEN {_NAME} = 'bucket' THEN 'unknown file type' END AS error FROM events""")
+def plan_validation(spark, d):
+    """A plan's entries, one in a row: version, then checkpoint, then file type; the first error counts."""
+    e = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("history", "ledger", "scp", "bucket", "results", "transactions"))), (e % 6 + 1).cast("int"))
+    version = F.when(e % 11 == 0, 2).otherwise(1)
+    error = F.when(version != 1, "unsupported version").when(~cps.is_checkpoint(e), "not a checkpoint").when(cps.flag_of_kind(name).isNull(), "unknown file type")
+    return _table(spark, d, "events").select("event_id", error.alias("error"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return _table(spark, d, "events").select("event_id", F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+_STATUS = "CASE event_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 403 WHEN 4 THEN 522 WHEN 5 THEN 400 WHEN 6 THEN 500 WHEN 7 THEN 598 ELSE 418 END"
+
+
+@_query(f"""WITH s AS (SELECT event_type, {_STATUS} AS status FROM events)
+SELECT event_type, CAST(status AS INTEGER) AS status, CASE WHEN status = 404 THEN 'not_found' WHEN status IN (408, 429, 500, 502, 503, 504, 509, 520, 521, 522, 523, 524, 529, 530, 598, 599) THEN 'retry' WHEN status < 500 THEN 'fatal' ELSE 'retry' END AS error_class, count(*) AS n FROM s GROUP BY ALL""")
+def error_classes(spark, d):
+    from ledgerloom.sources.storage import RETRY_STATUS
+
+    status = F.element_at(F.array(*map(F.lit, (404, 429, 503, 403, 522, 400, 500, 598, 418))), (F.col("event_id") % 9 + 1).cast("int"))
+    s = F.col("status")
+    of = F.when(s == 404, "not_found").when(s.isin(*RETRY_STATUS), "retry").when(s.between(400, 499), "fatal").otherwise("retry")
+    return _table(spark, d, "events").select("event_type", status.alias("status")).withColumn("error_class", of).groupBy("event_type", "status", "error_class").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(6399 AS BIGINT) AS latest, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 97 * 64 + 63 END AS existing,
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE greatest(63, (o_orderkey % 6000 + 1) // 64 * 64 - 1) END AS low, o_orderkey % 5 = 0 AS overwrite, o_orderkey % 2 = 0 AS gaps FROM orders)
+SELECT seq, CASE WHEN existing >= latest AND NOT overwrite THEN 'done' WHEN low > existing AND NOT gaps THEN 'gap' ELSE 'copy' END AS action,
+  CAST(CASE WHEN existing >= latest AND NOT overwrite OR low > existing AND NOT gaps THEN -1
+    WHEN low IS NULL THEN CASE WHEN overwrite OR existing IS NULL THEN 63 ELSE existing + 64 END
+    WHEN existing IS NULL OR low > existing OR overwrite THEN low ELSE existing + 64 END AS BIGINT) AS start FROM r""")
+def resume_bounds(spark, d):
+    """Where mirrors go on, for many pairs of archives at once."""
+    seq = F.col("seq")
+    r = _seq(spark, d).select(
+        "seq", F.lit(6399).cast("bigint").alias("latest"), F.when(seq % 4 != 0, seq % 97 * 64 + 63).alias("existing"),
+        F.when(seq % 3 != 0, cps.floor_checkpoint(seq % 6000)).alias("low"), (seq % 5 == 0).alias("overwrite"), (seq % 2 == 0).alias("gaps"))
+    existing, low, overwrite = F.col("existing"), F.col("low"), F.col("overwrite")
+    action = F.when((existing >= F.col("latest")) & ~overwrite, "done").when((low > existing) & ~F.col("gaps"), "gap").otherwise("copy")
+    unset = F.when(overwrite | existing.isNull(), F.lit(cps.FIRST).cast("bigint")).otherwise(existing + cps.FREQUENCY)
+    start = F.when(low.isNull(), unset).when(existing.isNull() | (low > existing) | overwrite, low).otherwise(existing + cps.FREQUENCY)
+    return r.select("seq", action.alias("action"), F.when(action == "copy", start).otherwise(-1).alias("start"))

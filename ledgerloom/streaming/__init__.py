@@ -1 +1 @@
-
+"""Following archives as they grow."""

@@ -32,22 +32,31 @@ PASSES, CHUNK, BUCKET_VALUES = 6, 2048, 1_500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    """The fingerprint of one text; zero if it has no word."""
+def _shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole word sequence if it is shorter."""
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()][: max(1, len(words) - width + 1)]
     stops = (ends - 1)[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, stops, strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, stops, strict=True)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """64-bit words of hashes (shingles x words) to one word each: bits set in over half of the shingles."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = np.ascontiguousarray(hashes[at : at + 16384])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    """The fingerprint of one text; zero if it has no word."""
+    return int(_majority(_shingle_hashes(text, width)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -61,13 +70,12 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def ball(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most ``radius`` bits."""
-    return np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)], np.uint64)
+def ball(radius: int, bits: int = 64) -> np.ndarray:
+    """All masks of at most ``radius`` of the lower ``bits`` bits."""
+    return np.array([sum(1 << b for b in chosen) for n in range(radius + 1) for chosen in combinations(range(bits), n)], np.uint64)
 
 
-def _emit(part: int, buckets: int, radius: int):
-    masks = ball(radius // 2)
+def _emit(part: int, buckets: int, masks: np.ndarray, passes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +83,7 @@ def _emit(part: int, buckets: int, radius: int):
             for at in range(0, len(whole), CHUNK):
                 values = (whole[at : at + CHUNK, None] ^ masks).ravel()
                 mixed = mix64(values)
-                mine = np.flatnonzero((mixed >> np.uint64(32)) % np.uint64(PASSES) == part)
+                mine = np.flatnonzero((mixed >> np.uint64(32)) % np.uint64(passes) == part)
                 bucket = ((mixed[mine] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 mine, bucket = mine[order], bucket[order]
@@ -105,10 +113,10 @@ def meeting(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.nda
     return local_forest(pairs[linked, 0], pairs[linked, 1])
 
 
-def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of ``distinct(fp)`` that join the same fingerprints as all pairs within ``radius``."""
-    masks, n = ball(radius // 2), distinct.count()
-    buckets = max(16, -(-n * len(masks) // (PASSES * BUCKET_VALUES)))
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bits: int = 64, passes: int = PASSES) -> DataFrame:
+    """Links (a, b) of ``distinct(fp)`` that join the same fingerprints as all pairs within ``radius`` in the lower ``bits``."""
+    masks, n = ball(radius // 2, bits), distinct.count()
+    buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
     dealt = distinct.select("fp").repartition(max(12, -(-n // (4 * CHUNK))), "fp")
 
     def collide(group: pa.Table) -> pa.Table:
@@ -118,8 +126,8 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFr
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     found = None
-    for part in range(PASSES):
-        blobs = dealt.mapInArrow(_emit(part, buckets, radius), "bucket int, v binary, m binary")
+    for part in range(passes):
+        blobs = dealt.mapInArrow(_emit(part, buckets, masks, passes), "bucket int, v binary, m binary")
         new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long"))
         found = new if found is None else found.union(new)
     return found
@@ -146,6 +154,94 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- similar texts: several shorter fingerprints -----------------------------
+
+#: Independent fingerprints of a text, bits of each, and passes over each one's values.
+TABLES, TABLE_BITS, TABLE_PASSES = 8, 40, 3
+SIMILARITY = 0.8
+#: Of all 320 bits, texts at the threshold differ in 48 on average (deviation 6): up to SURE they are linked, up to
+#: MOST_APART their shingles are compared.
+SURE, MOST_APART = 32, 76
+
+
+def signature(text: str, width: int) -> list[int]:
+    """``TABLES`` fingerprints of the distinct shingles, the table's number above each one's ``TABLE_BITS`` bits."""
+    hashes = np.unique(_shingle_hashes(text, width))
+    words = -(-TABLES * TABLE_BITS // 64)
+    salts = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    bits = np.unpackbits(_majority(mix64(hashes[:, None] ^ salts)).view(np.uint8), bitorder="little")[: TABLES * TABLE_BITS]
+    rows = np.zeros((TABLES, 64), np.uint8)
+    rows[:, :TABLE_BITS] = bits.reshape(TABLES, TABLE_BITS)
+    return (np.packbits(rows, axis=1, bitorder="little").view("<u8")[:, 0] | (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))).tolist()
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, sig array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t.as_py() or "", width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sig array<long>")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles array<long>): the hashes of each text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_shingle_hashes(t.as_py() or "", width)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def similar(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): classes of texts whose shingle sets are similar, 0.8 or more in Jaccard's measure.
+
+    At that similarity about 15% of SimHash's bits differ, so one 64-bit
+    fingerprint within four bits would miss nearly all such pairs. Each of eight
+    independent 40-bit fingerprints is within four bits for every fourth pair
+    at least, so that nine of ten pairs at the threshold, and more above it,
+    meet in some table. Candidates that all 320 bits together neither confirm
+    nor rule out are decided by their shingle sets.
+
+    Rows with a null doc_id are left out; texts without a word are one class.
+    40 bits serve some 10^8 texts; beyond, raise ``TABLE_BITS`` and ``TABLES``.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    sigs = scratch.keep(signatures(docs.where("doc_id IS NOT NULL"), width))
+    texts = scratch.keep(sigs.groupBy("sig").agg(F.min("doc_id").alias("least")))
+    values = texts.select("least", F.explode("sig").alias("fp"))
+    nodes = scratch.keep(values.groupBy("fp").agg(F.min("least").alias("first")))
+    near = None
+    for t in range(TABLES):
+        table = nodes.where(F.shiftright("fp", TABLE_BITS) == t)
+        found = links(table, scratch, RADIUS, TABLE_BITS, TABLE_PASSES)
+        near = found if near is None else near.union(found)
+    ends = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("da")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("db")), "b")
+    same = values.join(nodes, "fp").where("least != first")
+    pairs = ends.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same.select(F.col("least").alias("a"), F.col("first").alias("b")))
+    pairs = scratch.keep(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = texts.select(F.col("least").alias("a"), F.col("sig").alias("sa"))
+    right = texts.select(F.col("least").alias("b"), F.col("sig").alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    measured = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= MOST_APART))
+    unsure = measured.where(F.col("apart") > SURE).select("a", "b")
+    asked = scratch.keep(unsure.select(F.col("a").alias("doc_id")).union(unsure.select("b")).distinct())
+    sets = scratch.keep(shingle_sets(docs.join(asked, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    both = unsure.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    decided = both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    linked = scratch.keep(measured.where(F.col("apart") <= SURE).select("a", "b").union(decided))
+    roots = components(linked, scratch)
+    rooted = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
+    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = scratch.keep(rooted.join(first, "root").select("sig", "component_id"))
+    return sigs.join(classes, "sig").select("doc_id", "component_id")
+
+
 def query(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

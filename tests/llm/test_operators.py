@@ -90,6 +90,30 @@ def test_near_duplicates(spark):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
+def test_similar(spark):
+    r = random.Random(9)
+    rows, n = [], 0
+    for g in range(30):
+        base = words(r.randrange(120, 300), g, 5000)
+        rows.append((n, " ".join(base)))
+        for k in range(3):
+            ws = list(base)
+            for _ in range(1 + k):
+                ws[r.randrange(len(ws))] = f"e{g}{k}"
+            rows.append((n + 1 + k, " ".join(ws)))
+        far = [w if r.random() > 0.12 else f"f{g}" for w in base]
+        rows.append((n + 4, " ".join(far)))
+        n += 5
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {x.doc_id: x.component_id for x in simhash.similar(documents(spark, rows)).collect()}
+    close = [(a, b) for a in sets for b in sets if a < b and a // 5 == b // 5 and jaccard(a, b) >= 0.8]
+    assert np.mean([got[a] == got[b] for a, b in close]) >= 0.95
+    for i in sets:  # nobody joins a class without a similar text in it
+        others = [j for j in sets if j != i and got[j] == got[i]]
+        assert not others or max(jaccard(i, j) for j in others) >= 0.75
+
+
 def test_ball():
     assert len(simhash.ball(2)) == 1 + 64 + 64 * 63 // 2
 

@@ -1,6 +1,6 @@
 """Line-first cleaning with built-in functions only.
 
-Rules for punctuation, navigation and boilerplate are evaluated per line,
+Rules for punctuation (symbols included), navigation and boilerplate are evaluated per line,
 failing lines are removed, and a document that loses too much of its text is
 rejected. Everything is a projection of the scan: no shuffle, no Python.
 """
@@ -20,6 +20,8 @@ BOILERPLATE = r"(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|all ri
 SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 #: A line without an ending passes if it is at most this long (headings, broken lines).
 HEADING_WORDS = 12
+#: Symbols that a line may hold of 100 characters.
+MOST_SYMBOLS = 10
 #: Share of a document's word characters that failing lines may hold.
 MOST_LOST = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -35,6 +37,7 @@ def line_fails(line: Column) -> Column:
     return (
         F.when(line.rlike(NAVIGATION), "navigation")
         .when(line.rlike(BOILERPLATE) & ~long_line, "boilerplate")
+        .when(100 * (F.length(line) - _without(line, SYMBOLS)) > MOST_SYMBOLS * F.length(line), "punctuation")
         .when(long_line & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
@@ -118,6 +121,7 @@ WITH d AS (
   SELECT rid, count(*) FILTER (chars > 0) - count(DISTINCT l) FILTER (chars > 0) AS dup,
          coalesce(sum(chars) FILTER (NOT (regexp_matches(l, {_sql_string(NAVIGATION)})
            OR (regexp_matches(l, {_sql_string(BOILERPLATE)}) AND NOT long_line)
+           OR 100 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > {MOST_SYMBOLS} * length(l)
            OR (long_line AND NOT regexp_matches(l, {_sql_string(SENTENCE_END)})))), 0) AS kept_chars
   FROM line GROUP BY rid
 ), m AS (

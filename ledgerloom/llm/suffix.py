@@ -17,6 +17,11 @@ occurrences of its strings, and each part is sorted by itself. A chunk of
 documents sends equal segments once, for its smallest document; in the others
 they are removed at once.
 
+An anchor found in many chunks would gather too much in one part, as the edges
+of a passage that very many documents share differ in each of them. The strings
+of such anchors are dealt one by one by their own hash, and only those that
+more than one document has.
+
 Exact copies of whole texts are resolved before, by digest.
 """
 
@@ -35,6 +40,8 @@ LENGTH, GRAM = 50, 24
 #: Bytes of a chunk of documents, of a slice hashed at once (fits a cache), and of the segments of a part.
 CHUNK, SLICE, PART = 4_000_000, 131_072, 700_000
 ANCHORS_PART = 600_000
+#: An anchor in more chunks than this is hot.
+HOT_CHUNKS = 32
 PLACE_BITS = np.uint64(24)
 
 
@@ -173,6 +180,49 @@ def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[np.cumsum(step)]
 
 
+def window_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the 50 bytes at each of ``at`` (ascending)."""
+    out = np.empty(len(at), np.uint64)
+    for lo in range(0, len(buf), SLICE):
+        i, j = np.searchsorted(at, lo), np.searchsorted(at, lo + SLICE)
+        if i < j:
+            part, w = buf[lo : lo + SLICE + LENGTH], at[i:j] - lo
+            g = _gram_hashes(part)
+            last = part[w + 48].astype(np.uint64) << np.uint64(8) | part[w + 49]
+            out[i:j] = mix64(mix64(g[w]) * np.uint64(0x9E3779B97F4A7C15) + g[w + 24] * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def _within(pool: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each of ``h`` is in the sorted ``pool``."""
+    return pool[np.minimum(np.searchsorted(pool, h), len(pool) - 1)] == h if len(pool) else np.zeros(len(h), bool)
+
+
+def _same(mat: np.ndarray) -> np.ndarray:
+    """A number for each row of bytes, equal for equal rows; the width is a multiple of 8."""
+    key = np.zeros(len(mat), np.uint64)
+    for k, column in enumerate(mat.view(np.uint64).T):
+        key = mix64(key ^ (column * np.uint64(0xD1342543DE82EF95 + 2 * k)))
+    order = np.argsort(key)
+    equal = key[order][1:] == key[order][:-1]
+    if not (mat[order[1:][equal]] == mat[order[:-1][equal]]).all():  # two rows with one hash
+        return np.unique(mat.view(f"V{mat.shape[1]}").ravel(), return_inverse=True)[1]
+    out = np.empty(len(mat), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ~equal])) if len(mat) else order
+    return out
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals joined where they overlap or touch, by document."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    far = int(stop.max()) + 1
+    reach = np.maximum.accumulate(doc * far + stop)
+    fresh = np.concatenate([[True], (doc[1:] * far + start[1:]) > reach[:-1]])
+    at = np.flatnonzero(fresh)
+    return doc[at], start[at], np.maximum.reduceat(stop, at)
+
+
 class Chunk:
     """Documents packed in one row: ids, sizes, digests and bytes."""
 
@@ -215,39 +265,81 @@ def _deal(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[
         yield int(bucket[order[i]]), [order[i:j]] + [c[order[i:j]] for c in columns]
 
 
+BLOBS = "part int, chunk int, h binary, several binary"
+FLAGS = "chunk int, h binary, hot binary, w binary"
+
+
+def _blobs(chunk: int, h: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The distinct hashes of a chunk by part, and for each whether more than one document has it."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    last = np.concatenate([fresh[1:], [len(h)]]) - 1 if len(h) else fresh
+    several, h = doc[fresh] != doc[last], h[fresh]
+    dealt = list(_deal((mix64(h) % np.uint64(parts)).astype(np.int64), h, several))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p for p, _ in dealt], pa.int32()), pa.array([chunk] * len(dealt), pa.int32()), pa.array([x[1].tobytes() for _, x in dealt], pa.binary()), pa.array([np.packbits(x[2]).tobytes() for _, x in dealt], pa.binary())],
+        names=["part", "chunk", "h", "several"],
+    )
+
+
 def _anchor_blobs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 h, _, _, doc = Chunk(row).anchors()
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                last = np.concatenate([fresh[1:], [len(h)]]) - 1 if len(h) else fresh
-                several = doc[fresh] != doc[last]
-                h = h[fresh]
-                dealt = list(_deal((mix64(h) % np.uint64(parts)).astype(np.int64), h, several))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in dealt], pa.int32()), pa.array([row["chunk"]] * len(dealt), pa.int32()), pa.array([x[1].tobytes() for _, x in dealt], pa.binary()), pa.array([np.packbits(x[2]).tobytes() for _, x in dealt], pa.binary())],
-                    names=["part", "chunk", "h", "several"],
-                )
+                yield _blobs(row["chunk"], h, doc, parts)
 
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The anchors of each chunk that more than one document has."""
-    blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in group.column("h")]
-    several = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))[: len(h)].astype(bool) for b, h in zip(group.column("several"), blobs, strict=True)]
-    values, inverse, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    many = count > 1
-    many[inverse[np.concatenate(several)]] = True
-    keep = many[inverse]
-    out, at = [], 0
-    for h in blobs:
-        out.append(h[keep[at : at + len(h)]].tobytes())
-        at += len(h)
-    return pa.table({"chunk": group.column("chunk"), "h": pa.chunked_array([pa.array(out, pa.binary())])})
+def _shared(hot_chunks: int | None):
+    """The hashes of each chunk that more than one document has; those in many chunks apart. None: of windows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in group.column("h")]
+        several = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))[: len(h)].astype(bool) for b, h in zip(group.column("several"), blobs, strict=True)]
+        _, inverse, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+        many = count > 1
+        many[inverse[np.concatenate(several)]] = True
+        hot = count > hot_chunks if hot_chunks is not None else np.zeros(len(count), bool)
+        masks = (many & ~hot)[inverse], (many & hot)[inverse]
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        at = 0
+        for h in blobs:
+            for k in (0, 1):
+                out[k].append(h[masks[k][at : at + len(h)]].tobytes())
+            at += len(h)
+        none = [b""] * len(blobs)
+        columns = (out[0], out[1], none) if hot_chunks is not None else (none, none, out[0])
+        return pa.table({"chunk": group.column("chunk"), **{name: pa.chunked_array([pa.array(x, pa.binary())]) for name, x in zip(("h", "hot", "w"), columns, strict=True)}})
+
+    return run
+
+
+def _pool(flags: pa.Table, name: str) -> np.ndarray:
+    found = [np.frombuffer(b.as_buffer(), np.uint64) for b in flags.column(name)]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _hot_windows(c: Chunk, h: np.ndarray, w0: np.ndarray, w1: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, document) of every string whose anchor is hot."""
+    keep = _within(hot, h)
+    first, count = w0[keep], (w1 - w0 + 1)[keep]
+    at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return window_hashes(c.buf, at), at, np.repeat(doc[keep], count)
+
+
+def _window_blobs(parts: int):
+    def run(chunks: pa.Table, flags: pa.Table) -> pa.Table:
+        hot = _pool(flags, "hot")
+        if not chunks.num_rows or not len(hot):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["part", "chunk", "h", "several"])
+        c = Chunk(chunks.to_pylist()[0])
+        h, _, doc = _hot_windows(c, *c.anchors(), hot)
+        return pa.Table.from_batches([_blobs(chunks.column("chunk")[0].as_py(), h, doc, parts)])
+
+    return run
 
 
 SEGMENTS = "part int, chunk int, doc binary, local binary, start binary, windows binary, bytes binary, alias binary, alias_start binary, stop binary"
@@ -267,29 +359,31 @@ def _segments(parts: int):
 
     def run(chunks: pa.Table, flags: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        shared = [np.frombuffer(b.as_buffer(), np.uint64) for b in flags.column("h")]
-        pool = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
-        if chunks.num_rows and len(pool):
+        pool, hot, windows = (_pool(flags, name) for name in ("h", "hot", "w"))
+        if chunks.num_rows and len(pool) + len(windows):
             c = Chunk(chunks.to_pylist()[0])
             number = chunks.column("chunk")[0].as_py()
             h, w0, w1, doc = c.anchors()
-            keep = pool[np.minimum(np.searchsorted(pool, h), len(pool) - 1)] == h
-            h, w0, w1, doc = h[keep], w0[keep], w1[keep], doc[keep]
+            keep = _within(pool, h)
+            wh, at, of = _hot_windows(c, h, w0, w1, doc, hot)
+            mine = _within(windows, wh)
+            h, w0, w1, doc = (np.concatenate([x[keep], y[mine]]) for x, y in ((h, wh), (w0, at), (w1, at), (doc, of)))
             size = w1 - w0 + LENGTH
             # equal segments by their bytes, padded to one width
             width = 2 * LENGTH - GRAM
             mat = np.zeros((len(h), width + 4), np.uint8)
             mat[:, width] = size
             mat[:, :width][np.arange(width) < size[:, None]] = _gather(c.buf, w0, size)
-            _, same = np.unique(mat.view(f"V{width + 4}").ravel(), return_inverse=True)
+            same = _same(mat)
             ids, start = c.ids[doc], w0 - c.first[doc]
             order = np.lexsort((start, ids, same))
-            fresh = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+            fresh = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
             lead = np.repeat(order[fresh], np.diff([*fresh, len(order)]))
             later = ids[order] > ids[lead]
             gone = order[later]
             if len(gone):
-                rows.append((-1, number, b"", doc[gone].tobytes(), start[gone].tobytes(), b"", b"", b"", b"", (start[gone] + size[gone]).tobytes()))
+                of, begin, stop = _merged(doc[gone], start[gone], start[gone] + size[gone])
+                rows.append((-1, number, b"", of.tobytes(), begin.tobytes(), b"", b"", b"", b"", stop.tobytes()))
             # further places of a segment in its least document go along as aliases
             more = ~later & (order != lead)
             extra, extra_lead = order[more], lead[more]
@@ -397,11 +491,18 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     chosen = least.select(F.col("least").alias("doc_id"), "sha", chunk("least"))
     dealt = named.select("doc_id", "sha", "text", chunk("doc_id"))
     packed = scratch.keep(dealt.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(_pack, CHUNK_SCHEMA))
-    blobs = packed.mapInArrow(_anchor_blobs(anchor_parts), "part int, chunk int, h binary, several binary")
-    shared = scratch.keep(blobs.groupBy("part").applyInArrow(_shared, "chunk int, h binary"))
-    parts = max(16, -(-(shared.agg(F.sum(F.octet_length("h"))).first()[0] or 0) * 9 // PART))
-    segments = scratch.keep(packed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(parts), SEGMENTS))
-    scratch.drop(shared)
+    blobs = packed.mapInArrow(_anchor_blobs(anchor_parts), BLOBS)
+    shared = scratch.keep(blobs.groupBy("part").applyInArrow(_shared(HOT_CHUNKS), FLAGS))
+    sizes = shared.agg(F.sum(F.octet_length("h")).alias("h"), F.sum(F.octet_length("hot")).alias("hot")).first()
+    flags, made = shared, [shared]
+    if sizes.hot:
+        of_hot = shared.where(F.octet_length("hot") > 0).groupBy("chunk")
+        blobs = packed.groupBy("chunk").cogroup(of_hot).applyInArrow(_window_blobs(anchor_parts), BLOBS)
+        made.append(scratch.keep(blobs.groupBy("part").applyInArrow(_shared(None), FLAGS)))
+        flags = shared.unionByName(made[1])
+    parts = max(16, -(-(flags.agg(F.sum(F.octet_length("h") + F.octet_length("w"))).first()[0] or 0) * 9 // PART))
+    segments = scratch.keep(packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_segments(parts), SEGMENTS))
+    scratch.drop(*made)
     sorted_parts = segments.where("part >= 0").groupBy("part").applyInArrow(_sort_part, REMOVED)
     removed = scratch.keep(sorted_parts.unionByName(segments.where("part < 0").select("chunk", "local", "start", "stop")))
     scratch.drop(segments)

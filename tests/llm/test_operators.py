@@ -144,8 +144,9 @@ def slow_removed(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 32), (2, 32), (1, 2), (2, 0)])
+def test_repeats(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix, "HOT_CHUNKS", hot)
     r = random.Random(seed)
     passages = ["".join(r.choice("abcdé ") for _ in range(r.randrange(40, 160))) for _ in range(6)]
     rows = []

@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from ledgerloom.plans import operations
-from ledgerloom.sources.storage import Options, archive
+from ledgerloom.sources.storage import Options, archive, configure
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--max-concurrent", type=int, default=128, help="accepted; executor cores limit concurrency")
     shared.add_argument("--timeout-secs", type=int, default=30)
     shared.add_argument("--io-timeout-secs", type=int, default=300)
-    shared.add_argument("--bandwidth-limit", type=int, default=0)
+    shared.add_argument("--bandwidth-limit", type=int, default=0, help="bytes per second of a task that reads over HTTP; 0 is unlimited")
     shared.add_argument("--atomic-file-writes", action="store_true")
     top = argparse.ArgumentParser(prog="ledgerloom")
     commands = top.add_subparsers(dest="command", required=True)
@@ -57,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
     options = Options(args.max_retries, args.retry_min_delay_ms / 1000, args.retry_max_delay_secs, args.timeout_secs, args.io_timeout_secs, args.bandwidth_limit, args.atomic_file_writes)
     spark = SparkSession.builder.appName("ledgerloom").getOrCreate()
     spark.conf.set("spark.sql.shuffle.partitions", args.concurrency)
+    for url in (args.archive,) if args.command == "scan" else (args.source, args.destination):
+        configure(spark, url)
     common = {"low": args.low, "high": args.high, "verify": args.verify, "skip_optional": args.skip_optional, "report_path": args.report, "root_pointer": args.root_pointer}
     try:
         if args.command == "scan":

@@ -15,8 +15,9 @@ import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from http.client import HTTPException
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -107,6 +108,17 @@ class Archive:
         except (urllib.error.URLError, OSError) as e:
             raise StorageError(RETRY, f"{path}: {e}") from e
 
+    def _throttled(self, response) -> bytes:
+        """The body, at no more than the bandwidth limit (of a task) in bytes per second."""
+        if not self.options.bandwidth_limit:
+            return response.read()
+        began, parts, size = time.monotonic(), [], 0
+        while piece := response.read(65536):
+            parts.append(piece)
+            size += len(piece)
+            time.sleep(max(0.0, size / self.options.bandwidth_limit - (time.monotonic() - began)))
+        return b"".join(parts)
+
     def read_once(self, path: str) -> bytes:
         if self.scheme == "file":
             try:
@@ -116,10 +128,8 @@ class Archive:
                 raise StorageError(os_error_class(e), f"{path}: {e.strerror}") from e
         with self._get(path) as response:
             try:
-                data = response.read()
-            except (OSError, ValueError, urllib.error.ContentTooShortError) as e:
-                raise StorageError(RETRY, f"{path}: {e}") from e
-            except Exception as e:  # http.client.IncompleteRead
+                data = self._throttled(response)
+            except (OSError, ValueError, HTTPException) as e:
                 raise StorageError(RETRY, f"{path}: {e}") from e
         expected = response.headers.get("Content-Length")
         if expected is not None and int(expected) != len(data):
@@ -232,6 +242,32 @@ class Archive:
         return expected.mapInArrow(run, f"{schema}, content binary, error_class string, error string")
 
 
+def hadoop_settings(scheme: str, environ: Mapping[str, str] = os.environ) -> dict[str, str]:
+    """Hadoop configuration for a URL's scheme from the usual environment variables."""
+    get = environ.get
+    out: dict[str, str | None] = {}
+    if scheme in ("s3", "s3a"):
+        out = {"fs.s3a.endpoint.region": get("AWS_REGION"), "fs.s3a.endpoint": get("S3_ENDPOINT"), "fs.s3a.access.key": get("AWS_ACCESS_KEY_ID"), "fs.s3a.secret.key": get("AWS_SECRET_ACCESS_KEY")}
+    elif scheme == "b2":
+        missing = [k for k in ("B2_BUCKET_ID", "B2_APPLICATION_KEY_ID", "B2_APPLICATION_KEY") if not get(k)]
+        if missing:
+            raise StorageError(FATAL, f"b2 needs {', '.join(missing)}")
+        out = {"fs.s3a.endpoint": get("S3_ENDPOINT"), "fs.s3a.access.key": get("B2_APPLICATION_KEY_ID"), "fs.s3a.secret.key": get("B2_APPLICATION_KEY"), "fs.s3a.path.style.access": "true"}
+    elif scheme in ("gs", "gcs"):
+        out = {"fs.gs.auth.service.account.json.keyfile": get("GOOGLE_APPLICATION_CREDENTIALS")}
+    elif scheme in ("azblob", "azure", "abfss", "wasbs") and get("AZURE_STORAGE_ACCOUNT"):
+        host = get("AZURE_STORAGE_ENDPOINT") or f"{get('AZURE_STORAGE_ACCOUNT')}.dfs.core.windows.net"
+        out = {f"fs.azure.account.key.{host.removeprefix('https://').rstrip('/')}": get("AZURE_STORAGE_KEY")}
+    return {k: v for k, v in out.items() if v}
+
+
+def configure(spark: SparkSession, url: str) -> None:
+    """Hand a URL's settings to Spark's Hadoop configuration."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k, v in hadoop_settings(urlparse(url).scheme.lower()).items():
+        conf.set(k, v)
+
+
 def archive(url: str, options: Options | None = None) -> Archive:
     """The archive at a URL: file, http(s), or a scheme that Hadoop reads."""
     options = options or Options()
@@ -245,6 +281,8 @@ def archive(url: str, options: Options | None = None) -> Archive:
         return Archive("file", os.path.normpath(unquote(parsed.path)).rstrip("/"), options)
     if scheme in ("http", "https"):
         return Archive("http", f"{scheme}://{parsed.netloc}{parsed.path}".rstrip("/"), options)
+    if scheme in ("azblob", "azure") and "@" not in parsed.netloc and os.environ.get("AZURE_STORAGE_ACCOUNT"):
+        parsed = parsed._replace(netloc=f"{parsed.netloc}@{os.environ['AZURE_STORAGE_ACCOUNT']}.dfs.core.windows.net")
     if scheme in HADOOP_SCHEMES:
         return Archive(HADOOP_SCHEMES[scheme], f"{HADOOP_SCHEMES[scheme]}://{parsed.netloc}{parsed.path}".rstrip("/"), options)
     if scheme in ("sftp", "swift"):

@@ -9,7 +9,7 @@ import pytest
 from ledgerloom.operators import report as reports
 from ledgerloom.plans import operations as ops
 from ledgerloom.sources import xdr
-from ledgerloom.sources.storage import Options, StorageError, archive
+from ledgerloom.sources.storage import Options, StorageError, archive, hadoop_settings
 
 from . import archives as a
 
@@ -195,6 +195,29 @@ def test_storage_errors():
     assert not archive("https://host/x").writable
 
 
+def test_backend_settings(monkeypatch):
+    env = {"AWS_REGION": "r", "AWS_ACCESS_KEY_ID": "k", "AWS_SECRET_ACCESS_KEY": "s"}
+    assert hadoop_settings("s3", env) == {"fs.s3a.endpoint.region": "r", "fs.s3a.access.key": "k", "fs.s3a.secret.key": "s"}
+    with pytest.raises(StorageError):
+        hadoop_settings("b2", {})
+    monkeypatch.setenv("AZURE_STORAGE_ACCOUNT", "me")
+    assert archive("azblob://box/a").root == "abfss://box@me.dfs.core.windows.net/a"
+
+
+def test_command_line(good, copy, spark, tmp_path, capsys):
+    from ledgerloom import cli
+
+    report = str(tmp_path / "r.json")
+    assert cli.main(["scan", f"file://{good}", "--verify", "--report", report, "-c", "4"]) == 0
+    assert reports.read(report)["summary"]["failed"] == 0
+    (copy / a.file_path("ledger", 127)).unlink()
+    assert cli.main(["scan", f"file://{copy}", "-c", "4", "--report", report]) == 1
+    assert cli.main(["repair", f"file://{good}", f"file://{copy}", "--plan", report, "-c", "4"]) == 0
+    assert a.tree(copy) == a.tree(good)
+    with pytest.raises(SystemExit):
+        cli.main(["repair", "file:///x", "file:///y", "--plan", report, "--dry-run"])
+
+
 def test_gzip_edges():
     whole = gzip.compress(b"x" * 1000)
     with pytest.raises(xdr.Broken) as e:

@@ -23,8 +23,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video"}
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "center", "form", "nav", "header", "footer", "aside", "dialog", "menu"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "table", "caption", "thead", "tbody", "tfoot", "tr", "th", "td", "address", "details", "summary", "hr", "fieldset", "legend", "html", "head", "label"}
+# Inline elements that are looked at for such names too.
+MARKED = {"span", "ins", "small"}
 # Elements and names that never belong to an article.
-DROPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "head", "fieldset", "label"} | RAW
+DROPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "label"} | RAW
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 DROPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommended|recirc\w*|more-?links|pagination|pager|tags|tag-?list|comments?|commentlist|comment-\w+|disqus\w*|replies|respond|responses|discussion|reviews?|skip-?link|hidden|print-?only)(?:$|[\s_-])",
@@ -156,10 +158,10 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
                 path = f"{parent.path}>{_generalised(tag, found)}" if parent.path else _generalised(tag, found)
                 stack.append(Element(tag, parent, path, parent.dropped or _is_dropped(tag, found, parent)))
                 elements.append(stack[-1])
-            elif m[3]:
-                found = _attributes(m[3])
-                if found and _is_dropped(tag, found, stack[-1]):
-                    at = _skip(html, at, tag)
+            elif tag in DROPPED or m[3] and _is_dropped(tag, _attributes(m[3]), stack[-1]):
+                at = _skip(html, at, tag)
+        elif tag in MARKED and m[3] and _is_dropped(tag, _attributes(m[3]), stack[-1]):
+            at = _skip(html, at, tag)
     flush()
     return elements, blocks
 

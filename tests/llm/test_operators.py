@@ -249,6 +249,14 @@ def test_consensus(spark):
     assert got == {i: MAIN % (" x" * i) for i in range(5)} | {9: MAIN % ""}
 
 
+@pytest.mark.parametrize("inner,text", [
+    ("<p>a<span class='ad'>buy</span> b</p><label>Name</label><p>c</p>", "a b\n\nc"), ("<p hidden>x</p><p>y<p role=alert>z</p>", "y"), ("a<br>b<br/>c", "a b c"), ("<p>1 &lt; 2 &#x41;&nbsp;B", "1 < 2 A B"),
+    ("<table><tr><td>k<td>v</table>", "k\n\nv"), ("<p>x < y and <unclosed", "x < y and"), ("<div class='reader-comments'><p>no</p></div><pre> a\n b </pre>", "a b"), ("<section id=comments>no</section><p>yes", "yes"),
+])
+def test_blocks(inner, text):
+    assert html.extract(f"<body><article>{inner}</article></body>", "body>article") == text
+
+
 @needs_data
 def test_articles(spark):
     from html import unescape

@@ -22,10 +22,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerloom.plans.shipping import ship
 
+from .common import sliced
+
 SAMPLE_DOCS, SAMPLE_PASSAGES = 6000, 32
 PASSAGE, SLOTS, DOC_SLOTS = 512, 1024, 65536
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 24, 16, 40, 64, 0.01
-CHUNK_BYTES = 4_000_000
+#: Characters encoded at once, and rows taken from a batch at once: what a task holds in memory.
+CHUNK_CHARS, ROWS = 500_000, 256
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",;:", b"!?", b"#*$%&~^@", b"|", b"<>{}[]()=\\/", b"'\"`", b"-_+"]
 N_CLASSES = len(_GROUPS) + 2
@@ -115,7 +118,7 @@ class Model:
         out, at = [], 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK_BYTES):
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK_CHARS):
                 size += len(texts[upto])
                 upto += 1
             out.append(self.forward(*encode(texts[at:upto]))["y"])
@@ -202,9 +205,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.score([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.append_column("score", pa.array(np.clip(found, 0, 1), pa.float64()))
+        for part in sliced(batches, ROWS):
+            found = model.score([t or "" for t in part.column(at).to_pylist()])
+            yield part.append_column("score", pa.array(np.clip(found, 0, 1), pa.float64()))
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)

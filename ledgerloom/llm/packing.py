@@ -150,7 +150,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc_id.as_py(), np.concatenate([encode(text.as_py() or ""), end]))
-                if len(packer.rows) >= 4096:
+                if len(packer.rows) >= 1024:
                     yield packer.take(schema)
         if packer.open:
             packer.close()

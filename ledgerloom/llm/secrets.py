@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.shipping import ship
 
+from .common import sliced
+
 # The base patterns, in the order of the kinds.
 BASE = {
     "assign": re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -238,7 +240,7 @@ def scan(docs: DataFrame, formats: Formats | None = None, keep: tuple[str, ...]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             texts, spans = batch.column("text").to_pylist(), []
             for i, text in enumerate(texts):
                 base = base_spans(text or "")

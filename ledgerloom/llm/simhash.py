@@ -28,7 +28,7 @@ from .common import Scratch, local_forest, mix64
 from .components import components
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-PASSES, CHUNK, BUCKET_VALUES = 6, 2048, 1_500_000
+PASSES, CHUNK, BUCKET_VALUES = 6, 512, 750_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -117,7 +117,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bits: int
     """Links (a, b) of ``distinct(fp)`` that join the same fingerprints as all pairs within ``radius`` in the lower ``bits``."""
     masks, n = ball(radius // 2, bits), distinct.count()
     buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
-    dealt = distinct.select("fp").repartition(max(12, -(-n // (4 * CHUNK))), "fp")
+    dealt = distinct.select("fp").repartition(max(12, -(-n // (16 * CHUNK))), "fp")
 
     def collide(group: pa.Table) -> pa.Table:
         values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("v")])

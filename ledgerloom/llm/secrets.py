@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.shipping import ship
 
-from .common import sliced
+from .common import Scratch, sliced
 
 # The base patterns, in the order of the kinds.
 BASE = {
@@ -216,11 +216,13 @@ def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_str
                         found["ordinary", m[0][:256]] = None
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
 
-    found = few.select("text").mapInArrow(run, "kind string, value string").distinct()
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found = scratch.keep(few.select("text").mapInArrow(run, "kind string, value string").distinct())
     out: list[tuple[str, str]] = []
     for kind in (*BASE, "ordinary"):
         chosen = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample_strings)
         out += [(r.kind, r.value) for r in chosen.collect()]
+    scratch.drop(found)
     return out
 
 

@@ -40,8 +40,8 @@ LENGTH, GRAM = 50, 24
 #: Bytes of a chunk of documents, of a slice hashed at once (fits a cache), and of the segments of a part.
 CHUNK, SLICE, PART = 4_000_000, 131_072, 700_000
 ANCHORS_PART = 600_000
-#: An anchor in more chunks than this is hot.
-HOT_CHUNKS = 32
+#: An anchor in more chunks than this is hot: one part then stays within some ten megabytes.
+HOT_CHUNKS = 256
 PLACE_BITS = np.uint64(24)
 
 

@@ -113,8 +113,30 @@ def meeting(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.nda
     return local_forest(pairs[linked, 0], pairs[linked, 1])
 
 
-def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bits: int = 64, passes: int = PASSES) -> DataFrame:
-    """Links (a, b) of ``distinct(fp)`` that join the same fingerprints as all pairs within ``radius`` in the lower ``bits``."""
+def candidates(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, large) of the owners that share a value: every pair of a meeting of ``SMALL`` at most, a spanning forest of the larger ones."""
+    order = np.argsort(values)
+    values, owners = values[order], owners[order]
+    group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    count = np.bincount(group)[group] if len(group) else group
+    big = count > SMALL
+    group, small = group[(count > 1) & ~big], owners[(count > 1) & ~big]
+    found = [np.zeros((0, 2), np.uint64)]
+    for off in range(1, SMALL):
+        at = np.flatnonzero(group[off:] == group[:-off])
+        if not len(at):
+            break
+        found.append(np.stack([np.minimum(small[at], small[at + off]), np.maximum(small[at], small[at + off])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    a, b = meeting(values[big], owners[big], radius)
+    return np.concatenate([pairs[:, 0], a]), np.concatenate([pairs[:, 1], b]), np.concatenate([np.zeros(len(pairs), bool), np.ones(len(a), bool)])
+
+
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bits: int = 64, passes: int = PASSES, pairs: bool = False) -> DataFrame:
+    """Links (a, b) of ``distinct(fp)`` that join the same fingerprints as all pairs within ``radius`` in the lower ``bits``.
+
+    With ``pairs`` they are (a, b, large), as of ``candidates``.
+    """
     masks, n = ball(radius // 2, bits), distinct.count()
     buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
     dealt = distinct.select("fp").repartition(max(12, -(-n // (16 * CHUNK))), "fp")
@@ -122,13 +144,16 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bits: int
     def collide(group: pa.Table) -> pa.Table:
         values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("v")])
         owners = values ^ masks[np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in group.column("m")])]
+        if pairs:
+            a, b, large = candidates(values, owners, radius)
+            return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "large": large})
         a, b = meeting(values, owners, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     found = None
     for part in range(passes):
         blobs = dealt.mapInArrow(_emit(part, buckets, masks, passes), "bucket int, v binary, m binary")
-        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long"))
+        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long, large boolean" if pairs else "a long, b long"))
         found = new if found is None else found.union(new)
     return found
 
@@ -162,6 +187,9 @@ SIMILARITY = 0.8
 #: Of all 320 bits, texts at the threshold differ in 48 on average (deviation 6): up to SURE they are linked, up to
 #: MOST_APART their shingles are compared.
 SURE, MOST_APART = 32, 76
+#: Meetings of so many are paired all with all, and so are the texts of two linked fingerprints if that makes no more
+#: than ``SMALL_PAIRS``; the members of larger ones are asked of hubs.
+SMALL, SMALL_PAIRS = 12, 64
 
 
 def signature(text: str, width: int) -> list[int]:
@@ -207,22 +235,76 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     meet in some table. Candidates that all 320 bits together neither confirm
     nor rule out are decided by their shingle sets.
 
+    Every candidate pair is measured unless links already join its texts.
+    Meetings of few are paired; of larger ones hubs are asked, new ones in each
+    round until a crowd is one class or all its members were hubs.
+
     Rows with a null doc_id are left out; texts without a word are one class.
     40 bits serve some 10^8 texts; beyond, raise ``TABLE_BITS`` and ``TABLES``.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     sigs = scratch.keep(signatures(docs.where("doc_id IS NOT NULL"), width))
     texts = scratch.keep(sigs.groupBy("sig").agg(F.min("doc_id").alias("least")))
-    values = texts.select("least", F.explode("sig").alias("fp"))
-    nodes = scratch.keep(values.groupBy("fp").agg(F.min("least").alias("first")))
+    values = scratch.keep(texts.select("least", F.explode("sig").alias("fp")))
+    nodes = scratch.keep(values.groupBy("fp").agg(F.min("least").alias("first"), F.count("*").alias("n")))
     near = None
     for t in range(TABLES):
         table = nodes.where(F.shiftright("fp", TABLE_BITS) == t)
-        found = links(table, scratch, RADIUS, TABLE_BITS, TABLE_PASSES)
+        found = links(table, scratch, RADIUS, TABLE_BITS, TABLE_PASSES, pairs=True)
         near = found if near is None else near.union(found)
-    ends = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("da")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("db")), "b")
-    same = values.join(nodes, "fp").where("least != first")
-    pairs = ends.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same.select(F.col("least").alias("a"), F.col("first").alias("b")))
+    near = near.groupBy("a", "b").agg(F.bool_or("large").alias("large"), F.bool_or(~F.col("large")).alias("small"))
+    near = near.join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+    near = scratch.keep(near.withColumn("few", F.col("na") * F.col("nb") <= SMALL_PAIRS))
+
+    # Pairs to be measured at once, and groups of texts that met in too large numbers.
+    direct = near.where("small AND few").select("a", "b").union(nodes.where(F.col("n").between(2, SMALL)).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    owner = lambda x, d: values.select(F.col("fp").alias(x), F.col("least").alias(d))
+    pairs = direct.join(owner("a", "da"), "a").join(owner("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    joined = scratch.keep(near.where("large OR NOT few").select("a", "b"))
+    crowds = components(joined, scratch)
+    alone = nodes.where(F.col("n") > SMALL).select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(crowds.select("node"), "node", "left_anti")
+    crowds = scratch.keep(crowds.unionByName(alone))
+    members = scratch.keep(values.join(crowds.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("crowd"), F.col("least").alias("text")).distinct())
+
+    linked = _verified(pairs, docs, texts, scratch, width)
+    roots = scratch.keep(components(linked, scratch))
+    turn = 0
+    while True:
+        placed = members.join(roots.withColumnRenamed("node", "text"), "text", "left").select("crowd", "text", F.coalesce("root", "text").alias("root"))
+        placed = scratch.keep(placed)
+        split = placed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("crowd")
+        placed = scratch.keep(placed.join(split, "crowd", "left_semi"))
+        if placed.isEmpty():
+            break
+        hubs = _hubs(placed, linked, turn, scratch)
+        asked = placed.join(hubs.select("crowd", F.col("text").alias("hub"), F.col("root").alias("of")), "crowd").where("root != of").select(F.col("text").alias("a"), F.col("hub").alias("b"))
+        linked = scratch.keep(linked.union(_verified(asked, docs, texts, scratch, width)).distinct())
+        members = scratch.keep(placed.join(hubs.select("crowd", "text"), ["crowd", "text"], "left_anti").select("crowd", "text"))
+        roots = scratch.keep(components(linked, scratch))
+        turn += 1
+    rooted = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
+    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = scratch.keep(rooted.join(first, "root").select("sig", "component_id"))
+    return sigs.join(classes, "sig").select("doc_id", "component_id")
+
+
+def _hubs(placed: DataFrame, linked: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """(crowd, text, root): of each crowd's members those with the most and with the fewest links, in 2^turn slots each.
+
+    The text that others were edited from has the most links as soon as two of
+    its copies were asked. A hub is asked of every member outside its class and
+    then leaves the crowd, so that no pair is left out whoever is chosen.
+    """
+    degrees = linked.select(F.col("a").alias("text")).union(linked.select("b")).groupBy("text").agg(F.count("*").alias("links"))
+    key = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("text").alias("h"), "text", "root").alias("key")
+    slot = F.pmod(F.xxhash64("text", F.lit(turn)), F.lit(1 << min(turn, 30))).alias("slot")
+    ends = placed.join(degrees, "text", "left").select("crowd", slot, key).groupBy("crowd", "slot").agg(F.max("key").alias("most"), F.min("key").alias("fewest"))
+    chosen = ends.select("crowd", F.explode(F.array("most", "fewest")).alias("key")).select("crowd", "key.text", "key.root")
+    return scratch.keep(chosen.distinct())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of texts that are similar: by all their bits, or else by their shingle sets."""
     pairs = scratch.keep(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left = texts.select(F.col("least").alias("a"), F.col("sig").alias("sa"))
     right = texts.select(F.col("least").alias("b"), F.col("sig").alias("sb"))
@@ -234,12 +316,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     both = unsure.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     decided = both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    linked = scratch.keep(measured.where(F.col("apart") <= SURE).select("a", "b").union(decided))
-    roots = components(linked, scratch)
-    rooted = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
-    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = scratch.keep(rooted.join(first, "root").select("sig", "component_id"))
-    return sigs.join(classes, "sig").select("doc_id", "component_id")
+    return scratch.keep(measured.where(F.col("apart") <= SURE).select("a", "b").union(decided))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -114,6 +114,38 @@ def test_similar(spark):
         assert not others or max(jaccard(i, j) for j in others) >= 0.75
 
 
+def test_similar_to_one_original(spark):
+    """Copies edited each by itself are similar to their original, and hardly to one another."""
+    base, n = words(300, 77, 5000), 1000
+    rows = [(5000, " ".join(base))]
+    for k in range(n):
+        r, ws = random.Random(k), list(base)
+        for i in range(6):
+            ws[i * 49 + r.randrange(45)] = f"e{k}x{i}"
+        rows.append((k, " ".join(ws)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    similar = [k for k in range(n) if jaccard(k, 5000) >= 0.8]
+    assert len(similar) >= 0.9 * n and np.mean([jaccard(k, k + 1) < 0.8 for k in range(n - 1)]) > 0.9
+    got = {x.doc_id: x.component_id for x in simhash.similar(documents(spark, rows)).collect()}
+    assert len(got) == n + 1
+    assert np.mean([got[k] == got[5000] for k in similar]) >= 0.9
+
+
+def test_candidates_are_all_pairs_of_small_meetings():
+    ball = simhash.ball(2, 40)
+    owners = np.array([0, 15, 240, 3855], np.uint64)
+    values = (owners[:, None] ^ ball).ravel()
+    a, b, large = simhash.candidates(values, np.repeat(owners, len(ball)), 4)
+    assert not large.any()
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 15), (0, 240), (15, 3855)}
+    chain = np.array([1, 2, 4], np.uint64)  # all within two bits of zero
+    a, b, large = simhash.candidates(np.zeros(3, np.uint64), chain, 4)
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (1, 4), (2, 4)} and not large.any()
+    a, b, large = simhash.candidates(np.zeros(40, np.uint64), np.uint64(1) << np.arange(40, dtype=np.uint64), 4)
+    assert large.all() and len(a) == 39
+
+
 def test_ball():
     assert len(simhash.ball(2)) == 1 + 64 + 64 * 63 // 2
 

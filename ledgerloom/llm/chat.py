@@ -5,14 +5,16 @@ is the assistant and the others are users with their names; the mask marks the
 text that the assistant says. System turns belong to nobody and are rendered
 as such in every perspective.
 
-One shuffle on the dialogue brings its turns together once; rotation happens
-after it, inside the row. A dialogue of more than ``SEGMENT_TURNS`` turns is
-rendered in segments of turn numbers, so that no group grows without bound.
+Rotation happens after the turns are brought together, inside the row. A
+dialogue of more than ``SEGMENT_TURNS`` turns is rendered in segments of so many
+turns, counted by position and not by turn number, so that no group grows
+without bound; every participant of the dialogue has a row for every segment.
+Positions come from counts of ranges of turn numbers and the place in a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_TURNS = 1024
@@ -33,11 +35,17 @@ def render(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     columns are ignored.
     """
     role = F.when(F.coalesce(F.trim("role"), F.lit("")) == "", UNNAMED).otherwise(F.col("role"))
-    turn = F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    segment = F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0)).cast("long")
-    grouped = turns.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM)))
-    rotated = grouped.select("conv_id", "segment", "turns", F.explode(names).alias("perspective"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / segment_turns).alias("range"))
+    counts = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("conv_id").alias("conv"), F.col("range").alias("of"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")) - 1
+    placed = rows.withColumn("place", place).join(starts, F.col("conv_id").eqNullSafe(F.col("conv")) & F.col("range").eqNullSafe(F.col("of")))
+    segment = F.floor((F.col("before") + F.col("place")) / segment_turns).cast("long")
+    turn = F.struct("turn", "role", "text")
+    grouped = placed.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    names = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
+    rotated = grouped.join(names, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
 
     def head(t):
         return (

@@ -98,3 +98,23 @@ def test_conversations(spark):
     assert [r.rendered[m.start : m.end] for m in r["mask"]] == ["hi<|end|>\n"] * 2
     assert r.rendered.startswith("<|user name=unknown|>\nx<|end|>\n<|assistant|>\nhi")
     assert chat.render(df.limit(0)).collect() == []
+
+
+def test_chat_keeps_long_dialogues_whole(spark):
+    """Every participant has every segment; segments are counted by position, whatever the turn numbers are."""
+    from ledgerloom.llm import chat
+
+    long = [("long", i, "system" if i == 0 else "a" if i < 12 else "b", f"t{i}") for i in range(20)]
+    sparse = [("sparse", i * 1000, "ab"[i % 2], f"s{i}") for i in range(8)]
+    rows = [*long, *sparse, (None, None, "a", "first"), (None, -5, "b", "second")]
+    found = chat.render(spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string"), 8).collect()
+    got = {(x.conv_id, x.perspective, x.segment): x for x in found}
+    assert len(got) == len(found)
+    assert set(got) == {*(("long", p, s) for p in "ab" for s in range(3)), *(("sparse", p, 0) for p in "ab"), *((None, p, 0) for p in "ab")}
+    for conv in ("long", "sparse", None):
+        for p in "ab":
+            parts = [got[k] for k in sorted((k for k in got if k[:2] == (conv, p)), key=lambda k: k[2])]
+            turns = [r for r in rows if r[0] == conv]
+            head = lambda r: "<|system|>\n" if r[2] == "system" else "<|assistant|>\n" if r[2] == p else f"<|user name={r[2]}|>\n"
+            assert "".join(x.rendered for x in parts) == "".join(f"{head(r)}{r[3]}<|end|>\n" for r in turns)
+            assert [x.rendered[m.start : m.end] for x in parts for m in x.mask] == [f"{r[3]}<|end|>\n" for r in turns if r[2] == p]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 @lru_cache(maxsize=2)
 def encoder(path: str | None):
-    """A function from a text to its ids as an array.
-
-    The vocabulary file is read by the tokenizers library. Where a text holds only
-    characters below U+0250 and no special token, the same ranks are applied by
-    the faster byte-pair encoder of tiktoken, which gives the same ids.
+    """A function from a text to its ids as an array: those of the vocabulary file in the tokenizers library.
+
+    A text is cut between an ASCII character and a blank or line feed after it,
+    where no token of the library's pattern goes across and none looks ahead.
+    Pieces of characters below U+0250 without a special token are encoded by
+    tiktoken with the file's ranks, which is faster and gives the same ids;
+    what holds other characters, and what tiktoken refuses (a million blanks
+    in a row), goes to the library itself.
     """
     import json
     import re
@@ -55,11 +59,22 @@ def encoder(path: str | None):
     ranks = {bytes(shown[c] for c in t): i for t, i in model["vocab"].items() if t != SPECIAL}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     other = re.compile(f"[^\x00-ɏ]|{re.escape(SPECIAL)}").search
+    cut = re.compile(r"(?<=[!-~])(?=[ \n])").split
+
+    def slow(piece: str) -> np.ndarray:
+        return np.array(whole.encode(piece, add_special_tokens=False).ids, np.uint32)
+
+    def quick(piece: str) -> np.ndarray:
+        try:
+            return np.asarray(fast.encode_to_numpy(piece, disallowed_special=()), np.uint32)
+        except ValueError:
+            return slow(piece)
 
     def encode(text: str) -> np.ndarray:
-        if other(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not other(text):
+            return quick(text)
+        runs = groupby(cut(text), key=lambda piece: bool(other(piece)))
+        return np.concatenate([(slow if rare else quick)("".join(pieces)) for rare, pieces in runs])
 
     return encode
 
@@ -138,7 +153,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """One row for each piece of ``docs(doc_id, text)``, with its ids (little-endian unsigned 32-bit).
 
     ``start`` is the piece's place in its document, ``offset`` its place in its
-    sequence. A null text counts as empty and gives the single id ``end_id``; a
+    sequence. A document of ``capacity`` ids or more gives full windows first,
+    which need no balancing; what is left of it is packed by differencing. A null text counts as empty and gives the single id ``end_id``; a
     null doc_id is carried through; repeated rows are packed each on its own; an
     empty table gives no rows; other columns are ignored.
     """

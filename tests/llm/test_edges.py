@@ -118,3 +118,23 @@ def test_chat_keeps_long_dialogues_whole(spark):
             head = lambda r: "<|system|>\n" if r[2] == "system" else "<|assistant|>\n" if r[2] == p else f"<|user name={r[2]}|>\n"
             assert "".join(x.rendered for x in parts) == "".join(f"{head(r)}{r[3]}<|end|>\n" for r in turns)
             assert [x.rendered[m.start : m.end] for x in parts for m in x.mask] == [f"{r[3]}<|end|>\n" for r in turns if r[2] == p]
+
+
+def test_encoder_on_long_runs_and_mixed_texts():
+    """The ids are those of the library for runs beyond a pattern's limits and for texts with rare characters in places."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, mine = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(None)
+    same = lambda s: mine(s).tolist() == t.encode(s, add_special_tokens=False).ids
+    n = 1_000_001
+    for s in (" " * n + "x", "\n" * n + "x", "word " + " \n" * (n // 2) + " end", "a" * n, "é" * 1000, "?" * 5000, " " * n):
+        assert same(s)
+    r = random.Random(4)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\u3000", "a", "l'été", "'s", "9", "!?", "漢字", "\U0001f600", "<|endoftext|>", "x<|endoftext|>", "e\u0301", "\u0660", "\x00", "\x85"]
+    for _ in range(3000):
+        assert same("".join(r.choice(bits) for _ in range(r.randrange(12))))
+    assert np.concatenate([mine(""), mine("a")]).dtype == np.uint32

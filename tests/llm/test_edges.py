@@ -138,3 +138,20 @@ def test_encoder_on_long_runs_and_mixed_texts():
     for _ in range(3000):
         assert same("".join(r.choice(bits) for _ in range(r.randrange(12))))
     assert np.concatenate([mine(""), mine("a")]).dtype == np.uint32
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div>" * 100_000 + "text", "text"), ("x " + "<a " * 350_000, "x " + " ".join(["<a"] * 350_000)), ("<p>x</p>" + "<!-- " * 200_000, "x"), ("<p>x" + "<! " * 200_000, "x" + " ".join(["<!"] * 200_000)),
+    ("<article><p>x</p>" + "<p class=ad>" * 100_000 + "</article>", "x"), ("<article><p>x</p>" + "<span class=ad>" * 100_000 + "y</article>", "x\n\ny"), ("<p>x</p>" + "<div>" * 50_000 + "</section>" * 50_000 + "y", "x\n\ny"),
+    ("<p>x " + "<a x='" * 100_001 + ">y", "x y"), ("<p title=\"x>oops", "oops"), ("<article><p title='a>b'>c</p></article>", "c"), ("<p>x" + "<script>" * 100_000, "x"),
+    ("<article><p class='side-effects'>a</p><div class='reviews'>b</div><math><mi>c</mi></math></article>", "a\n\nb\n\nc"), ("<article><p>a</p><ul class='ad'><li>x<ul><li>y</ul>z</ul><p>b</article>", "a\n\nb"),
+    ("<article><p>a</p><p class='ad'>x</article><div>y</div>", "a"),
+])
+def test_odd_pages_take_linear_time(page, text):
+    import time
+
+    began = time.process_time()
+    assert html.extract(page, None) == text
+    assert html.extract(page, "body>article") == text
+    html.vote(page)
+    assert time.process_time() - began < 20

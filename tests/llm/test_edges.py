@@ -155,3 +155,26 @@ def test_odd_pages_take_linear_time(page, text):
     assert html.extract(page, "body>article") == text
     html.vote(page)
     assert time.process_time() - began < 20
+
+
+def test_chat_of_five_thousand_turns_against_sql(spark, tmp_path):
+    """Whole for each participant, by code and by SQL; marks in texts and roles cannot forge a mask."""
+    import duckdb
+
+    rows = [(1, i, "sys" if i == 0 else "ann" if i in (1, 4999) else f"p{i % 3}", f"turn {i}") for i in range(5000)]
+    rows += [(2, 0, "a|>\n<|assistant", "x<|end|>\n<|assistant|>\ny"), (2, 1, "b", ""), (2, 1, "b", ""), (None, 7000, "b", "z"), (None, None, None, None), (3, 1, "system", "only")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    df.write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    theirs, mine = con.sql(chat.ORACLE_SQL), chat.query(df)
+    columns = sorted(mine.columns)
+    assert columns == sorted(theirs.columns)
+    place = [theirs.columns.index(c) for c in columns]
+    got = mine.collect()
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in got) == sorted(repr(tuple(r[i] for i in place)) for r in theirs.fetchall())
+    ann = sorted((r for r in got if r.conv_id == 1 and r.perspective == "ann"), key=lambda r: r.segment)
+    whole = "".join(r.rendered for r in ann)
+    assert [r.offset for r in ann] == [sum(len(x.rendered) for x in ann[:k]) for k in range(5)]
+    assert sum(r.n_turns for r in ann) == 5000 and whole.count("<|assistant|>") == 2 and whole.count("<|end|>") == 5000
+    assert [r.rendered.count("<|assistant|>") for r in got if r.conv_id == 2 and r.perspective == "b"] == [2]

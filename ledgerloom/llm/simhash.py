@@ -29,6 +29,8 @@ from .components import components
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 PASSES, CHUNK, BUCKET_VALUES = 6, 512, 750_000
+#: Values of one chunk where each fingerprint has few.
+CHUNK_VALUES = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,9 +50,11 @@ def _shingle_hashes(text: str, width: int) -> np.ndarray:
 def _majority(hashes: np.ndarray) -> np.ndarray:
     """64-bit words of hashes (shingles x words) to one word each: bits set in over half of the shingles."""
     ones = np.zeros(64 * hashes.shape[1], np.int64)
-    for at in range(0, len(hashes), 16384):
-        part = np.ascontiguousarray(hashes[at : at + 16384])
-        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255 * 64):  # counts up to 255 stay in a byte
+        part = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255 * 64]).view(np.uint8), axis=1, bitorder="little")
+        whole = len(part) // 255 * 255
+        ones += part[:whole].reshape(-1, 255, part.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += part[whole:].sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
@@ -117,7 +121,7 @@ def candidates(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.
     """(a, b, large) of the owners that share a value: every pair of a meeting of ``SMALL`` at most, a spanning forest of the larger ones."""
     order = np.argsort(values)
     values, owners = values[order], owners[order]
-    group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]) - 1
     count = np.bincount(group)[group] if len(group) else group
     big = count > SMALL
     group, small = group[(count > 1) & ~big], owners[(count > 1) & ~big]
@@ -179,28 +183,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- similar texts: several shorter fingerprints -----------------------------
+# --- similar texts: many shorter fingerprints --------------------------------
 
-#: Independent fingerprints of a text, bits of each, and passes over each one's values.
-TABLES, TABLE_BITS, TABLE_PASSES = 8, 40, 3
+#: Bits of a text's signature, tables of fingerprints drawn from them, bits of a fingerprint and the distance that links.
+SIGNATURE, TABLES, TABLE_BITS, TABLE_RADIUS = 1024, 56, 38, 2
+#: Tables whose links come first and join most classes; passes over the values of all tables.
+FIRST_TABLES, TABLE_PASSES = 8, 4
 SIMILARITY = 0.8
-#: Of all 320 bits, texts at the threshold differ in 48 on average (deviation 6): up to SURE they are linked, up to
-#: MOST_APART their shingles are compared.
-SURE, MOST_APART = 32, 76
+#: Of the signature's bits, texts at the threshold differ in 155 on average (deviation 11.5): up to SURE they are linked,
+#: which is wrong for one of 2000 pairs there; up to MOST_APART their shingles are compared, which leaves out one of 10^5.
+SURE, MOST_APART = 117, 207
 #: Meetings of so many are paired all with all, and so are the texts of two linked fingerprints if that makes no more
 #: than ``SMALL_PAIRS``; the members of larger ones are asked of hubs.
 SMALL, SMALL_PAIRS = 12, 64
 
 
-def signature(text: str, width: int) -> list[int]:
-    """``TABLES`` fingerprints of the distinct shingles, the table's number above each one's ``TABLE_BITS`` bits."""
+def _table_places() -> np.ndarray:
+    """The bits of the signature that each table reads: rows of a few fixed permutations, one after the other."""
+    need = TABLES * TABLE_BITS
+    order = [np.argsort(mix64(np.arange(SIGNATURE, dtype=np.uint64) + np.uint64(SIGNATURE * k + 1))) for k in range(-(-need // SIGNATURE))]
+    return np.concatenate(order)[:need].reshape(TABLES, TABLE_BITS)
+
+
+def signature(text: str, width: int) -> np.ndarray:
+    """SimHash of the distinct shingles, ``SIGNATURE`` bits in 64-bit words."""
     hashes = np.unique(_shingle_hashes(text, width))
-    words = -(-TABLES * TABLE_BITS // 64)
-    salts = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    bits = np.unpackbits(_majority(mix64(hashes[:, None] ^ salts)).view(np.uint8), bitorder="little")[: TABLES * TABLE_BITS]
-    rows = np.zeros((TABLES, 64), np.uint8)
-    rows[:, :TABLE_BITS] = bits.reshape(TABLES, TABLE_BITS)
-    return (np.packbits(rows, axis=1, bitorder="little").view("<u8")[:, 0] | (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))).tolist()
+    salts = mix64(np.arange(1, SIGNATURE // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return _majority(mix64(hashes[:, None] ^ salts))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -208,12 +217,29 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t.as_py() or "", width) for t in batch.column(1)]
+            found = [signature(t.as_py() or "", width).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sig array<long>")
 
 
+def table_values(texts: DataFrame) -> DataFrame:
+    """(least, fp) of ``texts(least, sig)``: ``TABLES`` fingerprints of each, the table's number above the bits."""
+    places = _table_places()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+            rows = np.zeros((batch.num_rows, TABLES, 64), np.uint8)
+            rows[:, :, :TABLE_BITS] = bits[:, places]
+            fps = np.packbits(rows, axis=2, bitorder="little").view("<u8")[:, :, 0] | (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))
+            least = np.repeat(batch.column(0).to_numpy(), TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(fps.ravel().view(np.int64))], names=["least", "fp"])
+
+    return texts.select("least", "sig").mapInArrow(run, "least long, fp long")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles array<long>): the hashes of each text's distinct shingles."""
 
@@ -225,49 +251,153 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def _emit_rooted(part: int, buckets: int, masks: np.ndarray, passes: int):
+    """As ``_emit``, with the class of fingerprints that have one: bit 7 of the mask's number tells so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            classed = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            root = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            step = CHUNK_VALUES // len(masks)
+            for at in range(0, len(whole), step):
+                values = (whole[at : at + step, None] ^ masks).ravel()
+                mixed = mix64(values)
+                mine = np.flatnonzero((mixed >> np.uint64(32)) % np.uint64(passes) == part)
+                bucket = ((mixed[mine] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                mine, bucket = mine[order], bucket[order]
+                owner = at + mine // len(masks)
+                flag = classed[owner]
+                kind = (mine % len(masks)).astype(np.uint8) | (flag.astype(np.uint8) << np.uint8(7))
+                upto, roots = np.concatenate([[0], np.cumsum(flag)]), root[owner[flag]]
+                begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+                edges = [*zip(begin, [*begin[1:], len(mine)][: len(begin)], strict=True)]
+                blobs = [[v[i:j].tobytes() for i, j in edges] for v in (values[mine], kind)] + [[roots[upto[i] : upto[j]].tobytes() for i, j in edges]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "v", "m", "r"])
+
+    return run
+
+
+def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) -> DataFrame:
+    """Links of ``nodes(fp, root)`` at values where not all that meet are of one class (root; null: of none).
+
+    With ``pairs`` they are (a, b, large), as of ``candidates``; else a forest (a, b).
+    """
+    masks, n = ball(TABLE_RADIUS // 2, TABLE_BITS), nodes.count()
+    buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
+    dealt = nodes.select("fp", "root").repartition(max(12, -(-n * len(masks) // (8 * CHUNK_VALUES))), "fp")
+
+    def collide(group: pa.Table) -> pa.Table:
+        get = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
+        values, kind, roots = get("v", np.uint64), get("m", np.uint8), get("r", np.int64)
+        order = np.argsort(values)
+        flag = kind >> np.uint8(7) == 1
+        root = np.zeros(len(values), np.int64)
+        root[flag] = roots
+        values, flag, root = values[order], flag[order], root[order]
+        owners = values ^ masks[(kind & np.uint8(127))[order]]
+        same = values[1:] == values[:-1]
+        differ = same & ~(flag[1:] & flag[:-1] & (root[1:] == root[:-1]))
+        group_of = np.cumsum(np.concatenate([[True], ~same])[: len(values)]) - 1
+        is_open = np.zeros(len(values), bool)
+        is_open[np.flatnonzero(differ) + 1] = True
+        open_groups = np.zeros(int(group_of[-1]) + 1 if len(values) else 0, bool)
+        open_groups[group_of[is_open]] = True
+        keep = open_groups[group_of]
+        if pairs:
+            a, b, large = candidates(values[keep], owners[keep], TABLE_RADIUS)
+            return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "large": large})
+        a, b = meeting(values[keep], owners[keep], TABLE_RADIUS)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    found = None
+    for part in range(passes):
+        blobs = dealt.mapInArrow(_emit_rooted(part, buckets, masks, passes), "bucket int, v binary, m binary, r binary")
+        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long, large boolean" if pairs else "a long, b long"))
+        found = new if found is None else found.union(new)
+    return found
+
+
 def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, component_id): classes of texts whose shingle sets are similar, 0.8 or more in Jaccard's measure.
 
     At that similarity about 15% of SimHash's bits differ, so one 64-bit
-    fingerprint within four bits would miss nearly all such pairs. Each of eight
-    independent 40-bit fingerprints is within four bits for every fourth pair
-    at least, so that nine of ten pairs at the threshold, and more above it,
-    meet in some table. Candidates that all 320 bits together neither confirm
-    nor rule out are decided by their shingle sets.
-
-    Every candidate pair is measured unless links already join its texts.
-    Meetings of few are paired; of larger ones hubs are asked, new ones in each
-    round until a crowd is one class or all its members were hubs.
-
-    Rows with a null doc_id are left out; texts without a word are one class.
-    40 bits serve some 10^8 texts; beyond, raise ``TABLE_BITS`` and ``TABLES``.
+    fingerprint within four bits would miss nearly all such pairs. Each of 56
+    fingerprints of 38 bits, drawn from a signature of 1024, is within two bits
+    for every sixteenth pair at least, so that nine of ten pairs at the
+    threshold, and more above it, meet in some table. Candidates that the whole
+    signatures neither confirm nor rule out are decided by their shingle sets.
+
+    Classes grow in three steps, so that large groups of copies make no pairs
+    within: texts with an equal fingerprint are asked of the first of them; then
+    meetings in the first tables are asked of one of them each; last, all
+    tables are searched for meetings between what are still different classes,
+    and there every pair is measured. Meetings of few are paired; of larger ones
+    hubs are asked, new ones in each round until a crowd is one class or all its
+    members were hubs.
+
+    Rows with a null doc_id are left out; texts without a word are one class. A
+    text meets n * 56 * 742 / 2^38 strangers among n others: 15 for 10^8 texts,
+    each one a pair of signatures to compare. For more, longer fingerprints in
+    more tables keep that low: 48 bits in 150 tables find as many pairs.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     sigs = scratch.keep(signatures(docs.where("doc_id IS NOT NULL"), width))
     texts = scratch.keep(sigs.groupBy("sig").agg(F.min("doc_id").alias("least")))
-    values = scratch.keep(texts.select("least", F.explode("sig").alias("fp")))
+    values = scratch.keep(table_values(texts))
     nodes = scratch.keep(values.groupBy("fp").agg(F.min("least").alias("first"), F.count("*").alias("n")))
-    near = None
-    for t in range(TABLES):
-        table = nodes.where(F.shiftright("fp", TABLE_BITS) == t)
-        found = links(table, scratch, RADIUS, TABLE_BITS, TABLE_PASSES, pairs=True)
-        near = found if near is None else near.union(found)
-    near = near.groupBy("a", "b").agg(F.bool_or("large").alias("large"), F.bool_or(~F.col("large")).alias("small"))
-    near = near.join(nodes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+
+    # equal fingerprints
+    equal = values.join(nodes.where("n > 1").select("fp", "first"), "fp").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    linked = _verified(equal, docs, texts, scratch, width)
+    roots = scratch.keep(components(linked, scratch))
+
+    def rooted() -> DataFrame:
+        """(fp, first, n, root): the class of each fingerprint's texts, null if they are of none or of several."""
+        classed = texts.join(roots.select(F.col("node").alias("least"), "root"), "least").select(F.col("root"), "least", "sig")
+        of = table_values(classed).join(classed.select("least", "root"), "least").groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
+        one = (F.col("low") == F.col("high")) & (F.col("c") == F.col("n"))
+        return scratch.keep(nodes.join(of, "fp", "left").select("fp", "first", "n", F.when(one, F.col("low")).alias("root")))
+
+    # neighbours in the first tables
+    classed = rooted()
+    some = classed.where(F.shiftright("fp", TABLE_BITS) < FIRST_TABLES)
+    near = open_links(some, scratch, 1, pairs=False)
+    end = lambda x, d: some.select(F.col("fp").alias(x), F.col("first").alias(d))
+    asked = near.distinct().join(end("a", "da"), "a").join(end("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    linked = scratch.keep(linked.union(_verified(asked, docs, texts, scratch, width)).distinct())
+    roots = scratch.keep(components(linked, scratch))
+    scratch.drop(classed)
+
+    # all neighbours of different classes
+    classed = rooted()
+    near = open_links(classed, scratch, TABLE_PASSES, pairs=True)
+    near = scratch.keep(near.groupBy("a", "b").agg(F.bool_or("large").alias("large"), F.bool_or(~F.col("large")).alias("small")))
+    mixed = classed.where("n > 1 AND root IS NULL")
+    touched = near.select(F.col("a").alias("fp")).union(near.select("b")).union(mixed.select("fp")).distinct()
+    touched = scratch.keep(touched)
+    counts = scratch.keep(classed.join(touched, "fp", "left_semi").select("fp", "n", "root"))
+    mine = values.join(touched, "fp", "left_semi").join(roots.withColumnRenamed("node", "least"), "least", "left")
+    mine = scratch.keep(mine.select("fp", "least", F.coalesce("root", "least").alias("root")))
+    scratch.drop(values, nodes, classed)
+    near = near.join(counts.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
     near = scratch.keep(near.withColumn("few", F.col("na") * F.col("nb") <= SMALL_PAIRS))
 
     # Pairs to be measured at once, and groups of texts that met in too large numbers.
-    direct = near.where("small AND few").select("a", "b").union(nodes.where(F.col("n").between(2, SMALL)).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    owner = lambda x, d: values.select(F.col("fp").alias(x), F.col("least").alias(d))
-    pairs = direct.join(owner("a", "da"), "a").join(owner("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    mixed = counts.where("n > 1 AND root IS NULL")
+    direct = near.where("small AND few").select("a", "b").union(mixed.where(F.col("n") <= SMALL).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    owner = lambda x: mine.select(F.col("fp").alias(x), F.col("least").alias(f"d{x}"), F.col("root").alias(f"r{x}"))
+    pairs = direct.join(owner("a"), "a").join(owner("b"), "b").where("ra != rb").select(F.col("da").alias("a"), F.col("db").alias("b"))
     joined = scratch.keep(near.where("large OR NOT few").select("a", "b"))
     crowds = components(joined, scratch)
-    alone = nodes.where(F.col("n") > SMALL).select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(crowds.select("node"), "node", "left_anti")
+    alone = mixed.where(F.col("n") > SMALL).select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(crowds.select("node"), "node", "left_anti")
     crowds = scratch.keep(crowds.unionByName(alone))
-    members = scratch.keep(values.join(crowds.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("crowd"), F.col("least").alias("text")).distinct())
+    members = scratch.keep(mine.select("fp", "least").join(crowds.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("crowd"), F.col("least").alias("text")).distinct())
 
-    linked = _verified(pairs, docs, texts, scratch, width)
+    linked = scratch.keep(linked.union(_verified(pairs, docs, texts, scratch, width)).distinct())
     roots = scratch.keep(components(linked, scratch))
+    scratch.drop(mine, counts, near, touched)
     turn = 0
     while True:
         placed = members.join(roots.withColumnRenamed("node", "text"), "text", "left").select("crowd", "text", F.coalesce("root", "text").alias("root"))
@@ -282,9 +412,9 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
         members = scratch.keep(placed.join(hubs.select("crowd", "text"), ["crowd", "text"], "left_anti").select("crowd", "text"))
         roots = scratch.keep(components(linked, scratch))
         turn += 1
-    rooted = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
-    first = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = scratch.keep(rooted.join(first, "root").select("sig", "component_id"))
+    rooted_texts = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
+    first = scratch.keep(rooted_texts.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = scratch.keep(rooted_texts.join(first, "root").select("sig", "component_id"))
     return sigs.join(classes, "sig").select("doc_id", "component_id")
 
 

@@ -117,20 +117,20 @@ def meeting(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.nda
     return local_forest(pairs[linked, 0], pairs[linked, 1])
 
 
-def candidates(values: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, large) of the owners that share a value: every pair of a meeting of ``SMALL`` at most, a spanning forest of the larger ones."""
+def candidates(values: np.ndarray, owners: np.ndarray, radius: int, small: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, large) of the owners that share a value: every pair of a meeting of ``small`` at most, a spanning forest of the larger ones."""
     order = np.argsort(values)
     values, owners = values[order], owners[order]
     group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]) - 1
     count = np.bincount(group)[group] if len(group) else group
-    big = count > SMALL
-    group, small = group[(count > 1) & ~big], owners[(count > 1) & ~big]
+    big = count > small
+    group, few = group[(count > 1) & ~big], owners[(count > 1) & ~big]
     found = [np.zeros((0, 2), np.uint64)]
-    for off in range(1, SMALL):
+    for off in range(1, small):
         at = np.flatnonzero(group[off:] == group[:-off])
         if not len(at):
             break
-        found.append(np.stack([np.minimum(small[at], small[at + off]), np.maximum(small[at], small[at + off])], axis=1))
+        found.append(np.stack([np.minimum(few[at], few[at + off]), np.maximum(few[at], few[at + off])], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     a, b = meeting(values[big], owners[big], radius)
     return np.concatenate([pairs[:, 0], a]), np.concatenate([pairs[:, 1], b]), np.concatenate([np.zeros(len(pairs), bool), np.ones(len(a), bool)])
@@ -193,9 +193,9 @@ SIMILARITY = 0.8
 #: Of the signature's bits, texts at the threshold differ in 155 on average (deviation 11.5): up to SURE they are linked,
 #: which is wrong for one of 2000 pairs there; up to MOST_APART their shingles are compared, which leaves out one of 10^5.
 SURE, MOST_APART = 117, 207
-#: Meetings of so many are paired all with all, and so are the texts of two linked fingerprints if that makes no more
-#: than ``SMALL_PAIRS``; the members of larger ones are asked of hubs.
-SMALL, SMALL_PAIRS = 12, 64
+#: So many texts of one fingerprint are paired all with all, and so are the texts of two linked fingerprints if that
+#: makes no more than ``SMALL_PAIRS``; the members of larger ones are asked of hubs.
+SMALL, SMALL_PAIRS = 32, 1024
 
 
 def _table_places() -> np.ndarray:
@@ -282,7 +282,9 @@ def _emit_rooted(part: int, buckets: int, masks: np.ndarray, passes: int):
 def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) -> DataFrame:
     """Links of ``nodes(fp, root)`` at values where not all that meet are of one class (root; null: of none).
 
-    With ``pairs`` they are (a, b, large), as of ``candidates``; else a forest (a, b).
+    With ``pairs`` they are all pairs of different classes, else a forest. A value
+    lies near no more fingerprints than the ball has masks, so that meetings are
+    of 39 at most.
     """
     masks, n = ball(TABLE_RADIUS // 2, TABLE_BITS), nodes.count()
     buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
@@ -306,15 +308,19 @@ def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) ->
         open_groups[group_of[is_open]] = True
         keep = open_groups[group_of]
         if pairs:
-            a, b, large = candidates(values[keep], owners[keep], TABLE_RADIUS)
-            return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "large": large})
-        a, b = meeting(values[keep], owners[keep], TABLE_RADIUS)
+            a, b, _ = candidates(values[keep], owners[keep], TABLE_RADIUS, len(masks))
+            known, at = np.unique(owners[keep], return_index=True)
+            x, y = (at[np.searchsorted(known, end)] for end in (a, b))
+            differ = ~(flag[keep][x] & flag[keep][y] & (root[keep][x] == root[keep][y]))
+            a, b = a[differ], b[differ]
+        else:
+            a, b = meeting(values[keep], owners[keep], TABLE_RADIUS)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     found = None
     for part in range(passes):
         blobs = dealt.mapInArrow(_emit_rooted(part, buckets, masks, passes), "bucket int, v binary, m binary, r binary")
-        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long, large boolean" if pairs else "a long, b long"))
+        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long"))
         found = new if found is None else found.union(new)
     return found
 
@@ -333,9 +339,9 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     within: texts with an equal fingerprint are asked of the first of them; then
     meetings in the first tables are asked of one of them each; last, all
     tables are searched for meetings between what are still different classes,
-    and there every pair is measured. Meetings of few are paired; of larger ones
-    hubs are asked, new ones in each round until a crowd is one class or all its
-    members were hubs.
+    and there every pair is measured. Where two fingerprints that meet have many
+    texts, hubs are asked, new ones in each round until these texts are one
+    class or all were hubs.
 
     Rows with a null doc_id are left out; texts without a word are one class. A
     text meets n * 56 * 742 / 2^38 strangers among n others: 15 for 10^8 texts,
@@ -373,7 +379,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     # all neighbours of different classes
     classed = rooted()
     near = open_links(classed, scratch, TABLE_PASSES, pairs=True)
-    near = scratch.keep(near.groupBy("a", "b").agg(F.bool_or("large").alias("large"), F.bool_or(~F.col("large")).alias("small")))
+    near = scratch.keep(near.distinct())
     mixed = classed.where("n > 1 AND root IS NULL")
     touched = near.select(F.col("a").alias("fp")).union(near.select("b")).union(mixed.select("fp")).distinct()
     touched = scratch.keep(touched)
@@ -384,16 +390,13 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     near = near.join(counts.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
     near = scratch.keep(near.withColumn("few", F.col("na") * F.col("nb") <= SMALL_PAIRS))
 
-    # Pairs to be measured at once, and groups of texts that met in too large numbers.
-    mixed = counts.where("n > 1 AND root IS NULL")
-    direct = near.where("small AND few").select("a", "b").union(mixed.where(F.col("n") <= SMALL).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    # Pairs to be measured at once, and crowds: the texts of one or two fingerprints, where these are too many.
+    mixed = counts.where("n > 1 AND root IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"), (F.col("n") <= SMALL).alias("few"))
+    met = near.select("a", "b", "few").unionByName(mixed)
     owner = lambda x: mine.select(F.col("fp").alias(x), F.col("least").alias(f"d{x}"), F.col("root").alias(f"r{x}"))
-    pairs = direct.join(owner("a"), "a").join(owner("b"), "b").where("ra != rb").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    joined = scratch.keep(near.where("large OR NOT few").select("a", "b"))
-    crowds = components(joined, scratch)
-    alone = mixed.where(F.col("n") > SMALL).select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(crowds.select("node"), "node", "left_anti")
-    crowds = scratch.keep(crowds.unionByName(alone))
-    members = scratch.keep(mine.select("fp", "least").join(crowds.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("crowd"), F.col("least").alias("text")).distinct())
+    pairs = met.where("few").join(owner("a"), "a").join(owner("b"), "b").where("ra != rb").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    crowded = met.where("NOT few").select(F.struct("a", "b").alias("crowd"), F.explode(F.array("a", "b")).alias("fp"))
+    members = scratch.keep(crowded.join(mine, "fp").select("crowd", F.col("least").alias("text")).distinct())
 
     linked = scratch.keep(linked.union(_verified(pairs, docs, texts, scratch, width)).distinct())
     roots = scratch.keep(components(linked, scratch))
@@ -408,9 +411,11 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
             break
         hubs = _hubs(placed, linked, turn, scratch)
         asked = placed.join(hubs.select("crowd", F.col("text").alias("hub"), F.col("root").alias("of")), "crowd").where("root != of").select(F.col("text").alias("a"), F.col("hub").alias("b"))
-        linked = scratch.keep(linked.union(_verified(asked, docs, texts, scratch, width)).distinct())
+        new = _verified(asked, docs, texts, scratch, width)
         members = scratch.keep(placed.join(hubs.select("crowd", "text"), ["crowd", "text"], "left_anti").select("crowd", "text"))
-        roots = scratch.keep(components(linked, scratch))
+        if not new.isEmpty():
+            linked = scratch.keep(linked.union(new).distinct())
+            roots = scratch.keep(components(linked, scratch))
         turn += 1
     rooted_texts = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
     first = scratch.keep(rooted_texts.groupBy("root").agg(F.min("least").alias("component_id")))

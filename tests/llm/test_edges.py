@@ -178,3 +178,26 @@ def test_chat_of_five_thousand_turns_against_sql(spark, tmp_path):
     assert [r.offset for r in ann] == [sum(len(x.rendered) for x in ann[:k]) for k in range(5)]
     assert sum(r.n_turns for r in ann) == 5000 and whole.count("<|assistant|>") == 2 and whole.count("<|end|>") == 5000
     assert [r.rendered.count("<|assistant|>") for r in got if r.conv_id == 2 and r.perspective == "b"] == [2]
+
+
+def test_repeated_queries_and_huge_components(spark, tmp_path):
+    """Every query row has ten neighbours of its own; huge components are left out, by code and by SQL; several passes and blocks."""
+    import duckdb
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(400)] + [(100, [1.0] * 6), (100, [1.0] * 6), (100, [-2.0] * 6), (200, [0.5] * 3), (7, [3e38] * 6), (9, [-65536.0] + [0.0] * 5), (300, [65535.9] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.sql(topk.ORACLE_SQL).select("query_id, rank, vec_id, score").fetchall())
+    assert sum(x[0] == 100 for x in want) == 40
+    shape = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+    assert shape(topk.query(df)) == want
+    before = topk.ROWS, topk.QUERIES, topk.FIRST
+    try:
+        topk.ROWS, topk.QUERIES, topk.FIRST = 32, 2, 4
+        assert shape(topk.query(df)) == want
+    finally:
+        topk.ROWS, topk.QUERIES, topk.FIRST = before

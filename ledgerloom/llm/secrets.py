@@ -36,18 +36,17 @@ BASE = {
 KINDS = (*BASE, "format")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Tokens scored: runs of credential characters, this long, with a letter and a digit.
+#: Candidates: whole runs of credential characters, this long, with a letter and a digit; each one is scored.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}(?![A-Za-z0-9+/_=-])")
-#: Documents whose spans and tokens may be used to learn (a bound for the driver), and strings of a kind.
-SAMPLE_DOCS, SAMPLE_STRINGS = 20_000, 2_000
+#: Bounds of what is learned from: strings of a kind, and for ordinary tokens about so many documents, so many tokens of each.
+SAMPLE_STRINGS, SAMPLE_DOCS, SAMPLE_TOKENS = 2_000, 20_000, 20
 #: Confidence of the compatibility test, characters that decide, and log-odds per character that a secret needs.
 ALPHA, DEPTH, LEAST_ODDS = 0.05, 64, 1.0
 
 CLASS = {c: k for k, group in {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}.items() for c in group}
 #: Characters of each class: a class's probability is spread over them.
 SIZE = {"a": 6, "g": 20, "A": 26, "0": 10}
-SYMBOLS = 6
 
 
 def classes(token: str) -> str:
@@ -63,7 +62,7 @@ class Automaton:
 
     @classmethod
     def infer(cls, strings: Iterable[str], alpha: float = ALPHA, depth: int = DEPTH) -> Automaton:
-        """Learn from ``strings`` of classes; characters after ``depth`` do not count."""
+        """Learn from ``strings`` of classes. Of longer ones the first ``depth`` characters count, and nothing is said about their end."""
         count, end = [0], [0]
         children: list[dict[str, int]] = [{}]
         for s in strings:
@@ -77,7 +76,7 @@ class Automaton:
                     children.append({})
                 at = children[at][c]
                 count[at] += 1
-            end[at] += 1
+            end[at] += len(s) <= depth
         bound = math.sqrt(0.5 * math.log(2 / alpha))
 
         def differ(x: int, n: int, y: int, m: int) -> bool:
@@ -170,7 +169,7 @@ class Formats:
         for kind, s in labelled:
             groups[kind].append(classes(s))
         ordinary = Automaton.infer(groups.pop("ordinary", []), alpha)
-        return cls({k: Automaton.infer(v, alpha) for k, v in sorted(groups.items()) if len(v) >= 10}, ordinary)
+        return cls({k: Automaton.infer(v, alpha) for k, v in sorted(groups.items())}, ordinary)
 
     def odds(self, token: str) -> float:
         """The best format's log-likelihood over the ordinary one's, per character."""
@@ -180,44 +179,49 @@ class Formats:
         return (max(a.score(s) for a in self.kinds.values()) - self.ordinary.score(s)) / len(s)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Further spans, none overlapping a base span."""
+        """Further spans: of each likely token what no base span covers. Tokens that are covered whole are not scored."""
         found, at, reach = [], 0, 0
         for m in CANDIDATE.finditer(text):
+            free, begin = [], max(reach, m.start())
             while at < len(base) and base[at][0] < m.end():
+                if base[at][0] > begin:
+                    free.append((begin, 3, base[at][0]))
                 reach, at = max(reach, base[at][2]), at + 1
-            if reach > m.start():
-                continue
-            if self.odds(m[0]) >= LEAST_ODDS:
-                found.append((m.start(), 3, m.end()))
+                begin = max(begin, reach)
+            if begin < m.end():
+                free.append((begin, 3, m.end()))
+            if free and self.odds(m[0]) >= LEAST_ODDS:
+                found += free
         return found
 
 
 def labelled_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[tuple[str, str]]:
-    """Credentials labelled by the base patterns, and ordinary tokens, from a bounded sample of documents.
+    """Credentials labelled by the base patterns in all documents, and ordinary tokens of some.
 
-    The sample is of about ``sample_docs`` documents by a hash of their id, and
-    gives at most ``sample_strings`` distinct strings of a kind, least hash first.
+    At most ``sample_strings`` distinct strings of a kind, least hash first.
+    Ordinary tokens come from about ``sample_docs`` documents by a hash of id
+    and text, ``SAMPLE_TOKENS`` of each at even distances.
     """
     n = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // sample_docs)))) == 0) if n > sample_docs else docs
+    usual = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-n // sample_docs)))) == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, str], None] = {}
-            for text in batch.column(0):
+            for text, usual in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 for start, kind, end in base:
                     value = text[start:end] if kind else BASE["assign"].match(text, start)[2]
                     found["assign access hex".split()[kind], value[:256]] = None
-                tokens = list(ORDINARY.finditer(text))
-                for m in tokens[:: max(1, len(tokens) // 20)]:
+                tokens = list(ORDINARY.finditer(text)) if usual else []
+                for m in tokens[:: max(1, len(tokens) // SAMPLE_TOKENS)]:
                     if not any(s < m.end() and m.start() < e for s, _, e in base):
                         found["ordinary", m[0][:256]] = None
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
 
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scratch.keep(few.select("text").mapInArrow(run, "kind string, value string").distinct())
+    found = scratch.keep(docs.select("text", usual.alias("usual")).mapInArrow(run, "kind string, value string").distinct())
     out: list[tuple[str, str]] = []
     for kind in (*BASE, "ordinary"):
         chosen = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample_strings)
@@ -233,7 +237,7 @@ def scan(docs: DataFrame, formats: Formats | None = None, keep: tuple[str, ...]
     With ``mark``, text is replaced by its redacted form and n_chars, if kept,
     follows. A null text stays and has no span; repeated rows and null ids stay;
     an empty table gives no rows; other columns are ignored. Without ``formats``
-    these are learned from a bounded sample of ``docs``.
+    these are learned from ``docs``; a kind of which there is no string has none.
     """
     ship(docs.sparkSession)
     if formats is None:

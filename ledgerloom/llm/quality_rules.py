@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
-#: A line is navigation if it has so many separators, or menu separators between so few characters.
-NAVIGATION = r"^[^|]{0,24}\|[^|]{0,24}\|([^|]{0,24}\|){2}|[»›]|^(?:Home|Menu|Skip to content|Next|Previous)\b"
+#: A line is navigation if it has so many separators between so few characters; short lines also by trail marks and first words.
+NAVIGATION = r"^[^|]{0,24}\|[^|]{0,24}\|([^|]{0,24}\|){2}"
+MENU = r"[»›]|^(?:Home|Menu|Skip to content|Next|Previous)\b"
 BOILERPLATE = r"(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|licensed under|subscribe|newsletter|enable javascript|sign in|log in|click here|copyright)\b|©"
 #: Endings of a sentence, also inside closing quotes or brackets.
 SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
@@ -35,7 +36,7 @@ def line_fails(line: Column) -> Column:
     """The first rule that a line fails, or null."""
     long_line = F.size(F.split(line, SPACE)) > HEADING_WORDS
     return (
-        F.when(line.rlike(NAVIGATION), "navigation")
+        F.when(line.rlike(NAVIGATION) | (line.rlike(MENU) & ~long_line), "navigation")
         .when(line.rlike(BOILERPLATE) & ~long_line, "boilerplate")
         .when(100 * (F.length(line) - _without(line, SYMBOLS)) > MOST_SYMBOLS * F.length(line), "punctuation")
         .when(long_line & ~line.rlike(SENTENCE_END), "punctuation")
@@ -120,6 +121,7 @@ WITH d AS (
 ), lines AS (
   SELECT rid, count(*) FILTER (chars > 0) - count(DISTINCT l) FILTER (chars > 0) AS dup,
          coalesce(sum(chars) FILTER (NOT (regexp_matches(l, {_sql_string(NAVIGATION)})
+           OR (regexp_matches(l, {_sql_string(MENU)}) AND NOT long_line)
            OR (regexp_matches(l, {_sql_string(BOILERPLATE)}) AND NOT long_line)
            OR 100 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > {MOST_SYMBOLS} * length(l)
            OR (long_line AND NOT regexp_matches(l, {_sql_string(SENTENCE_END)})))), 0) AS kept_chars

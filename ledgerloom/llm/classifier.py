@@ -6,8 +6,8 @@ documents' labels alone, weighs the passages; the weighted sum is scored by a
 logistic layer.
 
 The model is fitted on the driver from a bounded sample of labelled documents
-(``SAMPLE_DOCS``, and ``SAMPLE_PASSAGES`` of each, evenly spaced); scoring
-covers all passages of all documents.
+(``SAMPLE_DOCS``), all passages of each; scoring covers all passages of all
+documents. A passage is encoded from its own bytes alone.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from ledgerloom.plans.shipping import ship
 
 from .common import sliced
 
-SAMPLE_DOCS, SAMPLE_PASSAGES = 6000, 32
-PASSAGE, SLOTS, DOC_SLOTS = 512, 1024, 65536
+SAMPLE_DOCS = 6000
+#: Bytes of a passage at most (a text's passages are of equal length), and slots for the strings seen in one.
+PASSAGE, SLOTS = 2048, 4096
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 24, 16, 40, 64, 0.01
-#: Characters encoded at once, and rows taken from a batch at once: what a task holds in memory.
-CHUNK_CHARS, ROWS = 500_000, 256
+#: Bytes encoded at once, and rows taken from a batch at once: what a task holds in memory.
+CHUNK, ROWS = 500_000, 256
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",;:", b"!?", b"#*$%&~^@", b"|", b"<>{}[]()=\\/", b"'\"`", b"-_+"]
 N_CLASSES = len(_GROUPS) + 2
@@ -36,7 +37,7 @@ CLASS = np.full(256, len(_GROUPS), np.int64)  # other ASCII
 CLASS[128:] = len(_GROUPS) + 1
 for _k, _group in enumerate(_GROUPS):
     CLASS[list(_group)] = _k
-FEATURES = N_CLASSES + 8
+FEATURES = N_CLASSES + 7
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,53 +46,58 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(r) for r in raw], np.int64)
     n_passages = np.maximum(1, -(-sizes // PASSAGE))
     first = np.concatenate([[0], np.cumsum(n_passages)[:-1]]).astype(np.int64)
-    total = int(n_passages.sum())
-    out = np.zeros((total, FEATURES), np.float32)
+    within = np.arange(int(n_passages.sum())) - np.repeat(first, n_passages)
+    size, n = np.repeat(sizes, n_passages), np.repeat(n_passages, n_passages)
+    lengths = size * (within + 1) // n - size * within // n
     buf = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum(lengths)
+    out, at = [], 0
+    while at < len(lengths):
+        begin = int(ends[at] - lengths[at])
+        upto = max(at + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
+        out.append(_features(buf[begin : int(ends[upto - 1])], lengths[at:upto]))
+        at = upto
+    return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32), first
+
+
+def _distinct(passage: np.ndarray, grams: np.ndarray, inside: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Distinct strings of each passage, against as many random ones."""
+    seen = np.zeros(len(length) * SLOTS, bool)
+    seen[passage[inside] * SLOTS + (grams[inside] >> np.uint32(20))] = True
+    return seen.reshape(-1, SLOTS).sum(axis=1) / np.maximum(1, SLOTS * (1 - np.exp(-length / SLOTS)))
+
+
+def _features(buf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Features of passages that lie one after the other in ``buf``, each from its own bytes."""
+    total = len(length)
+    out = np.zeros((total, FEATURES), np.float32)
     if not len(buf):
-        return out, first
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = np.arange(len(buf)) - np.repeat(begin, sizes)
-    passage = np.repeat(first, sizes) + place // PASSAGE
+        return out
+    passage = np.repeat(np.arange(total), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(buf))  # bytes to the passage's end
     kind = CLASS[buf]
     counts = np.bincount(passage * N_CLASSES + kind, minlength=total * N_CLASSES).reshape(total, N_CLASSES)
-    length = np.maximum(1, counts.sum(axis=1))
-    out[:, :N_CLASSES] = counts / length[:, None]
+    whole = np.maximum(1, length)
+    out[:, :N_CLASSES] = counts / whole[:, None]
     letter = (kind < 2) | (kind == N_CLASSES - 1)
-    ends = np.flatnonzero(letter[:-1] & ~letter[1:])
+    ends = np.flatnonzero(letter[:-1] & ~letter[1:] & (left[:-1] > 1))
     words = np.bincount(passage[ends], minlength=total)
     odd = np.bincount(passage[ends[(kind[ends + 1] == 8) | (kind[ends + 1] == 7)]], minlength=total)
     out[:, N_CLASSES] = counts[:, [0, 1, N_CLASSES - 1]].sum(axis=1) / np.maximum(1, words) / 10
     out[:, N_CLASSES + 1] = odd / np.maximum(1, words)
-    # distinct four-byte strings of a passage, against as many random ones
     wide = buf.astype(np.uint32)
     gram = wide.copy()
     for shift in (1, 2, 3):
         gram[:-shift] = gram[:-shift] * np.uint32(0x01000193) ^ wide[shift:]
-    gram = gram * np.uint32(0x9E3779B1)
-    seen = np.zeros(total * SLOTS, bool)
-    seen[passage * SLOTS + (gram >> np.uint32(22))] = True
-    distinct = seen.reshape(total, SLOTS).sum(axis=1)
-    out[:, N_CLASSES + 2] = distinct / (SLOTS * (1 - np.exp(-length / SLOTS)))
-    # the same for eight-byte strings of the whole text
     eight = gram.copy()
     eight[:-4] = gram[:-4] * np.uint32(0x85EBCA6B) ^ gram[4:]
-    eight = (eight * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    repeated, lines = np.ones(len(texts)), np.zeros(len(texts))
-    for i, (at, n) in enumerate(zip(begin, sizes, strict=True)):
-        if n > 8:
-            flags = np.zeros(DOC_SLOTS, bool)
-            flags[eight[at : at + n - 7]] = True
-            repeated[i] = np.count_nonzero(flags) / (DOC_SLOTS * (1 - np.exp(-(n - 7) / DOC_SLOTS)))
-    space = np.bincount(np.repeat(np.arange(len(texts)), sizes)[(kind == 3) | (kind == 4)], minlength=len(texts))
-    lines = np.bincount(np.repeat(np.arange(len(texts)), sizes)[kind == 4], minlength=len(texts))
-    of = np.repeat(np.arange(len(texts)), n_passages)
-    out[:, N_CLASSES + 3] = repeated[of]
-    out[:, N_CLASSES + 4] = np.log1p(space)[of] / 5
-    out[:, N_CLASSES + 5] = (np.log1p(space) < np.log1p(50))[of]
-    out[:, N_CLASSES + 6] = (lines / np.maximum(1, space))[of]
-    out[:, N_CLASSES + 7] = np.minimum(1, length / PASSAGE)
-    return out, first
+    out[:, N_CLASSES + 2] = _distinct(passage, gram * np.uint32(0x9E3779B1), left > 3, whole)
+    out[:, N_CLASSES + 3] = _distinct(passage, eight * np.uint32(0x9E3779B1), left > 7, whole)
+    space = counts[:, 3] + counts[:, 4]
+    out[:, N_CLASSES + 4] = np.log1p(space) / 5
+    out[:, N_CLASSES + 5] = counts[:, 4] / np.maximum(1, space)
+    out[:, N_CLASSES + 6] = length / PASSAGE
+    return out
 
 
 class Model:
@@ -114,16 +120,8 @@ class Model:
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "y": y, "sizes": sizes}
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Scores of texts, encoded some at a time so that memory is bounded by the longest text."""
-        out, at = [], 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK_CHARS):
-                size += len(texts[upto])
-                upto += 1
-            out.append(self.forward(*encode(texts[at:upto]))["y"])
-            at = upto
-        return np.concatenate(out) if out else np.zeros(0)
+        """Scores of texts; what is held beside their features is bounded, however long they are."""
+        return self.forward(*encode(texts))["y"] if texts else np.zeros(0)
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
@@ -173,23 +171,23 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on labelled rows that are not held out: at most ``sample_docs`` of ``labels``, least hash of the id first."""
+    """Fit on labelled rows that are not held out: at most ``sample_docs`` of ``labels``, least hash of the id first.
+
+    Rows of ``docs`` with equal id and features count once; of ids with many
+    different texts at most as many more are taken.
+    """
     ship(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "label").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = []
-            for text in batch.column(1):
-                x, _ = encode([text.as_py() or ""])
-                x = x[np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).round().astype(int)]
-                bags.append(x.astype(np.float32).tobytes())
+        for batch in sliced(batches, ROWS):
+            bags = [encode([text.as_py() or ""])[0].tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), batch.column(2)], names=["doc_id", "bag", "label"])
 
     # the sample's bound makes this side small: sample_docs rows of two numbers
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = joined.mapInArrow(run, "doc_id long, bag binary, label int").orderBy(F.xxhash64("doc_id"), "label", "bag").limit(2 * sample_docs).collect()
+    rows = joined.mapInArrow(run, "doc_id long, bag binary, label int").distinct().orderBy(F.xxhash64("doc_id"), "label", "bag").limit(2 * sample_docs).collect()
     return fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES).astype(np.float64) for r in rows], np.array([r.label for r in rows], float))
 
 

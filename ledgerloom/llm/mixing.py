@@ -17,6 +17,7 @@ words, fitted by SQL aggregates on a bounded sample of labels
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from .common import Scratch
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 SAMPLE_DOCS, WORDS = 6000, 48
-STEPS, TOLERANCE = 24, 1e-3
+STEPS, TOLERANCE = 100, 1e-3
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>"
@@ -113,16 +114,31 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     return docs.drop(*logs, *(f"_e_{d}" for d in model.priors))
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the steps: each takes off the residuals its posterior meets, down to zero at most."""
+def rate(steps: list[list[float]], repeat: bool = True) -> Column:
+    """A document's rate after the steps: each takes off the residuals its posterior meets, down to zero at most, and with ``repeat`` false up to one."""
     r = F.lit(1.0)
     for step in steps:
         r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * F.lit(x) for d, x in zip(DOMAINS, step, strict=True)), F.lit(0.0)))
+        r = r if repeat else F.least(F.lit(1.0), r)
     return r
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], repeat: bool = True) -> tuple[list[list[float]], dict[str, float]]:
-    """Steps of projected gradient descent, and the targets, for ``members(n_tokens, p_*)``.
+@dataclass
+class Fit:
+    """Steps of the descent, the tokens wanted of each domain, and those that the fitted rates give."""
+
+    steps: list[list[float]]
+    target: dict[str, float]
+    reached: dict[str, float]
+
+    @property
+    def residual(self) -> float:
+        """The largest miss of a domain as a share of its target."""
+        return max((abs(self.reached[d] - t) / t for d, t in self.target.items() if t > 0), default=0.0)
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float], repeat: bool = True) -> Fit:
+    """Projected gradient descent for ``members(n_tokens, p_*)``; warns if ``STEPS`` leave a target unmet.
 
     Targets have the proportions of ``weights`` and keep the first domain's
     present tokens. Domains without tokens are left out. With ``repeat`` false
@@ -142,13 +158,19 @@ def fit_rates(members: DataFrame, weights: dict[str, float], repeat: bool = True
         if max(abs(now[d] - target[d]) for d in DOMAINS) <= TOLERANCE * max(1.0, min((t for t in target.values() if t > 0), default=1.0)):
             break
         steps.append([off[d] for d in DOMAINS])
-        found = members.agg(*sums(rate(steps))).first()
+        found = members.agg(*sums(rate(steps, repeat))).first()
         now = {d: found[d] or 0.0 for d in DOMAINS}
-    return steps, target
+    else:
+        warnings.warn(f"after {STEPS} steps the mix reaches {now}, wanted are {target}", stacklevel=2)
+    return Fit(steps, target, now)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, repeat: bool = True) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with n_tokens, p_<domain>, rate and copies.
+    """``docs(doc_id, text, ...)`` with n_tokens, p_<domain>, rate, copies and residual.
+
+    residual is the same in all rows: the largest miss of a domain's expected
+    tokens as a share of its target. Tokens are words, which built-in functions
+    can count; ids of a tokenizer would need Python.
 
     copies rounds the rate up or down by a hash of the id and the text, so that
     its expectation is the rate; with ``repeat`` false it is 1 at most. Null and
@@ -158,13 +180,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     model = learn(docs, labels, scratch)
-    made = ["n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS), *STATISTICS]
+    made = ["n_tokens", "rate", "copies", "residual", *(f"p_{d}" for d in DOMAINS), *STATISTICS]
     members = scratch.keep(posteriors(docs.drop(*made), model))
-    steps, _ = fit_rates(members, weights or WEIGHTS, repeat)
+    fit = fit_rates(members, weights or WEIGHTS, repeat)
     even = F.pmod(F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + even).cast("long")
-    return members.withColumn("rate", rate(steps)).withColumn("copies", copies if repeat else F.least(copies, F.lit(1).cast("long")))
+    return members.withColumns({"rate": rate(fit.steps, repeat), "residual": F.lit(fit.residual)}).withColumn("copies", copies if repeat else F.least(copies, F.lit(1).cast("long")))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text"), labels).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies")
+    return mix(docs.select("doc_id", "text"), labels).select("doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies", "residual")

@@ -201,3 +201,121 @@ def test_repeated_queries_and_huge_components(spark, tmp_path):
         assert shape(topk.query(df)) == want
     finally:
         topk.ROWS, topk.QUERIES, topk.FIRST = before
+
+
+# --- learned parts against plain versions -------------------------------------
+
+
+def slow_format_spans(text, formats, base):
+    """Candidates character by character, scored by a walk over the automata, less what base spans cover."""
+    import math
+
+    credential = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    of = lambda c: "a" if c in "abcdef" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c in "0123456789" else c
+
+    def likelihood(a, token):
+        state, p = 0, 0.0
+        for c in map(of, token):
+            q, to = a.moves[state].get(c, (0.5 / 200, 0))
+            p, state = p + math.log(q / {"a": 6, "g": 20, "A": 26, "0": 10}.get(c, 1)), to
+        return p + math.log(a.stops[state])
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in credential:
+            j += 1
+        token = text[i:j]
+        letters, digits = any(c.isalpha() for c in token), any(c in "0123456789" for c in token)
+        covered = {k for s, _, e in base for k in range(max(s, i), min(e, j))}
+        if len(token) >= 16 and letters and digits and len(covered) < len(token) and formats.kinds:
+            if (max(likelihood(a, token) for a in formats.kinds.values()) - likelihood(formats.ordinary, token)) / len(token) >= 1.0:
+                k = i
+                while k < j:
+                    if k in covered:
+                        k += 1
+                        continue
+                    e = k
+                    while e < j and e not in covered:
+                        e += 1
+                    out.append((k, 3, e))
+                    k = e
+        i = max(j, i + 1)
+    return out
+
+
+def test_format_spans_against_a_plain_version(spark):
+    import random
+
+    r = random.Random(6)
+    draw = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for few in (2, 300):  # a kind with two strings has an automaton too
+        learned = [("hex", draw(40, "0123456789abcdef")) for _ in range(few)] + [("access", "AKIA" + draw(16, up + num)) for _ in range(few)] + [("assign", draw(r.randrange(8, 120), low + up + num + "/+")) for _ in range(few)] + [("ordinary", draw(r.randrange(6, 14), low)) for _ in range(400)]
+        formats = secrets.Formats.learn(learned)
+        assert set(formats.kinds) == {"hex", "access", "assign"}
+        found = 0
+        for _ in range(400):
+            parts = [r.choice([draw(r.randrange(2, 12), low), draw(r.randrange(14, 60), low + up + num), draw(30, "0123456789abcdef"), "XYZw9" + draw(26, "0123456789abcdef") + draw(20, up + num), "token=" + draw(18, low + num), "AKIA" + draw(16, up + num) + "x" + draw(9, low + up + num), "a-b_c/d=1" * 3]) for _ in range(8)]
+            text = r.choice([" ", "\n", ".", "é"]).join(parts)
+            base = secrets.base_spans(text)
+            got = formats.spans(text, base)
+            assert got == slow_format_spans(text, formats, base)
+            found += len(got)
+        assert found > 100
+
+
+def test_strings_to_learn_from_come_from_all_documents(spark):
+    rows = [(i, f"word number {i} and some more words") for i in range(300)] + [(1000, "AKIA" + "Q7" * 8)]
+    got = secrets.labelled_strings(spark.createDataFrame(rows, "doc_id bigint, text string"), sample_docs=10)
+    assert ("access", "AKIA" + "Q7" * 8) in got
+
+
+def test_passages_are_encoded_from_their_own_bytes():
+    import numpy as np
+
+    texts = ["", "short one.", "line of words\n" * 700, "mixed Case 123 | # words, and more! " * 300, "é" * 5000]
+    x, first = classifier.encode(texts)
+    n = [max(1, -(-len(t.encode()) // classifier.PASSAGE)) for t in texts]
+    assert first.tolist() == [sum(n[:i]) for i in range(len(n))] and len(x) == sum(n)
+    for t, k, at in zip(texts, n, first):
+        raw = t.encode()
+        for i in range(k):
+            piece = np.frombuffer(raw[len(raw) * i // k : len(raw) * (i + 1) // k], np.uint8)
+            alone = classifier._features(piece, np.array([len(piece)]))
+            assert np.allclose(x[at + i], alone[0], atol=1e-6)
+    before = classifier.CHUNK
+    try:
+        classifier.CHUNK = 3000
+        assert np.array_equal(classifier.encode(texts)[0], x)
+    finally:
+        classifier.CHUNK = before
+
+
+def test_posteriors_on_held_out_labels_and_bounded_rates(spark):
+    import os
+
+    from ledgerloom.llm.common import Scratch
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = classifier.held_out()
+    model = mixing.learn(docs, labels.where(~held), Scratch(spark, "t"))
+    most = F.array_max(F.array(*(F.struct(F.coalesce(F.col(f"p_{d}"), F.lit(0.0)).alias("p"), F.lit(d).alias("d")) for d in mixing.DOMAINS)))["d"]
+    told = mixing.posteriors(docs.select("doc_id", "text"), model).select("doc_id", most.alias("told"))
+    both = told.join(mixing.domain(labels.where(held)), "doc_id").collect()
+    assert len(both) > 50 and sum(r.told == r.domain for r in both) >= 0.9 * len(both)
+    rows = mixing.mix(docs, labels, {"clean": 0.97, "low": 0.02, "toxic": 0.01}, repeat=False).toPandas()
+    assert rows.rate.between(0, 1).all() and rows.copies.isin([0, 1]).all() and rows.residual.iloc[0] <= 0.02
+    present = {d: (rows.n_tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS}
+    for d, w in {"clean": 0.97, "low": 0.02, "toxic": 0.01}.items():
+        target = min(present[d], present["clean"] / 0.97 * w)
+        assert abs((rows.n_tokens * rows.rate * rows[f"p_{d}"]).sum() - target) <= 0.02 * target
+
+
+def test_long_lines_with_guillemets_stay(spark):
+    text = "Next came the long sentence of a French text, « with words in quotes », that goes on and on for " + " ".join(f"mot{i}" for i in range(50)) + "."
+    r = quality_rules.measure(spark.createDataFrame([(1, text), (2, text + "\nAccueil » Aide")], "doc_id bigint, text string")).collect()
+    assert [x.kept for x in r] == [True, True] and r[1].cleaned == text

@@ -27,7 +27,7 @@ from .common import Scratch
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
-SAMPLE_DOCS, WORDS = 6000, 48
+SAMPLE_DOCS, WORDS, LEAST_WEIGHT = 6000, 48, 20
 STEPS, TOLERANCE = 100, 1e-3
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -85,7 +85,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     for d in DOMAINS:
         rest = sum((F.col(o) for o in DOMAINS if o != d), F.lit(0))
         odds = F.log((F.col(d) + 0.5) / (sizes.get(d, 0) + 1)) - F.log((rest + 0.5) / (total - sizes.get(d, 0) + 1))
-        found = counted.where((F.col(d) >= 5) & (odds > 1)).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(WORDS)
+        weight = F.col(d) * odds  # documents times odds: what a word tells beyond chance
+        found = counted.where((odds > 1) & (weight >= LEAST_WEIGHT)).select("word", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(WORDS)
         telling[d] = [r.word for r in found.collect()]
     described = statistics(sample, telling)
     parts = [x for s in STATISTICS for x in (F.avg(s).alias(f"m_{s}"), F.var_pop(s).alias(f"v_{s}"))]

@@ -6,16 +6,16 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.checkpoints import FREQUENCY, KIND_FLAGS, flag_names
+from ledgerloom.functions.checkpoints import flag_names, flag_of_kind, is_checkpoint, is_valid_hash
 
 from . import failures as failing
 
 VERSION = 1
 MOST_ENTRIES = 10_000_000
-_HASH = re.compile(r"[0-9a-fA-F]{64}")
+PARTS = {"files": "file", "buckets": "bucket", "checkpoints": "checkpoint"}
 
 
 class InvalidPlan(ValueError):
@@ -23,12 +23,33 @@ class InvalidPlan(ValueError):
 
 
 def section(failures: DataFrame, outcomes: DataFrame, well_known: int | None = None) -> dict:
-    """A report's body. It holds what failed, which the driver writes to one JSON file."""
-    flags = failing.file_flags(failures).select("cp", flag_names(F.col("flags")).alias("names"))
-    listed = lambda kind, column: sorted(r[0] for r in failures.where(F.col("kind") == kind).select(column).distinct().collect())
+    """A report's body: what failed, which the driver writes to one JSON file. More than ``MOST_ENTRIES`` make no plan and raise ``InvalidPlan``."""
+    rows = entries(failures)
+    if (n := rows.count()) > MOST_ENTRIES:
+        raise InvalidPlan(f"report has {n} entries, exceeds maximum {MOST_ENTRIES}")
     # checkpoints sort as text, as keys of a JSON object do
-    files = {str(r.cp): r.names for r in sorted(flags.collect(), key=lambda r: str(r.cp))}
-    return {"well_known": well_known, "files": files, "buckets": listed("bucket", "hash"), "checkpoints": listed("checkpoint", "cp"), "summary": failing.summary(outcomes, failures).first().asDict()}
+    found = rows.orderBy("part", "key").collect()
+    listed = lambda part: [r.key for r in found if r.part == part]
+    files = {r.key: r.names for r in found if r.part == "files"}
+    return {"well_known": well_known, "files": files, "buckets": listed("buckets"), "checkpoints": sorted(map(int, listed("checkpoints"))), "summary": failing.summary(outcomes, failures).first().asDict()}
+
+
+def entries(failures: DataFrame) -> DataFrame:
+    """(part, key, names): a report's entries; part is files, buckets or checkpoints."""
+    none = F.lit(None).cast("array<string>")
+    listed = lambda kind, part, column: failures.where(F.col("kind") == kind).select(F.lit(part).alias("part"), F.col(column).cast("string").alias("key"), none.alias("names")).distinct()
+    files = failing.file_flags(failures).select(F.lit("files").alias("part"), F.col("cp").cast("string").alias("key"), flag_names(F.col("flags")).alias("names"))
+    return files.unionByName(listed("bucket", "buckets", "hash")).unionByName(listed("checkpoint", "checkpoints", "cp"))
+
+
+def entry_error(part: Column, checkpoint: Column, name: Column) -> Column:
+    """The rule that a plan's entry breaks, or null: ``checkpoint`` of files and checkpoints, ``name`` of a file's kind or a bucket's hash."""
+    fits = F.coalesce(is_checkpoint(checkpoint) & (checkpoint <= 2**32 - 1), F.lit(False))
+    return (
+        F.when((part != "buckets") & ~fits, "not a checkpoint")
+        .when((part == "files") & flag_of_kind(name).isNull(), "unknown file type")
+        .when((part == "buckets") & ~F.coalesce(is_valid_hash(name), F.lit(False)), "not a hash")
+    )
 
 
 def single(body: dict) -> dict:
@@ -51,8 +72,12 @@ def read(path: str) -> dict:
         return json.load(f)
 
 
-def _checkpoint(x: object) -> int:
-    if type(x) is not int or x <= 0 or (x + 1) % FREQUENCY or x > 2**32 - 1:
+def plan_version_error(version: Column) -> Column:
+    return F.when(F.coalesce(version != VERSION, F.lit(True)), "unsupported version")
+
+
+def _number(x: object) -> int:
+    if type(x) is not int or not 0 <= x <= 2**32 - 1:
         raise InvalidPlan(f"{x} is not a valid checkpoint boundary")
     return x
 
@@ -67,20 +92,18 @@ def plan_failures(spark: SparkSession, plan: dict) -> tuple[DataFrame, int | Non
     if total > MOST_ENTRIES:
         raise InvalidPlan(f"plan has {total} entries, exceeds maximum {MOST_ENTRIES}")
     well_known = plan.get("well_known")
-    if well_known is not None:
-        _checkpoint(well_known)
-    rows: set[tuple] = set()
+    rows: list[tuple] = [("checkpoints", _number(x), None) for x in plan["checkpoints"]]
     for key, names in plan["files"].items():
         if not re.fullmatch(r"\+?[0-9]+", key):
             raise InvalidPlan(f"invalid checkpoint key '{key}'")
-        cp = _checkpoint(int(key))
-        for name in names:
-            if name not in KIND_FLAGS:
-                raise InvalidPlan(f"unknown file type '{name}'")
-            rows.add(("file", cp, KIND_FLAGS[name], None))
-    rows |= {("checkpoint", _checkpoint(cp), None, None) for cp in plan["checkpoints"]}
-    for h in plan["buckets"]:
-        if not isinstance(h, str) or not _HASH.fullmatch(h):
-            raise InvalidPlan(f"bucket hash '{h}' must be 64 hex characters")
-        rows.add(("bucket", None, None, h.lower()))
-    return spark.createDataFrame(sorted(rows, key=str), failing.DDL), well_known
+        rows += [("files", _number(int(key)), str(name)) for name in names]
+    rows += [("buckets", None, str(h)) for h in plan["buckets"]]
+    if well_known is not None:
+        rows.append(("checkpoints", _number(well_known), "well known"))
+    given = spark.createDataFrame(rows, "part string, cp bigint, name string").withColumn("broken", entry_error(F.col("part"), F.col("cp"), F.col("name")))
+    for r in given.where("broken IS NOT NULL").orderBy("part", "cp", "name").head(1):
+        raise InvalidPlan(f"{r.part}: {r.name if r.cp is None else r.cp} ({r.name}): {r.broken}")
+    listed = given.where("part != 'checkpoints' OR name IS NULL")
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in PARTS.items() for x in pair)), F.col("part"))
+    flag, bucket = F.when(F.col("part") == "files", flag_of_kind(F.col("name"))), F.when(F.col("part") == "buckets", F.lower("name"))
+    return listed.select(kind.alias("kind"), "cp", flag.alias("flag"), bucket.alias("hash")).distinct(), well_known

@@ -109,9 +109,14 @@ def checkpoint_files(checkpoints: DataFrame, skip_optional: bool) -> DataFrame:
 
 def needed_buckets(states: DataFrame) -> DataFrame:
     """Buckets of ``states(cp, state)``, each once, whatever the case of its hash."""
-    refs = states.select("cp", F.explode(bucket_hashes(F.col("state"))).alias("hash"))
-    once = refs.groupBy(F.lower("hash").alias("key")).agg(F.min(F.struct("cp", "hash")).alias("first"))
-    return once.select(F.col("first.cp").alias("cp"), F.lit("bucket").alias("kind"), bucket_path(F.col("first.hash")).alias("path"))
+    once = each_once(states.select("cp", F.explode(bucket_hashes(F.col("state"))).alias("hash")))
+    return once.select("cp", F.lit("bucket").alias("kind"), bucket_path(F.col("hash")).alias("path"))
+
+
+def each_once(refs: DataFrame) -> DataFrame:
+    """(key, cp, hash, refs) of ``refs(cp, hash)``: every bucket once, with its first checkpoint and the number of references."""
+    once = refs.groupBy(F.lower("hash").alias("key")).agg(F.min(F.struct("cp", "hash")).alias("first"), F.count("*").alias("refs"))
+    return once.select("key", F.col("first.cp").alias("cp"), F.col("first.hash").alias("hash"), "refs")
 
 
 def folders(kinds: list[str], b: limits.Bounds | None = None) -> list[str]:
@@ -173,7 +178,7 @@ def scan(spark: SparkSession, archive: Archive, low: int | None = None, high: in
         found = _outcome(read)
     else:
         read = None
-        found = archive.present(files, where).select("path", "kind", "cp", F.when(F.col("present"), "processed").otherwise("failed").alias("outcome"), F.when(~F.col("present"), "not_found").alias("error_class"), F.when(~F.col("present"), "not found").alias("error"))
+        found = archive.present(files, where).select("path", "kind", "cp", F.when(F.col("present"), "processed").otherwise("failed").alias("outcome"), "error_class", "error")
     result = _result(cut(_outcome(states).unionByName(found)), read)
     return _finish("scan", result, report_path)
 
@@ -223,9 +228,8 @@ def _copy_pass(source: Archive, target: Archive, checkpoints: DataFrame, b: limi
     skipped = spark.createDataFrame([], OUTCOME)
     if not overwrite:
         there = cut(target.present(files, where))
-        none = F.lit(None).cast("string")
-        skipped = there.where("present").select("path", "kind", "cp", F.lit("skipped").alias("outcome"), none.alias("error_class"), none.alias("error"))
-        files = there.where("NOT present").drop("present")
+        skipped = there.where("present").select("path", "kind", "cp", F.lit("skipped").alias("outcome"), "error_class", "error")
+        files = there.where("NOT present").drop("present", "error_class", "error")
     read = _fetch(source, target, files, verify, where)
     all_outcomes = skipped.unionByName(_outcome(read))
     if outcomes is not None:
@@ -299,8 +303,7 @@ def _probe(target: Archive, files: DataFrame, where: list[str], verify: bool) ->
         probe = cut(decoded(target.contents(files, where)))
         kept = probe.where("parsed")
         return kept, probe.where("NOT parsed"), kept
-    none = F.lit(None).cast("string")
-    there = cut(target.present(files, where).withColumns({"error_class": none, "error": none}))
+    there = cut(target.present(files, where))
     return there.where("present"), there.where("NOT present"), None
 
 

@@ -8,15 +8,23 @@ and, by another hash, its results. Document texts stand for buckets.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import checkpoints as cps
 from ledgerloom.functions.states import LEVEL, STATE, bucket_hashes, state_error
+from ledgerloom.operators import bounds as limits
 from ledgerloom.operators import failures as failing
+from ledgerloom.operators import report as reports
 from ledgerloom.operators import verify as checks
+from ledgerloom.sources.storage import status_class_column, with_presence
+
+from . import operations
+from .scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,7 +125,7 @@ def bucket_paths(spark, d):
 @_query("""SELECT hash, CAST(min(cp) AS BIGINT) AS cp, count(*) AS refs FROM (SELECT sha256(text) AS hash, doc_id // 64 * 64 + 63 AS cp FROM documents) GROUP BY hash""")
 def bucket_dedupe(spark, d):
     refs = _table(spark, d, "documents").select(F.sha2("text", 256).alias("hash"), cps.ceil_checkpoint(F.col("doc_id")).alias("cp"))
-    return refs.groupBy(F.lower("hash").alias("hash")).agg(F.min("cp").alias("cp"), F.count("*").alias("refs"))
+    return operations.each_once(refs).select(F.col("key").alias("hash"), "cp", "refs")
 
 
 # --- history states --------------------------------------------------------------
@@ -183,20 +191,19 @@ SELECT CAST(cp AS BIGINT) AS cp, kind, kind || '/' || {_PREFIX} || '/' || kind |
 def expected_files(spark, d):
     last = _seq(spark, d).agg(F.max("seq").alias("last"))
     ranged = last.select(F.explode(F.sequence(F.lit(cps.FIRST).cast("bigint"), cps.ceil_checkpoint(F.col("last")), F.lit(cps.FREQUENCY).cast("bigint"))).alias("cp"))
-    kinds = ranged.select("cp", F.explode(F.array(*map(F.lit, cps.KIND_FLAGS))).alias("kind"))
-    return kinds.select("cp", "kind", cps.checkpoint_path(F.col("kind"), F.col("cp")).alias("path"))
+    return operations.history_files(ranged).unionByName(operations.checkpoint_files(ranged, skip_optional=False))
 
 
 @_query("SELECT CAST(o_orderkey AS BIGINT) AS seq FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')")
 def missing_files(spark, d):
-    there = _table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("seq"))
-    return _seq(spark, d).join(there, "seq", "left_anti")
+    there = _table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").cast("bigint").alias("seq")).distinct()
+    return with_presence(_seq(spark, d), there, "seq").where("error_class = 'not_found'").select("seq")
 
 
 @_query("""SELECT CAST(o_orderkey AS BIGINT) AS seq, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'skipped' ELSE 'processed' END AS outcome FROM orders""")
 def skipped_files(spark, d):
-    there = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("seq")).distinct().withColumn("outcome", F.lit("skipped"))
-    return _seq(spark, d).join(there, "seq", "left").select("seq", F.coalesce("outcome", F.lit("processed")).alias("outcome"))
+    there = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("bigint").alias("seq")).distinct()
+    return with_presence(_seq(spark, d), there, "seq").select("seq", F.when(F.col("present"), "skipped").otherwise("processed").alias("outcome"))
 
 
 # --- verification ----------------------------------------------------------------
@@ -300,7 +307,7 @@ def boundary_chain(spark, d):
 @_query(_errors_sql("errors"))
 def all_checks(spark, d):
     headers, tx_sets, results, status = _ledgers(spark, d)
-    return checks.all_errors(status, headers, tx_sets, results)
+    return checks.all_errors(status, cut(headers.repartition("cp")), tx_sets, results)
 
 
 @_query(_V + "SELECT CAST(cp AS BIGINT) AS cp FROM failed")
@@ -310,20 +317,26 @@ def failure_checkpoints(spark, d):
 
 # --- failure sets ----------------------------------------------------------------
 
-_F = f"""lf AS (SELECT CAST(l_orderkey // 64 * 64 + 63 AS BIGINT) AS cp, CAST(1 << (l_linenumber % 5) AS INTEGER) AS flag FROM lineitem WHERE l_partkey % 100 = 3),
+_F = """lf AS (SELECT CAST(l_orderkey // 64 * 64 + 63 AS BIGINT) AS cp, CAST(1 << (l_linenumber % 5) AS INTEGER) AS flag FROM lineitem WHERE l_orderkey // 64 % 5 <> 4
+  UNION ALL SELECT CAST(o_orderkey // 64 * 64 + 63 AS BIGINT), CAST(1 << (o_custkey % 5) AS INTEGER) FROM orders WHERE o_orderkey // 64 % 3 <> 0),
 flags AS (SELECT cp, CAST(bit_or(flag) AS INTEGER) AS flags FROM lf GROUP BY cp),
-buckets AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 10 = 1),
-marked AS (SELECT DISTINCT CAST(o_orderkey // 64 * 64 + 63 AS BIGINT) AS cp FROM orders WHERE o_orderkey % 199 = 0)"""
+buckets AS (SELECT sha256(text) AS hash FROM documents UNION SELECT sha256(CAST(l_partkey AS VARCHAR)) FROM lineitem WHERE l_orderkey // 64 % 5 = 4),
+marked AS (SELECT DISTINCT CAST(o_orderkey // 64 * 64 + 63 AS BIGINT) AS cp FROM orders WHERE o_orderkey // 64 % 3 = 0)"""
 _NAMES = f"list_filter([CASE WHEN flags & 1 <> 0 THEN 'history' END, CASE WHEN flags & 2 <> 0 THEN 'ledger' END, CASE WHEN flags & 4 <> 0 THEN 'transactions' END, CASE WHEN flags & 8 <> 0 THEN 'results' END, CASE WHEN flags & 16 <> 0 THEN 'scp' END], lambda x: x IS NOT NULL)"
 
 
 def _failure_set(spark, d):
+    """A failure for every row of lineitem, orders and documents; what kind it is depends on the row's checkpoint."""
     none = lambda t: F.lit(None).cast(t)
-    li = _table(spark, d, "lineitem").where("l_partkey % 100 = 3")
-    files = li.select(F.lit("file").alias("kind"), cps.ceil_checkpoint(F.col("l_orderkey")).alias("cp"), F.expr("shiftleft(1, l_linenumber % 5)").alias("flag"), none("string").alias("hash"))
-    buckets = _table(spark, d, "documents").where("doc_id % 10 = 1").select(F.lit("bucket").alias("kind"), none("bigint").alias("cp"), none("int").alias("flag"), F.sha2("text", 256).alias("hash"))
-    marked = _seq(spark, d).where("seq % 199 = 0").select(F.lit("checkpoint").alias("kind"), cps.ceil_checkpoint(F.col("seq")).alias("cp"), none("int").alias("flag"), none("string").alias("hash"))
-    return files.union(buckets).union(marked).distinct()
+    flag = lambda k: F.expr(f"shiftleft(1, cast({k} % 5 as int))").alias("flag")
+    li = _table(spark, d, "lineitem").select(cps.ceil_checkpoint(F.col("l_orderkey").cast("bigint")).alias("cp"), flag("l_linenumber"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"), F.floor(F.col("l_orderkey") / 64).alias("n"))
+    bucket = F.col("n") % 5 == 4
+    items = li.select(F.when(bucket, "bucket").otherwise("file").alias("kind"), F.when(~bucket, F.col("cp")).alias("cp"), F.when(~bucket, F.col("flag")).alias("flag"), F.when(bucket, F.col("hash")).alias("hash"))
+    orders = _table(spark, d, "orders").select(cps.ceil_checkpoint(F.col("o_orderkey").cast("bigint")).alias("cp"), flag("o_custkey"), F.floor(F.col("o_orderkey") / 64).alias("n"))
+    whole = F.col("n") % 3 == 0
+    orders = orders.select(F.when(whole, "checkpoint").otherwise("file").alias("kind"), "cp", F.when(~whole, F.col("flag")).alias("flag"), none("string").alias("hash"))
+    texts = _table(spark, d, "documents").select(F.lit("bucket").alias("kind"), none("bigint").alias("cp"), none("int").alias("flag"), F.sha2("text", 256).alias("hash"))
+    return items.union(texts).union(orders).distinct()
 
 
 @_query(f"WITH {_F} SELECT cp, flags, CAST(bit_count(flags) AS INTEGER) AS n, array_to_string({_NAMES}, ',') AS names, flags & 4 <> 0 AS has_tx, flags | 4 AS with_tx, flags & ~4 AS without_tx FROM flags")
@@ -369,11 +382,9 @@ def unrecorded(spark, d):
 @_query(f"""WITH {_F} SELECT 'main_pass' AS stage, CAST(cp AS VARCHAR) AS key, array_to_string({_NAMES}, ',') AS names FROM flags
 UNION ALL SELECT 'checkpoint_retry', CAST(cp AS VARCHAR), 'checkpoint' FROM marked UNION ALL SELECT 'file_retry', hash, 'bucket' FROM buckets""")
 def report_sections(spark, d):
-    failures = _failure_set(spark, d)
-    files = failing.file_flags(failures).select(F.lit("main_pass").alias("stage"), F.col("cp").cast("string").alias("key"), F.array_join(cps.flag_names(F.col("flags")), ",").alias("names"))
-    whole = failures.where("kind = 'checkpoint'").select(F.lit("checkpoint_retry").alias("stage"), F.col("cp").cast("string").alias("key"), F.lit("checkpoint").alias("names"))
-    buckets = failures.where("kind = 'bucket'").select(F.lit("file_retry").alias("stage"), F.col("hash").alias("key"), F.lit("bucket").alias("names"))
-    return files.unionByName(whole).unionByName(buckets)
+    stage = F.element_at(F.create_map(*map(F.lit, ("files", "main_pass", "checkpoints", "checkpoint_retry", "buckets", "file_retry"))), F.col("part"))
+    single = F.element_at(F.create_map(*map(F.lit, ("checkpoints", "checkpoint", "buckets", "bucket"))), F.col("part"))
+    return reports.entries(_failure_set(spark, d)).select(stage.alias("stage"), "key", F.coalesce(F.array_join("names", ","), single).alias("names"))
 
 
 # --- plans, JSON, error classes, resuming ----------------------------------------
@@ -387,7 +398,7 @@ def plan_validation(spark, d):
     e = F.col("event_id")
     name = F.element_at(F.array(*map(F.lit, ("history", "ledger", "scp", "bucket", "results", "transactions"))), (e % 6 + 1).cast("int"))
     version = F.when(e % 11 == 0, 2).otherwise(1)
-    error = F.when(version != 1, "unsupported version").when(~cps.is_checkpoint(e), "not a checkpoint").when(cps.flag_of_kind(name).isNull(), "unknown file type")
+    error = F.coalesce(reports.plan_version_error(version), reports.entry_error(F.lit("files"), e, name))
     return _table(spark, d, "events").select("event_id", error.alias("error"))
 
 
@@ -402,12 +413,8 @@ _STATUS = "CASE event_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 WHE
 @_query(f"""WITH s AS (SELECT event_type, {_STATUS} AS status FROM events)
 SELECT event_type, CAST(status AS INTEGER) AS status, CASE WHEN status = 404 THEN 'not_found' WHEN status IN (408, 429, 500, 502, 503, 504, 509, 520, 521, 522, 523, 524, 529, 530, 598, 599) THEN 'retry' WHEN status < 500 THEN 'fatal' ELSE 'retry' END AS error_class, count(*) AS n FROM s GROUP BY ALL""")
 def error_classes(spark, d):
-    from ledgerloom.sources.storage import RETRY_STATUS
-
     status = F.element_at(F.array(*map(F.lit, (404, 429, 503, 403, 522, 400, 500, 598, 418))), (F.col("event_id") % 9 + 1).cast("int"))
-    s = F.col("status")
-    of = F.when(s == 404, "not_found").when(s.isin(*RETRY_STATUS), "retry").when(s.between(400, 499), "fatal").otherwise("retry")
-    return _table(spark, d, "events").select("event_type", status.alias("status")).withColumn("error_class", of).groupBy("event_type", "status", "error_class").agg(F.count("*").alias("n"))
+    return _table(spark, d, "events").select("event_type", status.alias("status")).withColumn("error_class", status_class_column(F.col("status"))).groupBy("event_type", "status", "error_class").agg(F.count("*").alias("n"))
 
 
 @_query("""WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(6399 AS BIGINT) AS latest, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 97 * 64 + 63 END AS existing,
@@ -422,8 +429,20 @@ def resume_bounds(spark, d):
     r = _seq(spark, d).select(
         "seq", F.lit(6399).cast("bigint").alias("latest"), F.when(seq % 4 != 0, seq % 97 * 64 + 63).alias("existing"),
         F.when(seq % 3 != 0, cps.floor_checkpoint(seq % 6000)).alias("low"), (seq % 5 == 0).alias("overwrite"), (seq % 2 == 0).alias("gaps"))
-    existing, low, overwrite = F.col("existing"), F.col("low"), F.col("overwrite")
-    action = F.when((existing >= F.col("latest")) & ~overwrite, "done").when((low > existing) & ~F.col("gaps"), "gap").otherwise("copy")
-    unset = F.when(overwrite | existing.isNull(), F.lit(cps.FIRST).cast("bigint")).otherwise(existing + cps.FREQUENCY)
-    start = F.when(low.isNull(), unset).when(existing.isNull() | (low > existing) | overwrite, low).otherwise(existing + cps.FREQUENCY)
-    return r.select("seq", action.alias("action"), F.when(action == "copy", start).otherwise(-1).alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_resumed(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("latest", "existing", "low", "overwrite", "gaps")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64())], names=["seq", "action", "start"])
+
+    return r.mapInArrow(run, "seq bigint, action string, start bigint")
+
+
+def _resumed(latest: int, existing: int | None, low: int | None, overwrite: bool, gaps: bool) -> tuple[str, int]:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            b = limits.mirror_bounds(latest, existing, low, None, overwrite, gaps)
+        except limits.GapDetected:
+            return "gap", -1
+    return ("done", -1) if b.empty else ("copy", b.low)

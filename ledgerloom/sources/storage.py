@@ -1,9 +1,12 @@
 """Where archives lie, and their files as DataFrames.
 
-Storage that Hadoop reads (file, hdfs, s3a, gs, abfss and the like) is listed
-and read by Spark's ``binaryFile`` source; where only existence matters, only
-path and length are read. HTTP archives cannot be listed: tasks ask for each
-expected path, with retries. Only file archives can be written.
+Storage that Hadoop reads (hdfs, s3a, gs, abfss and the like) is read by Spark's
+``binaryFile`` source, files as well for existence, where only path and length
+are read. Contents are fetched for expected paths only: of file and HTTP
+archives by the tasks themselves, with retries; of Hadoop's in scans of the
+listed paths, so that no content is read that nobody asked for, and none is
+shuffled. HTTP archives cannot be listed: tasks ask for each expected path.
+Only file archives can be written.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from http.client import HTTPException
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RETRY, FATAL, NOT_FOUND = "retry", "fatal", "not_found"
@@ -31,6 +35,8 @@ RETRY_STATUS = (408, 429, 500, 502, 503, 504, 509, 520, 521, 522, 523, 524, 529,
 FATAL_ERRNO = (errno.EACCES, errno.EPERM, errno.EEXIST, errno.EINVAL)
 #: Longest delay between two tries, in seconds.
 MOST_DELAY = 5.0
+#: Paths that one scan of a Hadoop archive names.
+SCAN_PATHS = 10_000
 HADOOP_SCHEMES = {"s3": "s3a", "s3a": "s3a", "b2": "s3a", "gs": "gs", "gcs": "gs", "azblob": "abfss", "azure": "abfss", "abfss": "abfss", "wasbs": "wasbs", "hdfs": "hdfs", "viewfs": "viewfs"}
 
 
@@ -48,6 +54,19 @@ def status_class(status: int) -> str:
     return FATAL if 400 <= status < 500 else RETRY
 
 
+def status_class_column(status: Column) -> Column:
+    """``status_class`` of a column: its value for every HTTP status, as a lookup."""
+    known = F.create_map(*(F.lit(x) for s in range(100, 600) for x in (s, status_class(s))))
+    return F.element_at(known, status.cast("int"))
+
+
+def with_presence(expected: DataFrame, there: DataFrame, on: str = "path") -> DataFrame:
+    """``expected`` with ``present``, and class and text of the error of what is not; ``there`` has one row for each key."""
+    found = there.select(on, F.lit(True).alias("present"))
+    out = expected.join(found, on, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    return out.withColumns({"error_class": F.when(~F.col("present"), NOT_FOUND), "error": F.when(~F.col("present"), "not found")})
+
+
 def os_error_class(e: OSError) -> str:
     if e.errno == errno.ENOENT:
         return NOT_FOUND
@@ -198,32 +217,30 @@ class Archive:
         return out
 
     def present(self, expected: DataFrame, folders: list[str]) -> DataFrame:
-        """``expected(path, ...)`` with ``present``."""
+        """``expected(path, ...)`` with ``present``, error_class and error: a refused or failed request is no missing file."""
         spark = expected.sparkSession
         if self.scheme != "http":
-            there = self.listing(spark, folders).where("length > 0").select("path", F.lit(True).alias("present"))
-            return expected.join(there, "path", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+            return with_presence(expected, self.listing(spark, folders).where("length > 0"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
                 for path in batch.column(0).to_pylist():
                     try:
-                        found.append((path, self.exists(path)))
-                    except StorageError:
-                        found.append((path, False))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.bool_()))], names=["path", "present"])
+                        there = self.exists(path)
+                        found.append((path, there, None if there else NOT_FOUND, None if there else "not found"))
+                    except StorageError as e:
+                        found.append((path, False, e.kind, str(e)))
+                types = (pa.string(), pa.bool_(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=["path", "present", "error_class", "error"])
 
-        asked = expected.select("path").distinct().mapInArrow(run, "path string, present boolean")
+        asked = expected.select("path").distinct().mapInArrow(run, "path string, present boolean, error_class string, error string")
         return expected.join(asked, "path", "left")
 
     def contents(self, expected: DataFrame, folders: list[str]) -> DataFrame:
         """``expected(path, ...)`` with content, error_class and error."""
-        spark = expected.sparkSession
-        if self.scheme != "http":
-            there = self.listing(spark, folders, content=True).select("path", "content")
-            gone = F.col("content").isNull()
-            return expected.join(there, "path", "left").withColumns({"error_class": F.when(gone, NOT_FOUND), "error": F.when(gone, "not found")})
+        if self.scheme not in ("file", "http"):
+            return self._scanned(expected, folders)
         columns = expected.columns
         at = columns.index("path")
         names = [*columns, "content", "error_class", "error"]
@@ -241,6 +258,23 @@ class Archive:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in expected.schema.fields)
         return expected.mapInArrow(run, f"{schema}, content binary, error_class string, error string")
 
+    def _scanned(self, expected: DataFrame, folders: list[str]) -> DataFrame:
+        """Contents by Spark's readers: of the expected paths that are listed, in scans of ``SCAN_PATHS`` names each.
+
+        The driver holds one scan's names at a time; they and their rows, no more than these, move to the contents.
+        """
+        spark = expected.sparkSession
+        there = with_presence(expected, self.listing(spark, folders))
+        columns = [*expected.columns, "content", "error_class", "error"]
+        out = there.where("NOT present").withColumn("content", F.lit(None).cast("binary")).select(*columns)
+        rows = there.where("present").drop("present").toLocalIterator()
+        while some := list(islice(rows, SCAN_PATHS)):
+            asked = spark.createDataFrame(some, there.drop("present").schema)
+            found = spark.read.format("binaryFile").load([self.key(r.path) for r in some])
+            found = found.select(F.expr("path").substr(F.lit(len(self.root) + 2), F.lit(1 << 20)).alias("path"), "content")
+            out = out.unionByName(found.join(F.broadcast(asked), "path").select(*columns))
+        return out
+
 
 def hadoop_settings(scheme: str, environ: Mapping[str, str] = os.environ) -> dict[str, str]:
     """Hadoop configuration for a URL's scheme from the usual environment variables."""

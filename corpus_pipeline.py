@@ -38,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     found = simhash.similar(docs.where(has_word), width=5)
     kept = Scratch(spark, "kept").keep(found.where("doc_id = component_id").select("doc_id").distinct())
-    first = docs.where(has_word).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of a repeated id the row that is least in order, whichever task comes first
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    first = docs.where(has_word).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
     return first.select(*COLUMNS).unionByName(docs.where(~has_word))
 
 

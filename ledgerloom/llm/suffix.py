@@ -18,9 +18,10 @@ documents sends equal segments once, for its smallest document; in the others
 they are removed at once.
 
 An anchor found in many chunks would gather too much in one part, as the edges
-of a passage that very many documents share differ in each of them. The strings
-of such anchors are dealt one by one by their own hash, and only those that
-more than one document has.
+of a passage that very many documents share differ in each of them. Of the
+strings of such anchors only those go on that more than one document has, and
+they are dealt by anchors of 36 bytes, which part what the shorter anchor held
+together and still let neighbours travel as one segment.
 
 Exact copies of whole texts are resolved before, by digest.
 """
@@ -40,8 +41,8 @@ LENGTH, GRAM = 50, 24
 #: Bytes of a chunk of documents, of a slice hashed at once (fits a cache), and of the segments of a part.
 CHUNK, SLICE, PART = 4_000_000, 131_072, 700_000
 ANCHORS_PART = 600_000
-#: An anchor in more chunks than this is hot: one part then stays within some ten megabytes.
-HOT_CHUNKS = 256
+#: An anchor in more chunks than this is hot; bytes of the longer anchors by which its strings are dealt.
+HOT_CHUNKS, LONG_GRAM = 32, 36
 PLACE_BITS = np.uint64(24)
 
 
@@ -193,6 +194,26 @@ def window_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_anchors(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, w0, w1): runs of the string starts ``at`` (ascending) that follow each other and share their least 36-byte substring."""
+    span, key, place = LENGTH - LONG_GRAM + 1, np.empty(len(at), np.uint64), np.empty(len(at), np.int64)
+    for lo in range(0, len(buf), SLICE):
+        i, j = np.searchsorted(at, lo), np.searchsorted(at, lo + SLICE)
+        if i < j:
+            g = _gram_hashes(buf[lo : lo + SLICE + LENGTH])
+            skip = LONG_GRAM - GRAM
+            wide = mix64(g[:-skip] * np.uint64(0x9E3779B97F4A7C15) + g[skip:])
+            w = at[i:j] - lo
+            low, chosen = wide[w], w.copy()
+            for k in range(1, span):
+                less = wide[w + k] < low
+                low, chosen = np.where(less, wide[w + k], low), np.where(less, w + k, chosen)
+            key[i:j], place[i:j] = low, chosen + lo
+    fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1])])[: len(at)]
+    begin = np.flatnonzero(fresh)
+    return key[begin], at[begin], at[np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1]
+
+
 def _within(pool: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each of ``h`` is in the sorted ``pool``."""
     return pool[np.minimum(np.searchsorted(pool, h), len(pool) - 1)] == h if len(pool) else np.zeros(len(h), bool)
@@ -365,9 +386,11 @@ def _segments(parts: int):
             number = chunks.column("chunk")[0].as_py()
             h, w0, w1, doc = c.anchors()
             keep = _within(pool, h)
-            wh, at, of = _hot_windows(c, h, w0, w1, doc, hot)
-            mine = _within(windows, wh)
-            h, w0, w1, doc = (np.concatenate([x[keep], y[mine]]) for x, y in ((h, wh), (w0, at), (w1, at), (doc, of)))
+            wh, at, _ = _hot_windows(c, h, w0, w1, doc, hot)
+            mine = np.argsort(at := at[_within(windows, wh)], kind="stable")
+            lh, l0, l1 = long_anchors(c.buf, at[mine])
+            of = np.searchsorted(c.first, l0, side="right") - 1
+            h, w0, w1, doc = (np.concatenate([x[keep], y]) for x, y in ((h, lh), (w0, l0), (w1, l1), (doc, of)))
             size = w1 - w0 + LENGTH
             # equal segments by their bytes, padded to one width
             width = 2 * LENGTH - GRAM

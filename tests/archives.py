@@ -36,20 +36,53 @@ def header(seq, prev, tx_set, result, upgrades=(), signed=False):
     return b"".join([u32(20), prev, tx_set, struct.pack(">Q", 7), ups, close, result, b"b" * 32, u32(seq), b"\0" * (8 + 8 + 4 + 8 + 4 + 4 + 4), b"\0" * 128, u32(0)])
 
 
+def i64(x):
+    return struct.pack(">q", x)
+
+
+def i32(x):
+    return struct.pack(">i", x)
+
+
+def text(b):
+    return u32(len(b)) + b + b"\0" * (-len(b) % 4)
+
+
+def first_form(seq, operations=()):
+    """A transaction of the first form: source, fee, number, no bounds, no memo."""
+    return u32(0) + b"a" * 32 + u32(100) + i64(seq) + u32(0) + u32(0) + u32(len(operations)) + b"".join(operations) + u32(0) + u32(1) + b"hint" + text(b"s" * 64)
+
+
+def payment(amount):
+    return u32(0) + u32(1) + u32(0) + b"d" * 32 + u32(1) + b"EUR\0" + u32(0) + b"i" * 32 + i64(amount)
+
+
+def second_form(seq, operations=()):
+    """A transaction of the second form with time bounds and a text as memo."""
+    return u32(2) + u32(256) + i64(5) + b"m" * 32 + u32(100) + i64(seq) + u32(1) + i64(0) + i64(9) + u32(1) + text(b"memo") + u32(len(operations)) + b"".join(operations) + u32(0) + u32(0)
+
+
 def transactions(seq, prev, general):
     """(entry, hash of the set)"""
     if general:
-        whole = u32(1) + prev + u32(1) + b"phase" + b"\0" * 3 + u32(seq)
+        whole = u32(1) + prev + u32(1) + u32(0) + u32(1) + u32(0) + u32(1) + i64(100) + u32(1) + second_form(seq, [payment(seq)])
         return u32(seq) + b"\0" * 32 + u32(0) + u32(1) + whole, sha(whole)
-    body = b"tx%06d" % seq
-    return u32(seq) + prev + u32(1) + body + u32(0), sha(prev, body)
+    bodies = sorted((first_form(seq, [payment(k)]) for k in range(seq % 3 + 1)), key=sha)
+    return u32(seq) + prev + u32(len(bodies)) + b"".join(bodies) + u32(0), sha(prev, *bodies)
 
 
 def results(seq):
-    body = u32(1) + b"r" * 28 + u32(seq)
+    paid = u32(0) + u32(1) + i32(0 if seq % 2 else -2)
+    body = u32(1) + b"r" * 32 + i64(100) + i32(0 if seq % 2 else -1) + u32(1) + paid + u32(0)
     return u32(seq) + body + u32(0), sha(body)
 
 
+def consensus(seq):
+    quorum = u32(2) + u32(1) + u32(0) + b"v" * 32 + u32(0)
+    statement = u32(0) + b"v" * 32 + i64(seq) + u32(2) + u32(1) + text(b"value") + u32(1) + b"q" * 32
+    return u32(0) + u32(1) + quorum + u32(seq) + u32(1) + statement + text(b"s" * 64)
+
+
 def state(cp, buckets, version=1):
     zero, done = "0" * 64, {"state": 0}
     levels = [{"curr": b, "snap": zero, "next": done} for b in buckets] + [{"curr": zero, "snap": zero, "next": done}] * (11 - len(buckets))
@@ -84,7 +117,7 @@ def build(root, checkpoints=3, pointer="root-history.json", tamper=None):
         write(root, file_path("ledger", cp), framed(*heads))
         write(root, file_path("transactions", cp), framed(*txs))
         write(root, file_path("results", cp), framed(*res))
-        write(root, file_path("scp", cp), framed(u32(0) + b"scp!"))
+        write(root, file_path("scp", cp), framed(consensus(cp)))
         names = []
         for tag in ("shared", f"own{cp}"):
             raw = f"bucket {tag}".encode() * 50

@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--verify", action="store_true", help="check the content of all files, not only that they exist")
     shared.add_argument("--report", help="write a JSON report (of repair --dry-run: a plan)")
     shared.add_argument("--root-pointer", help="file name of the root pointer; found by itself in file archives")
+    shared.add_argument("--phases", action="store_true", help="log calls, bytes and time of each phase")
     shared.add_argument("--debug", action="store_true")
     shared.add_argument("--trace", action="store_true")
     shared.add_argument("--max-retries", type=int, default=3)
@@ -29,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--max-concurrent", type=int, default=128, help="accepted; executor cores limit concurrency")
     shared.add_argument("--timeout-secs", type=int, default=30)
     shared.add_argument("--io-timeout-secs", type=int, default=300)
-    shared.add_argument("--bandwidth-limit", type=int, default=0, help="bytes per second of a task that reads over HTTP; 0 is unlimited")
+    shared.add_argument("--bandwidth-limit", type=int, default=0, help="bytes per second of the run, shared by its tasks; 0 is unlimited")
     shared.add_argument("--atomic-file-writes", action="store_true")
     top = argparse.ArgumentParser(prog="ledgerloom")
     commands = top.add_subparsers(dest="command", required=True)
@@ -60,18 +61,27 @@ def main(argv: list[str] | None = None) -> int:
     for url in (args.archive,) if args.command == "scan" else (args.source, args.destination):
         configure(spark, url)
     common = {"low": args.low, "high": args.high, "verify": args.verify, "skip_optional": args.skip_optional, "report_path": args.report, "root_pointer": args.root_pointer}
+    log = logging.getLogger("ledgerloom")
     try:
         if args.command == "scan":
-            operations.scan(spark, archive(args.archive, options), **common)
+            done = operations.scan(spark, archive(args.archive, options), **common)
         elif args.command == "mirror":
-            operations.mirror(spark, archive(args.source, options), archive(args.destination, options), overwrite=args.overwrite, allow_gaps=args.allow_mirror_gaps, **common)
+            done = operations.mirror(spark, archive(args.source, options), archive(args.destination, options), overwrite=args.overwrite, allow_gaps=args.allow_mirror_gaps, **common)
         else:
-            operations.repair(spark, archive(args.source, options), archive(args.destination, options), dry_run=args.dry_run, plan=args.plan, **common)
+            done = operations.repair(spark, archive(args.source, options), archive(args.destination, options), dry_run=args.dry_run, plan=args.plan, **common)
     except Exception as e:
-        logging.getLogger("ledgerloom").error("%s", e)
+        log.error("%s", e)
+        _log_phases(log, args, getattr(e, "result", None))
         return 1
+    _log_phases(log, args, next(iter(done.values()), None) if isinstance(done, dict) else done)
     return 0
 
 
+def _log_phases(log: logging.Logger, args: argparse.Namespace, result: operations.Result | None) -> None:
+    if args.phases and result is not None and result.phases is not None:
+        for line in result.phases.lines():
+            log.info("%s", line)
+
+
 if __name__ == "__main__":
     sys.exit(main())

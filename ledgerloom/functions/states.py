@@ -45,9 +45,20 @@ def _level_error(level: Column) -> Column:
     )
 
 
+def _plain(levels: Column) -> Column:
+    """Whether all levels are in state 0 or 1 and hold what that asks for: lengths level by level, digits of all hashes at once."""
+    nxt = lambda level: level["next"]
+    no_inputs = lambda level: nxt(level)["curr"].isNull() & nxt(level)["snap"].isNull() & nxt(level)["shadow"].isNull()
+    output = lambda level: ((nxt(level)["state"] == 0) & nxt(level)["output"].isNull()) | ((nxt(level)["state"] == 1) & (F.length(nxt(level)["output"]) == 64))
+    sized = F.forall(levels, lambda level: (F.length(level["curr"]) == 64) & (F.length(level["snap"]) == 64) & output(level) & no_inputs(level))
+    digits = F.array_join(F.transform(levels, lambda level: F.concat(level["curr"], level["snap"], F.coalesce(nxt(level)["output"], F.lit("")))), "")
+    return F.coalesce(sized, F.lit(False)) & ~digits.rlike("[^0-9a-fA-F]")
+
+
 def _levels_error(levels: Column, name: str) -> Column:
+    """The first rule that a level breaks; levels that are plain are not looked at one by one."""
     found = F.filter(F.transform(levels, lambda level, i: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]: "), _level_error(level))), lambda e: e.isNotNull())
-    return F.get(found, F.lit(0))
+    return F.when(levels.isNotNull() & ~_plain(levels), F.get(found, F.lit(0)))
 
 
 def state_error(state: Column) -> Column:

@@ -1,11 +1,19 @@
-"""Reports and plans: the deterministic JSON body of a failure set, and back."""
+"""Reports and plans: the deterministic JSON body of a failure set, and back.
+
+Entries stay in Spark: a report is written from ordered fragments of text that
+tasks make, and a plan is parsed, checked and turned into failures by tasks. The
+driver holds what it is asked for: counts, the first error, or an entry list
+that a caller looks at.
+"""
 
 from __future__ import annotations
 
 import json
 import os
-import re
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +30,43 @@ class InvalidPlan(ValueError):
     pass
 
 
-def section(failures: DataFrame, outcomes: DataFrame, well_known: int | None = None) -> dict:
-    """A report's body: what failed, which the driver writes to one JSON file. More than ``MOST_ENTRIES`` make no plan and raise ``InvalidPlan``."""
-    rows = entries(failures)
-    if (n := rows.count()) > MOST_ENTRIES:
+class Section(Mapping):
+    """A report's body. Its lists of entries are fetched when they are looked at; ``write`` does not fetch them."""
+
+    KEYS = ("well_known", "files", "buckets", "checkpoints", "summary")
+
+    def __init__(self, failures: DataFrame, outcomes: DataFrame, well_known: int | None):
+        self.rows, self.known = entries(failures), {"well_known": well_known, "summary": failing.summary(outcomes, failures).first().asDict()}
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.KEYS)
+
+    def __len__(self) -> int:
+        return len(self.KEYS)
+
+    def __repr__(self) -> str:
+        return f"Section({dict(self)})"
+
+    def __getitem__(self, key: str):
+        if key not in self.KEYS:
+            raise KeyError(key)
+        if key not in self.known:
+            found = ordered(self.rows, key).collect()
+            self.known[key] = {r.key: r.names for r in found} if key == "files" else [int(r.key) if key == "checkpoints" else r.key for r in found]
+        return self.known[key]
+
+
+def section(failures: DataFrame, outcomes: DataFrame, well_known: int | None = None) -> Section:
+    """A report's body: what failed. More than ``MOST_ENTRIES`` make no plan and raise ``InvalidPlan``."""
+    out = Section(failures, outcomes, well_known)
+    if (n := out.rows.count()) > MOST_ENTRIES:
         raise InvalidPlan(f"report has {n} entries, exceeds maximum {MOST_ENTRIES}")
-    # checkpoints sort as text, as keys of a JSON object do
-    found = rows.orderBy("part", "key").collect()
-    listed = lambda part: [r.key for r in found if r.part == part]
-    files = {r.key: r.names for r in found if r.part == "files"}
-    return {"well_known": well_known, "files": files, "buckets": listed("buckets"), "checkpoints": sorted(map(int, listed("checkpoints"))), "summary": failing.summary(outcomes, failures).first().asDict()}
+    return out
+
+
+def ordered(rows: DataFrame, part: str) -> DataFrame:
+    """Entries of a part in the report's order: files and buckets as text, checkpoints as numbers."""
+    return rows.where(F.col("part") == part).orderBy(F.col("key").cast("bigint") if part == "checkpoints" else F.col("key"))
 
 
 def entries(failures: DataFrame) -> DataFrame:
@@ -52,19 +87,90 @@ def entry_error(part: Column, checkpoint: Column, name: Column) -> Column:
     )
 
 
-def single(body: dict) -> dict:
-    return {"version": VERSION, **body}
+def single(body: Mapping) -> Report:
+    return Report(body)
 
 
 def multi(sections: dict[str, dict]) -> dict:
     return {"version": VERSION, "sections": sections}
 
 
-def write(path: str, report: dict) -> None:
+#: Entries of a fragment that a task makes for the report's file.
+FRAGMENT = 5000
+
+
+def fragments(rows: DataFrame, part: str, indent: str) -> Iterator[str]:
+    """The entries of a part as JSON text, some thousands at a time, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FRAGMENT):
+                some = batch.slice(at, FRAGMENT)
+                keys, names = some.column("key").to_pylist(), some.column("names").to_pylist()
+                if part == "files":
+                    lines = [f"{json.dumps(k)}: {_indented(v, indent)}" for k, v in zip(keys, names, strict=True)]
+                else:
+                    lines = [k if part == "checkpoints" else json.dumps(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([(",\n" + indent).join(lines)], pa.string())], names=["text"])
+
+    # one partition at a time passes the driver
+    for r in ordered(rows, part).select("key", "names").mapInArrow(run, "text string").toLocalIterator(prefetchPartitions=True):
+        yield r.text
+
+
+def _indented(value: object, indent: str) -> str:
+    return json.dumps(value, indent=2).replace("\n", f"\n{indent}")
+
+
+def pieces(value: object, indent: str = "") -> Iterator[str]:
+    """JSON of a report as ``json.dumps(value, indent=2)`` writes it, in pieces."""
+    if not isinstance(value, Mapping) or not value:
+        yield _indented(value, indent)
+        return
+    inner, before = indent + "  ", "{\n"
+    for key in value:
+        yield f"{before}{inner}{json.dumps(key)}: "
+        before = ",\n"
+        if isinstance(value, Section) and key in PARTS and key not in value.known:
+            start, stop = "{}" if key == "files" else "[]"
+            any_yet = False
+            for text in fragments(value.rows, key, inner + "  "):
+                yield f"{',' if any_yet else start}\n{inner}  {text}"
+                any_yet = True
+            yield f"\n{inner}{stop}" if any_yet else start + stop
+        else:
+            yield from pieces(value[key], inner)
+    yield f"\n{indent}}}"
+
+
+class Report(Mapping):
+    """A section with the version in front."""
+
+    def __init__(self, body: Mapping):
+        self.body = body
+
+    def __getitem__(self, key: str):
+        return VERSION if key == "version" else self.body[key]
+
+    def __iter__(self) -> Iterator[str]:
+        yield "version"
+        yield from self.body
+
+    def __len__(self) -> int:
+        return 1 + len(self.body)
+
+    def __repr__(self) -> str:
+        return f"Report({dict(self)})"
+
+
+def write(path: str, report: Mapping) -> None:
+    """One JSON file, put in place when it is whole."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2)
+    temporary = f"{path}.tmp"
+    with open(temporary, "w", encoding="utf-8") as f:
+        f.writelines(pieces(report))
+    os.replace(temporary, path)
 
 
 def read(path: str) -> dict:
@@ -76,34 +182,65 @@ def plan_version_error(version: Column) -> Column:
     return F.when(F.coalesce(version != VERSION, F.lit(True)), "unsupported version")
 
 
-def _number(x: object) -> int:
-    if type(x) is not int or not 0 <= x <= 2**32 - 1:
-        raise InvalidPlan(f"{x} is not a valid checkpoint boundary")
-    return x
-
-
-def plan_failures(spark: SparkSession, plan: dict) -> tuple[DataFrame, int | None]:
-    """(failures, well_known) of a single-section report; anything out of order raises ``InvalidPlan``."""
-    if not isinstance(plan, dict) or any(k not in plan for k in ("version", "files", "buckets", "checkpoints")):
-        raise InvalidPlan("a plan needs version, files, buckets and checkpoints; reports of several sections are no plans")
-    if plan["version"] != VERSION:
-        raise InvalidPlan(f"unsupported report version {plan['version']} (expected {VERSION})")
-    total = sum(map(len, plan["files"].values())) + len(plan["buckets"]) + len(plan["checkpoints"])
-    if total > MOST_ENTRIES:
-        raise InvalidPlan(f"plan has {total} entries, exceeds maximum {MOST_ENTRIES}")
-    well_known = plan.get("well_known")
-    rows: list[tuple] = [("checkpoints", _number(x), None) for x in plan["checkpoints"]]
-    for key, names in plan["files"].items():
-        if not re.fullmatch(r"\+?[0-9]+", key):
-            raise InvalidPlan(f"invalid checkpoint key '{key}'")
-        rows += [("files", _number(int(key)), str(name)) for name in names]
-    rows += [("buckets", None, str(h)) for h in plan["buckets"]]
-    if well_known is not None:
-        rows.append(("checkpoints", _number(well_known), "well known"))
-    given = spark.createDataFrame(rows, "part string, cp bigint, name string").withColumn("broken", entry_error(F.col("part"), F.col("cp"), F.col("name")))
-    for r in given.where("broken IS NOT NULL").orderBy("part", "cp", "name").head(1):
-        raise InvalidPlan(f"{r.part}: {r.name if r.cp is None else r.cp} ({r.name}): {r.broken}")
+#: Values are kept as they are typed in the file: 63 is a checkpoint, "63" is none.
+PLAN = "version variant, well_known variant, files map<string, array<variant>>, buckets array<variant>, checkpoints array<variant>"
+_SHAPE = "a plan needs version, files, buckets and checkpoints; reports of several sections are no plans"
+
+
+def plan_rows(spark: SparkSession, plan: Mapping | str) -> DataFrame:
+    """A plan, given as a path or an object, as one row of ``PLAN``: parsed by a task."""
+    if isinstance(plan, str):
+        where = plan if "://" in plan else f"file://{os.path.abspath(plan)}"
+        return spark.read.schema(PLAN).option("multiLine", True).option("mode", "FAILFAST").json(where)
+    if not isinstance(plan, Mapping):
+        raise InvalidPlan(_SHAPE)
+    text = "".join(pieces(plan))
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", PLAN, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+
+
+def plan_entries(plan: DataFrame) -> DataFrame:
+    """(part, cp, name, broken) of a plan's row: every entry, and the rule it breaks."""
+    typed = lambda v, kind: F.schema_of_variant(v).isin(*kind)
+    number = lambda v: F.when(typed(v, ("BIGINT",)), F.try_variant_get(v, "$", "bigint"))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    none = F.lit(None)
+    files = plan.select(F.explode("files").alias("key", "names")).select("key", F.explode("names").alias("v"))
+    digits = F.when(F.col("key").rlike(r"^\+?[0-9]+$"), F.regexp_replace("key", r"^\+", ""))
+    files = files.select(F.lit("files").alias("part"), F.expr("try_cast(key AS bigint)").alias("cp"), text(F.col("v")).alias("name"), digits.isNull().alias("odd_key"))
+    buckets = plan.select(F.explode("buckets").alias("v")).select(F.lit("buckets").alias("part"), none.cast("bigint").alias("cp"), text(F.col("v")).alias("name"), F.lit(False).alias("odd_key"))
+    checkpoints = plan.select(F.explode("checkpoints").alias("v")).select(F.lit("checkpoints").alias("part"), number(F.col("v")).alias("cp"), none.cast("string").alias("name"), F.lit(False).alias("odd_key"))
+    known = plan.where("well_known IS NOT NULL AND NOT is_variant_null(well_known)").select(F.lit("checkpoints").alias("part"), number(F.col("well_known")).alias("cp"), F.lit("well known").alias("name"), F.lit(False).alias("odd_key"))
+    rows = files.unionByName(buckets).unionByName(checkpoints).unionByName(known)
+    broken = F.when(F.col("odd_key"), "invalid checkpoint key").otherwise(entry_error(F.col("part"), F.col("cp"), F.col("name")))
+    return rows.select("part", "cp", "name", broken.alias("broken"))
+
+
+def plan_failures(spark: SparkSession, plan: Mapping | str) -> tuple[DataFrame, int | None]:
+    """(failures, well_known) of a single-section report, given as a path or an object; anything out of order raises ``InvalidPlan``.
+
+    The driver gets the plan's version, its sizes and the first error; entries
+    stay in Spark.
+    """
+    try:
+        row = plan_rows(spark, plan)
+        size = lambda c: F.coalesce(F.size(c), F.lit(0))
+        n = F.coalesce(F.aggregate(F.map_values("files"), F.lit(0).cast("bigint"), lambda a, names: a + F.size(names)), F.lit(0)) + size("buckets") + size("checkpoints")
+        version = F.when(F.schema_of_variant("version") == "BIGINT", F.try_variant_get("version", "$", "bigint"))
+        whole = F.col("version").isNotNull() & F.col("files").isNotNull() & F.col("buckets").isNotNull() & F.col("checkpoints").isNotNull()
+        head = row.select(whole.alias("whole"), version.alias("version"), n.alias("n"), F.size("files").alias("keys")).head(2)
+        if len(head) != 1 or not head[0].whole:
+            raise InvalidPlan(_SHAPE)
+        if head[0].version != VERSION:
+            raise InvalidPlan(f"unsupported report version {head[0].version} (expected {VERSION})")
+        if head[0].n > MOST_ENTRIES:
+            raise InvalidPlan(f"plan has {head[0].n} entries, exceeds maximum {MOST_ENTRIES}")
+        given = plan_entries(row)
+        for r in given.where("broken IS NOT NULL").orderBy("part", "cp", "name").head(1):
+            raise InvalidPlan(f"{r.part}: {r.name if r.cp is None else r.cp} ({r.name}): {r.broken}")
+        known = given.where("part = 'checkpoints' AND name IS NOT NULL").select("cp").head(1)
+    except PySparkException as e:
+        raise InvalidPlan(f"the plan is not of a report's form: {str(e).splitlines()[0]}") from e
     listed = given.where("part != 'checkpoints' OR name IS NULL")
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in PARTS.items() for x in pair)), F.col("part"))
     flag, bucket = F.when(F.col("part") == "files", flag_of_kind(F.col("name"))), F.when(F.col("part") == "buckets", F.lower("name"))
-    return listed.select(kind.alias("kind"), "cp", flag.alias("flag"), bucket.alias("hash")).distinct(), well_known
+    return listed.select(kind.alias("kind"), "cp", flag.alias("flag"), bucket.alias("hash")).distinct(), known[0].cp if known else None

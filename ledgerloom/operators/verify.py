@@ -95,9 +95,16 @@ def failed_checkpoints(errors: DataFrame) -> DataFrame:
     return errors.select(F.explode(marked).alias("cp")).distinct()
 
 
+def file_errors(status: DataFrame, headers: DataFrame, tx_sets: DataFrame, results: DataFrame) -> DataFrame:
+    """Checks inside checkpoints and between their files; rows may repeat."""
+    return incomplete(status, headers).union(tx_set_failures(headers, tx_sets, status)).union(result_failures(headers, results, status))
+
+
+def chain_errors(headers: DataFrame) -> DataFrame:
+    """Checks of the hash chain, inside checkpoints and across them; rows may repeat."""
+    return chain_failures(headers).union(boundary_failures(boundaries(headers)))
+
+
 def all_errors(status: DataFrame, headers: DataFrame, tx_sets: DataFrame, results: DataFrame) -> DataFrame:
     """Every check; duplicates are removed. Headers should be written or cached: they are read five times."""
-    out = incomplete(status, headers)
-    for more in (tx_set_failures(headers, tx_sets, status), result_failures(headers, results, status), chain_failures(headers), boundary_failures(boundaries(headers))):
-        out = out.union(more)
-    return out.distinct()
+    return file_errors(status, headers, tx_sets, results).union(chain_errors(headers)).distinct()

@@ -22,9 +22,10 @@ from ledgerloom.operators import failures as failing
 from ledgerloom.operators import report as reports
 from ledgerloom.operators import verify as checks
 from ledgerloom.sources import history
-from ledgerloom.sources.decode import ROW_DDL, decoded, parsed_states
+from ledgerloom.sources.decode import ROW_DDL, decoded, parsed_states, written
 from ledgerloom.sources.storage import Archive, StorageError
 
+from .phases import Phases, recorded, timed, watched, watched_files
 from .scratch import cut
 from .shipping import ship
 
@@ -49,6 +50,7 @@ class Result:
     well_known: int | None = None
     errors: DataFrame | None = None
     report: dict = field(default_factory=dict)
+    phases: Phases | None = None
 
     @property
     def failed(self) -> bool:
@@ -76,13 +78,7 @@ def pointer_path(archive: Archive, given: str | None = None) -> str:
 
 def read_pointer(spark: SparkSession, archive: Archive, path: str, retries: bool = True) -> int:
     """The checkpoint that the root pointer names; raises ``StorageError`` if it is missing or breaks a rule."""
-    if archive.scheme in ("file", "http"):
-        content = archive.read(path, retries)
-    else:
-        rows = archive.listing(spark, [WELL_KNOWN], content=True).where(F.col("path") == path).select("content").head(1)
-        if not rows:
-            raise StorageError("not_found", path)
-        content = bytes(rows[0].content)
+    content = archive.read(path, retries)
     one = parsed_states(spark.createDataFrame([(path, None, content, None, None)], "path string, cp bigint, content binary, error_class string, error string"))
     row = one.select(F.coalesce("error", state_error(F.col("state"))).alias("error"), F.col("state.currentLedger").alias("ledger")).first()
     if row.error is not None:
@@ -119,21 +115,11 @@ def each_once(refs: DataFrame) -> DataFrame:
     return once.select("key", F.col("first.cp").alias("cp"), F.col("first.hash").alias("hash"), "refs")
 
 
-def folders(kinds: list[str], b: limits.Bounds | None = None) -> list[str]:
-    """Folders to list: of a narrow range, those of its upper two bytes; else the whole kind."""
-    out = []
-    for kind in kinds:
-        tops = range(b.low >> 16, (b.high >> 16) + 1) if b is not None and not b.empty else []
-        if kind == "bucket" or not 0 < len(tops) <= 16:
-            out.append(kind)
-        else:
-            out += [f"{kind}/{t >> 8:02x}/{t & 255:02x}" for t in tops]
-    return out
-
-
-def _states(archive: Archive, files: DataFrame, b: limits.Bounds | None) -> DataFrame:
+def _states(archive: Archive, files: DataFrame) -> DataFrame:
     """(path, cp, state, content, error_class, error): parsed and validated history files."""
-    parsed = parsed_states(archive.contents(files, folders(["history"], b)))
+    parsed = parsed_states(archive.contents(files))
+    read = F.col("content").isNotNull()
+    parsed = watched(parsed, history_fetch=(read, F.length("content"), F.col("fetch_ns")), history_parse=(read, F.length("content"), F.col("parse_ns"))).drop("fetch_ns", "parse_ns")
     broken = state_error(F.col("state"))
     return parsed.withColumns({"error_class": F.coalesce("error_class", F.when(broken.isNotNull(), "fatal")), "error": F.coalesce("error", broken)})
 
@@ -149,8 +135,11 @@ def _rows(read: DataFrame, kind: str, *columns: str) -> DataFrame:
 def cross_checks(read: DataFrame) -> DataFrame:
     """Errors of ``read(kind, cp, parsed, rows)``."""
     status = read.where(F.col("kind").isin("ledger", "transactions", "results")).select("cp", "kind", "parsed")
-    headers = cut(_rows(read, "ledger", "hash", "prev_hash", "tx_set_hash", "result_hash").repartition("cp"))
-    return cut(checks.all_errors(status, headers, _rows(read, "transactions", "hash"), _rows(read, "results", "hash")))
+    with timed("cross_file_verify"):
+        headers = cut(_rows(read, "ledger", "hash", "prev_hash", "tx_set_hash", "result_hash").repartition("cp"))
+        inside = cut(checks.file_errors(status, headers, _rows(read, "transactions", "hash"), _rows(read, "results", "hash")))
+    with timed("chain_verify"):
+        return cut(inside.union(checks.chain_errors(headers)).distinct())
 
 
 def _result(outcomes: DataFrame, read: DataFrame | None) -> Result:
@@ -162,84 +151,177 @@ def _result(outcomes: DataFrame, read: DataFrame | None) -> Result:
     return Result(outcomes, cut(failures), errors=errors)
 
 
-# --- scan --------------------------------------------------------------------
+# --- operations --------------------------------------------------------------
 
 
-def scan(spark: SparkSession, archive: Archive, low: int | None = None, high: int | None = None, verify: bool = False, skip_optional: bool = False, report_path: str | None = None, root_pointer: str | None = None) -> Result:
-    """Audit an archive: that all files exist, or with ``verify`` that they hold. Raises ``OperationFailed`` on any failure."""
+class Operation:
+    """What a pass over an archive's checkpoints does; scan, mirror and repair are of this kind, others may be.
+
+    ``run`` asks for the bounds, then for the history files of all checkpoints,
+    then for the files that these and their states call for. The answers are
+    DataFrames with a row for each file, so an operation says what is done with a
+    file and Spark where.
+    """
+
+    name = "operation"
+    skip_optional = False
+
+    def bounds(self, spark: SparkSession) -> limits.Bounds:
+        """The checkpoints to go through."""
+        raise NotImplementedError
+
+    def histories(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(outcomes, states) of ``files(cp, kind, path)``: outcomes are ``OUTCOME`` rows, states(cp, state) those whose buckets are wanted."""
+        raise NotImplementedError
+
+    def objects(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(outcomes, read) of ``files(cp, kind, path)``: read are the decoded rows to check across files, or None."""
+        raise NotImplementedError
+
+    def finalize(self, b: limits.Bounds, result: Result) -> None:
+        """What is left to do once all files are through; raises ``OperationFailed`` to fail the run."""
+
+
+def _pass(operation: Operation, checkpoints: DataFrame, with_history: bool = True) -> Result:
+    files, outcomes = checkpoint_files(checkpoints, operation.skip_optional), None
+    if with_history:
+        outcomes, states = operation.histories(history_files(checkpoints))
+        files = files.unionByName(needed_buckets(states))
+    found, read = operation.objects(files)
+    return _result(cut(found if outcomes is None else found.unionByName(outcomes)), read)
+
+
+def run(spark: SparkSession, operation: Operation, report_path: str | None = None) -> Result:
+    """One pass of an operation over its bounds, its report, and its end."""
     ship(spark)
-    b = limits.archive_bounds(read_pointer(spark, archive, pointer_path(archive, root_pointer)), low, high)
-    checkpoints = checkpoints_of(spark, b)
-    states = cut(_states(archive, history_files(checkpoints), b).drop("content").withColumn("kind", F.lit("history")))
-    files = checkpoint_files(checkpoints, skip_optional).unionByName(needed_buckets(states.where("error_class IS NULL")))
-    where = folders([*FILE_KINDS, "bucket"], b)
-    if verify:
-        read = cut(decoded(archive.contents(files, where)))
-        found = _outcome(read)
-    else:
-        read = None
-        found = archive.present(files, where).select("path", "kind", "cp", F.when(F.col("present"), "processed").otherwise("failed").alias("outcome"), "error_class", "error")
-    result = _result(cut(_outcome(states).unionByName(found)), read)
-    return _finish("scan", result, report_path)
+    with recorded() as phases:
+        b = operation.bounds(spark)
+        result = _pass(operation, checkpoints_of(spark, b))
+        result.phases = phases
+        result.report = reports.single(result.section())
+        if report_path:
+            reports.write(report_path, result.report)
+        operation.finalize(b, result)
+    return result
 
 
-def _finish(name: str, result: Result, report_path: str | None) -> Result:
-    result.report = reports.single(result.section())
-    if report_path:
-        reports.write(report_path, result.report)
+def _need_success(name: str, result: Result) -> None:
     if result.failed:
         raise OperationFailed(f"{name} found failures", result)
-    return result
+
+
+# --- scan --------------------------------------------------------------------
+
+
+@dataclass
+class Scan(Operation):
+    """That all files of an archive exist, or with ``verify`` that they hold."""
+
+    archive: Archive
+    low: int | None = None
+    high: int | None = None
+    verify: bool = False
+    skip_optional: bool = False
+    root_pointer: str | None = None
+    name = "scan"
+
+    def bounds(self, spark: SparkSession) -> limits.Bounds:
+        return limits.archive_bounds(read_pointer(spark, self.archive, pointer_path(self.archive, self.root_pointer)), self.low, self.high)
+
+    def histories(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        states = cut(_states(self.archive, files).drop("content").withColumn("kind", F.lit("history")))
+        return _outcome(states), states.where("error_class IS NULL")
+
+    def objects(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        if self.verify:
+            read = cut(watched_files(decoded(files, self.archive), False))
+            return _outcome(read), read
+        there = self.archive.present(files)
+        return there.select("path", "kind", "cp", F.when(F.col("present"), "processed").otherwise("failed").alias("outcome"), "error_class", "error"), None
+
+    def finalize(self, b: limits.Bounds, result: Result) -> None:
+        _need_success(self.name, result)
+
+
+def scan(spark: SparkSession, archive: Archive, low: int | None = None, high: int | None = None, verify: bool = False, skip_optional: bool = False, report_path: str | None = None, root_pointer: str | None = None) -> Result:
+    """Audit an archive. Raises ``OperationFailed`` on any failure."""
+    return run(spark, Scan(archive, low, high, verify, skip_optional, root_pointer), report_path)
 
 
 # --- mirror ------------------------------------------------------------------
 
 
-def _fetch(source: Archive, target: Archive, files: DataFrame, verify: bool, where: list[str]) -> DataFrame:
+def _fetch(source: Archive, target: Archive, files: DataFrame, verify: bool) -> DataFrame:
     """Fetch files and write each once it holds."""
-    return cut(decoded(source.contents(files, where), target, verify))
+    return cut(watched_files(decoded(files, source, target, verify), True))
 
 
-def _fetch_states(source: Archive, target: Archive, files: DataFrame, b: limits.Bounds | None) -> DataFrame:
+def _fetch_states(source: Archive, target: Archive, files: DataFrame) -> DataFrame:
     """Fetch history files; each is written once it parses."""
-    fetched = cut(_states(source, files, b).withColumn("kind", F.lit("history")))
-    written = decoded(fetched, target, verify=False).select("path", F.col("error_class").alias("w_class"), F.col("error").alias("w_error"))
-    joined = fetched.drop("content").join(cut(written), "path")
+    fetched = cut(_states(source, files).withColumn("kind", F.lit("history")))
+    after = written(fetched, target).select("path", F.col("error_class").alias("w_class"), F.col("error").alias("w_error"))
+    joined = fetched.drop("content").join(cut(after), "path", "left")
     return joined.withColumns({"error_class": F.coalesce("error_class", "w_class"), "error": F.coalesce("error", "w_error")}).drop("w_class", "w_error")
 
 
-def _copy_pass(source: Archive, target: Archive, checkpoints: DataFrame, b: limits.Bounds | None, verify: bool, skip_optional: bool, overwrite: bool, with_history: bool = True) -> Result:
-    """Copy what the destination lacks, or everything with ``overwrite``."""
-    spark = checkpoints.sparkSession
-    files, outcomes = checkpoint_files(checkpoints, skip_optional), None
-    if with_history:
-        wanted = history_files(checkpoints)
+@dataclass
+class Mirror(Operation):
+    """Copy what the destination lacks, or everything with ``overwrite``; the destination's pointer only moves forward."""
+
+    source: Archive
+    target: Archive
+    low: int | None = None
+    high: int | None = None
+    overwrite: bool = False
+    allow_gaps: bool = False
+    verify: bool = False
+    skip_optional: bool = False
+    root_pointer: str | None = None
+    name = "mirror"
+    existing = None
+
+    def bounds(self, spark: SparkSession) -> limits.Bounds:
+        _need_writable(self.target)
+        pointer = pointer_path(self.source, self.root_pointer)
+        latest = read_pointer(spark, self.source, pointer)
+        try:
+            self.existing = read_pointer(spark, self.target, pointer, retries=False)
+        except StorageError:
+            self.existing = None
+        return limits.mirror_bounds(latest, self.existing, self.low, self.high, self.overwrite, self.allow_gaps)
+
+    def histories(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         kept = None
-        if not overwrite:
-            kept = cut(_states(target, wanted, b).where("error_class IS NULL").drop("content").withColumn("kind", F.lit("history")))
-            wanted = wanted.join(kept.select("path"), "path", "left_anti")
-        fetched = _fetch_states(source, target, wanted, b)
+        if not self.overwrite:
+            kept = cut(_states(self.target, files).where("error_class IS NULL").drop("content").withColumn("kind", F.lit("history")))
+            files = files.join(kept.select("path"), "path", "left_anti")
+        fetched = _fetch_states(self.source, self.target, files)
         outcomes, states = _outcome(fetched), fetched.select("cp", "state", "error_class")
         if kept is not None:
             outcomes = outcomes.unionByName(_outcome(kept, "skipped"))
             states = states.unionByName(kept.select("cp", "state", "error_class"))
-        files = files.unionByName(needed_buckets(cut(states).where("error_class IS NULL")))
-    where = folders([*FILE_KINDS, "bucket"], b)
-    skipped = spark.createDataFrame([], OUTCOME)
-    if not overwrite:
-        there = cut(target.present(files, where))
-        skipped = there.where("present").select("path", "kind", "cp", F.lit("skipped").alias("outcome"), "error_class", "error")
-        files = there.where("NOT present").drop("present", "error_class", "error")
-    read = _fetch(source, target, files, verify, where)
-    all_outcomes = skipped.unionByName(_outcome(read))
-    if outcomes is not None:
-        all_outcomes = all_outcomes.unionByName(outcomes)
-    return _result(cut(all_outcomes), read if verify else None)
+        return outcomes, cut(states).where("error_class IS NULL")
+
+    def objects(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        skipped = None
+        if not self.overwrite:
+            there = cut(self.target.present(files))
+            skipped = there.where("present").select("path", "kind", "cp", F.lit("skipped").alias("outcome"), "error_class", "error")
+            files = there.where("NOT present").drop("present", "error_class", "error")
+        read = _fetch(self.source, self.target, files, self.verify)
+        outcomes = _outcome(read)
+        return (outcomes if skipped is None else skipped.unionByName(outcomes)), (read if self.verify else None)
+
+    def finalize(self, b: limits.Bounds, result: Result) -> None:
+        _need_success(self.name, result)
+        pointer = pointer_path(self.source, self.root_pointer)
+        if not b.empty and (self.existing is None or b.high > self.existing) and not _restore_pointer(self.target, b.high, pointer):
+            raise OperationFailed("mirror could not write the root pointer", result)
 
 
 def _need_writable(target: Archive) -> None:
     if not target.writable:
-        raise StorageError("fatal", f"{target.root} cannot be written: only file archives can")
+        raise StorageError("fatal", f"{target.root} cannot be written")
 
 
 def _restore_pointer(target: Archive, cp: int, pointer: str) -> bool:
@@ -254,56 +336,48 @@ def _restore_pointer(target: Archive, cp: int, pointer: str) -> bool:
 
 def mirror(spark: SparkSession, source: Archive, target: Archive, low: int | None = None, high: int | None = None, overwrite: bool = False, allow_gaps: bool = False, verify: bool = False, skip_optional: bool = False, report_path: str | None = None, root_pointer: str | None = None) -> Result:
     """Copy an archive. The destination's pointer only moves forward, and only after a pass without failures."""
-    ship(spark)
-    _need_writable(target)
-    pointer = pointer_path(source, root_pointer)
-    latest = read_pointer(spark, source, pointer)
-    try:
-        existing = read_pointer(spark, target, pointer, retries=False)
-    except StorageError:
-        existing = None
-    b = limits.mirror_bounds(latest, existing, low, high, overwrite, allow_gaps)
-    result = _copy_pass(source, target, checkpoints_of(spark, b), b, verify, skip_optional, overwrite)
-    _finish("mirror", result, report_path)
-    if not b.empty and (existing is None or b.high > existing) and not _restore_pointer(target, b.high, pointer):
-        raise OperationFailed("mirror could not write the root pointer", result)
-    return result
+    return run(spark, Mirror(source, target, low, high, overwrite, allow_gaps, verify, skip_optional, root_pointer), report_path)
 
 
 # --- repair ------------------------------------------------------------------
 
 
-def _repair_pass(source: Archive, target: Archive, checkpoints: DataFrame, b: limits.Bounds, verify: bool, skip_optional: bool, dry_run: bool) -> Result:
-    """Keep what is good at the destination, fetch the rest; under ``dry_run`` only tell."""
-    where = folders([*FILE_KINDS, "bucket"], b)
-    probed = cut(_states(target, history_files(checkpoints), b).drop("content").withColumn("kind", F.lit("history")))
-    good = probed.where("error_class IS NULL")
-    bad = probed.where("error_class IS NOT NULL")
-    if dry_run:
-        states, outcomes = good, _outcome(probed)
-    else:
-        fetched = _fetch_states(source, target, bad.select("cp", "kind", "path"), b)
+@dataclass
+class Repair(Operation):
+    """Keep what is good at the destination, fetch the rest; under ``dry_run`` only tell. Its bounds are known beforehand."""
+
+    source: Archive
+    target: Archive
+    verify: bool = False
+    skip_optional: bool = False
+    dry_run: bool = False
+    name = "repair"
+
+    def histories(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        probed = cut(_states(self.target, files).drop("content").withColumn("kind", F.lit("history")))
+        good = probed.where("error_class IS NULL")
+        if self.dry_run:
+            return _outcome(probed), good
+        fetched = _fetch_states(self.source, self.target, probed.where("error_class IS NOT NULL").select("cp", "kind", "path"))
         states = cut(good.select("cp", "state", "error_class").unionByName(fetched.select("cp", "state", "error_class")))
-        outcomes = _outcome(good).unionByName(_outcome(fetched))
-    files = checkpoint_files(checkpoints, skip_optional).unionByName(needed_buckets(states.where("error_class IS NULL")))
-    kept, broken, read = _probe(target, files, where, verify)
-    if dry_run:
+        return _outcome(good).unionByName(_outcome(fetched)), states.where("error_class IS NULL")
+
+    def objects(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        kept, broken, read = _probe(self.target, files, self.verify)
         found = kept.select("path", "kind", "cp", F.lit("processed").alias("outcome"), "error_class", "error")
-        found = found.unionByName(broken.select("path", "kind", "cp", F.lit("failed").alias("outcome"), F.lit("fatal").alias("error_class"), F.lit("needs repair").alias("error")))
-    else:
-        again = _fetch(source, target, broken.select("path", "kind", "cp"), verify, where)
-        found = kept.select("path", "kind", "cp", F.lit("processed").alias("outcome"), "error_class", "error").unionByName(_outcome(again))
-        read = None if read is None else cut(read.unionByName(again))
-    return _result(cut(outcomes.unionByName(found)), read)
+        if self.dry_run:
+            return found.unionByName(broken.select("path", "kind", "cp", F.lit("failed").alias("outcome"), F.lit("fatal").alias("error_class"), F.lit("needs repair").alias("error"))), read
+        again = _fetch(self.source, self.target, broken.select("path", "kind", "cp"), self.verify)
+        return found.unionByName(_outcome(again)), None if read is None else cut(read.unionByName(again))
 
 
-def _probe(target: Archive, files: DataFrame, where: list[str], verify: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _probe(target: Archive, files: DataFrame, verify: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(kept, broken, read) of ``files`` at the destination."""
     if verify:
-        probe = cut(decoded(target.contents(files, where)))
+        probe = cut(watched_files(decoded(files, target), False))
         kept = probe.where("parsed")
         return kept, probe.where("NOT parsed"), kept
-    there = cut(target.present(files, where))
+    there = cut(target.present(files))
     return there.where("present"), there.where("NOT present"), None
 
 
@@ -311,12 +385,11 @@ def _retry_files(source: Archive, target: Archive, failures: DataFrame, verify:
     """Fetch listed files again without looking at the destination; buckets found through a history file are probed first."""
     spark = failures.sparkSession
     work = cut(failing.work_list(failures))
-    histories = _fetch_states(source, target, work.where("kind = 'history'").select("cp", "kind", "path"), None)
+    histories = _fetch_states(source, target, work.where("kind = 'history'").select("cp", "kind", "path"))
     listed = work.where("kind != 'history'").select("path", "kind", "cp")
     discovered = needed_buckets(histories.where("error_class IS NULL")).select("path", "kind", "cp").join(listed.select("path"), "path", "left_anti")
-    where = folders([*FILE_KINDS, "bucket"])
-    kept, broken, _ = _probe(target, cut(discovered), where, verify)
-    read = _fetch(source, target, listed.unionByName(broken.select("path", "kind", "cp")), verify, where)
+    kept, broken, _ = _probe(target, cut(discovered), verify)
+    read = _fetch(source, target, listed.unionByName(broken.select("path", "kind", "cp")), verify)
     none = F.lit(None).cast("string")
     outcomes = _outcome(read).unionByName(_outcome(histories)).unionByName(kept.select("path", "kind", "cp", F.lit("processed").alias("outcome"), none.alias("error_class"), none.alias("error")))
     assert outcomes.sparkSession is spark
@@ -326,7 +399,8 @@ def _retry_files(source: Archive, target: Archive, failures: DataFrame, verify:
 def _retry_checkpoints(source: Archive, target: Archive, failures: DataFrame, verify: bool, skip_optional: bool) -> Result:
     """Fetch whole checkpoints again and check them, and the chain among them, once more."""
     checkpoints = failures.where("kind = 'checkpoint'").select("cp").distinct()
-    return _copy_pass(source, target, cut(checkpoints), None, verify, skip_optional, overwrite=True, with_history=False)
+    again = Mirror(source, target, overwrite=True, verify=verify, skip_optional=skip_optional)
+    return _pass(again, cut(checkpoints), with_history=False)
 
 
 def _retries(source: Archive, target: Archive, failures: DataFrame, well_known: int | None, pointer: str, verify: bool, skip_optional: bool) -> tuple[Result, Result]:
@@ -345,16 +419,21 @@ def repair(spark: SparkSession, source: Archive, target: Archive, low: int | Non
     """
     ship(spark)
     _need_writable(target)
+    with recorded() as phases:
+        return _repair(spark, source, target, low, high, verify, dry_run, plan, skip_optional, report_path, root_pointer, phases)
+
+
+def _repair(spark: SparkSession, source: Archive, target: Archive, low: int | None, high: int | None, verify: bool, dry_run: bool, plan: dict | str | None, skip_optional: bool, report_path: str | None, root_pointer: str | None, phases: Phases) -> dict[str, Result]:
     if plan is not None:
         if low is not None or high is not None or dry_run:
             raise ValueError("a plan excludes low, high and dry_run")
-        failures, well_known = reports.plan_failures(spark, reports.read(plan) if isinstance(plan, str) else plan)
+        failures, well_known = reports.plan_failures(spark, plan)
         if well_known is None and failures.isEmpty():
             return {}
         # the pointer's name matters only where the pointer is restored
         pointer = pointer_path(source, root_pointer) if well_known is not None else ""
         files, whole = _retries(source, target, cut(failures), well_known, pointer, verify, skip_optional)
-        return _finish_repair({"file_retry": files, "checkpoint_retry": whole}, report_path)
+        return _finish_repair({"file_retry": files, "checkpoint_retry": whole}, report_path, phases)
     try:
         pointer = pointer_path(target, root_pointer)
         latest, broken_pointer = read_pointer(spark, target, pointer, retries=False), False
@@ -362,18 +441,21 @@ def repair(spark: SparkSession, source: Archive, target: Archive, low: int | Non
         pointer = pointer_path(source, root_pointer)
         latest, broken_pointer = read_pointer(spark, source, pointer), True
     b = limits.archive_bounds(latest, low, high)
-    main = _repair_pass(source, target, checkpoints_of(spark, b), b, verify, skip_optional, dry_run)
+    main = _pass(Repair(source, target, verify, skip_optional, dry_run), checkpoints_of(spark, b))
     main.well_known = b.high if broken_pointer else None
     if dry_run:
+        main.phases = phases
         main.report = reports.single(main.section())
         if report_path:
             reports.write(report_path, main.report)
         return {"main_pass": main}
     files, whole = _retries(source, target, main.failures, main.well_known, pointer, verify, skip_optional)
-    return _finish_repair({"main_pass": main, "file_retry": files, "checkpoint_retry": whole}, report_path)
+    return _finish_repair({"main_pass": main, "file_retry": files, "checkpoint_retry": whole}, report_path, phases)
 
 
-def _finish_repair(stages: dict[str, Result], report_path: str | None) -> dict[str, Result]:
+def _finish_repair(stages: dict[str, Result], report_path: str | None, phases: Phases) -> dict[str, Result]:
+    for r in stages.values():
+        r.phases = phases  # of all stages together
     if report_path:
         reports.write(report_path, reports.multi({name: r.section() for name, r in stages.items()}))
     if stages["file_retry"].failed or stages["checkpoint_retry"].failed:
@@ -381,4 +463,4 @@ def _finish_repair(stages: dict[str, Result], report_path: str | None) -> dict[s
     return stages
 
 
-__all__ = ["OperationFailed", "Result", "history", "mirror", "repair", "scan", "ROW_DDL"]
+__all__ = ["Operation", "OperationFailed", "Result", "history", "mirror", "repair", "run", "scan", "ROW_DDL"]

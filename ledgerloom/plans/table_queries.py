@@ -8,10 +8,8 @@ and, by another hash, its results. Document texts stand for buckets.
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -429,20 +427,7 @@ def resume_bounds(spark, d):
     r = _seq(spark, d).select(
         "seq", F.lit(6399).cast("bigint").alias("latest"), F.when(seq % 4 != 0, seq % 97 * 64 + 63).alias("existing"),
         F.when(seq % 3 != 0, cps.floor_checkpoint(seq % 6000)).alias("low"), (seq % 5 == 0).alias("overwrite"), (seq % 2 == 0).alias("gaps"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_resumed(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("latest", "existing", "low", "overwrite", "gaps")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64())], names=["seq", "action", "start"])
-
-    return r.mapInArrow(run, "seq bigint, action string, start bigint")
-
-
-def _resumed(latest: int, existing: int | None, low: int | None, overwrite: bool, gaps: bool) -> tuple[str, int]:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            b = limits.mirror_bounds(latest, existing, low, None, overwrite, gaps)
-        except limits.GapDetected:
-            return "gap", -1
-    return ("done", -1) if b.empty else ("copy", b.low)
+    none = F.lit(None).cast("bigint")
+    b = limits.mirror_bounds_column(F.col("latest"), F.col("existing"), F.col("low"), none, F.col("overwrite"), F.col("gaps"))
+    action = F.when(F.col("b.error").isNotNull(), F.col("b.error")).when(F.col("b.low") > F.col("b.high"), "done").otherwise("copy")
+    return r.select("seq", b.alias("b")).select("seq", action.alias("action"), F.when(action == "copy", F.col("b.low")).otherwise(-1).alias("start"))

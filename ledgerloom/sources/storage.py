@@ -1,63 +1,39 @@
-"""Where archives lie, and their files as DataFrames.
-
-Storage that Hadoop reads (hdfs, s3a, gs, abfss and the like) is read by Spark's
-``binaryFile`` source, files as well for existence, where only path and length
-are read. Contents are fetched for expected paths only: of file and HTTP
-archives by the tasks themselves, with retries; of Hadoop's in scans of the
-listed paths, so that no content is read that nobody asked for, and none is
-shuffled. HTTP archives cannot be listed: tasks ask for each expected path.
-Only file archives can be written.
+"""Archives: where they lie, and their files as DataFrames.
+
+An archive is a store (``stores``) with a root. Whether expected files are there,
+and what they hold, is asked by the tasks that own the expected rows: no path
+passes the driver, and no listing is held there. Where listing a folder is
+cheaper than asking for each of its files, as in object stores, expected paths
+are brought together by folder, and a folder with many of them is listed once.
 """
 
 from __future__ import annotations
 
 import contextlib
-import errno
 import os
 import time
-import urllib.error
-import urllib.request
-import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
-from http.client import HTTPException
-from itertools import islice
+from itertools import groupby
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RETRY, FATAL, NOT_FOUND = "retry", "fatal", "not_found"
-# HTTP states worth another try.
-RETRY_STATUS = (408, 429, 500, 502, 503, 504, 509, 520, 521, 522, 523, 524, 529, 530, 598, 599)
-FATAL_ERRNO = (errno.EACCES, errno.EPERM, errno.EEXIST, errno.EINVAL)
-#: Longest delay between two tries, in seconds.
-MOST_DELAY = 5.0
-#: Paths that one scan of a Hadoop archive names.
-SCAN_PATHS = 10_000
-HADOOP_SCHEMES = {"s3": "s3a", "s3a": "s3a", "b2": "s3a", "gs": "gs", "gcs": "gs", "azblob": "abfss", "azure": "abfss", "abfss": "abfss", "wasbs": "wasbs", "hdfs": "hdfs", "viewfs": "viewfs"}
-
-
-class StorageError(Exception):
-    def __init__(self, kind: str, message: str):
-        super().__init__(message)
-        self.kind = kind
+from .stores import FATAL, HADOOP_SCHEMES, NOT_FOUND, RETRY, RETRY_STATUS, STORES, ArrowStore, FileStore, HttpStore, Options, StorageError, Store, os_error_class, register, status_class, with_retries
 
-
-def status_class(status: int) -> str:
-    if status == 404:
-        return NOT_FOUND
-    if status in RETRY_STATUS:
-        return RETRY
-    return FATAL if 400 <= status < 500 else RETRY
+#: Expected files of a folder from which on it is listed, in stores that prefer it.
+LIST_FROM = 16
+#: Bytes of a file read as one value; history files are far smaller.
+MOST_VALUE = 64 << 20
 
 
 def status_class_column(status: Column) -> Column:
-    """``status_class`` of a column: its value for every HTTP status, as a lookup."""
-    known = F.create_map(*(F.lit(x) for s in range(100, 600) for x in (s, status_class(s))))
-    return F.element_at(known, status.cast("int"))
+    """``status_class`` of a column of HTTP states, 100 to 599."""
+    status = status.cast("int")
+    known = F.when(status == 404, NOT_FOUND).when(status.isin(*RETRY_STATUS), RETRY).when(status.between(400, 499), FATAL).otherwise(RETRY)
+    return F.when(status.between(100, 599), known)
 
 
 def with_presence(expected: DataFrame, there: DataFrame, on: str = "path") -> DataFrame:
@@ -67,113 +43,58 @@ def with_presence(expected: DataFrame, there: DataFrame, on: str = "path") -> Da
     return out.withColumns({"error_class": F.when(~F.col("present"), NOT_FOUND), "error": F.when(~F.col("present"), "not found")})
 
 
-def os_error_class(e: OSError) -> str:
-    if e.errno == errno.ENOENT:
-        return NOT_FOUND
-    return FATAL if e.errno in FATAL_ERRNO else RETRY
+class Pace:
+    """Holds a task back to a number of bytes a second, over all its files."""
 
+    def __init__(self, limit: float):
+        self.limit, self.began, self.size = limit, time.monotonic(), 0
 
-@dataclass(frozen=True)
-class Options:
-    """I/O options. ``retry_max_delay`` is accepted and not used: delays are capped at ``MOST_DELAY``."""
-
-    max_retries: int = 3
-    retry_min_delay: float = 0.1
-    retry_max_delay: float = 30.0
-    timeout: float = 30.0
-    io_timeout: float = 300.0
-    bandwidth_limit: int = 0
-    atomic_file_writes: bool = False
-    user_agent: str = "ledgerloom/0.1"
-
-
-def with_retries(action, options: Options):
-    """The action's result; errors of class retry are tried again with growing delay."""
-    delay = options.retry_min_delay
-    for attempt in range(options.max_retries + 1):
-        try:
-            return action()
-        except StorageError as e:
-            if e.kind != RETRY or attempt == options.max_retries:
-                raise
-            time.sleep(delay)
-            delay = min(2 * delay, MOST_DELAY)
-    raise AssertionError("no attempt was made")
+    def __call__(self, size: int) -> None:
+        self.size += size
+        time.sleep(max(0.0, self.size / self.limit - (time.monotonic() - self.began)))
 
 
 @dataclass(frozen=True)
 class Archive:
-    """An archive's root: ``scheme`` is file, http or a Hadoop scheme; ``root`` a path or URL without a slash at its end."""
+    """An archive's root: ``scheme`` is file, http, a Hadoop scheme or a registered one; ``root`` a path or URL without a slash at its end."""
 
     scheme: str
     root: str
     options: Options = field(default_factory=Options)
+    given: Store | None = field(default=None, repr=False)
+
+    @property
+    def store(self) -> Store:
+        if self.given is not None:
+            return self.given
+        if self.scheme == "file":
+            return FileStore(self.root, self.options)
+        if self.scheme == "http":
+            return HttpStore(self.root, self.options)
+        return ArrowStore(urlparse(self.root).scheme, self.root, None, self.options)
 
     @property
     def writable(self) -> bool:
-        return self.scheme == "file"
+        return self.store.writable
 
     def key(self, path: str) -> str:
         return f"{self.root}/{path.lstrip('/')}"
 
     # single files, on the driver or in a task
 
-    def _get(self, path: str, method: str = "GET"):
-        request = urllib.request.Request(self.key(path), headers={"User-Agent": self.options.user_agent}, method=method)
-        try:
-            return urllib.request.urlopen(request, timeout=self.options.timeout if method == "HEAD" else self.options.io_timeout)
-        except urllib.error.HTTPError as e:
-            raise StorageError(status_class(e.code), f"{path}: status {e.code}") from e
-        except (urllib.error.URLError, OSError) as e:
-            raise StorageError(RETRY, f"{path}: {e}") from e
-
-    def _throttled(self, response) -> bytes:
-        """The body, at no more than the bandwidth limit (of a task) in bytes per second."""
-        if not self.options.bandwidth_limit:
-            return response.read()
-        began, parts, size = time.monotonic(), [], 0
-        while piece := response.read(65536):
-            parts.append(piece)
-            size += len(piece)
-            time.sleep(max(0.0, size / self.options.bandwidth_limit - (time.monotonic() - began)))
-        return b"".join(parts)
-
-    def read_once(self, path: str) -> bytes:
-        if self.scheme == "file":
-            try:
-                with open(self.key(path), "rb") as f:
-                    return f.read()
-            except OSError as e:
-                raise StorageError(os_error_class(e), f"{path}: {e.strerror}") from e
-        with self._get(path) as response:
-            try:
-                data = self._throttled(response)
-            except (OSError, ValueError, HTTPException) as e:
-                raise StorageError(RETRY, f"{path}: {e}") from e
-        expected = response.headers.get("Content-Length")
-        if expected is not None and int(expected) != len(data):
-            raise StorageError(RETRY, f"{path}: body ends early")
-        return data
-
     def read(self, path: str, retries: bool = True) -> bytes:
-        return with_retries(lambda: self.read_once(path), self.options) if retries else self.read_once(path)
+        """A file as one value, of ``MOST_VALUE`` bytes at most."""
+        out = bytearray()
+        for piece in self.store.ranges(path, retries=retries):
+            out += piece
+            if len(out) > MOST_VALUE:
+                raise StorageError(FATAL, f"{path}: longer than {MOST_VALUE} bytes")
+        return bytes(out)
 
     def exists(self, path: str) -> bool:
         """Whether a file of more than no bytes is there."""
-        if self.scheme == "file":
-            try:
-                return os.path.getsize(self.key(path)) > 0
-            except OSError as e:
-                if os_error_class(e) == NOT_FOUND:
-                    return False
-                raise StorageError(os_error_class(e), f"{path}: {e.strerror}") from e
-
-        def ask() -> bool:
-            with self._get(path, "HEAD") as response:
-                return int(response.headers.get("Content-Length") or 0) > 0
-
         try:
-            return with_retries(ask, self.options)
+            return self.store.size(path) > 0
         except StorageError as e:
             if e.kind == NOT_FOUND:
                 return False
@@ -181,103 +102,117 @@ class Archive:
 
     def write(self, path: str, data: bytes) -> None:
         """Whole or not at all; two attempts of one task do not meet, as each has its own temporary name."""
-        if not self.writable:
-            raise StorageError(FATAL, f"{self.scheme} archives are read-only")
-        target = self.key(path)
-        temporary = f"{target}.{uuid.uuid4().hex}.tmp"
+        staged = self.store.stage(path)
         try:
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(temporary, "wb") as f:
-                f.write(data)
-                if self.options.atomic_file_writes:
-                    f.flush()
-                    os.fsync(f.fileno())
-            os.replace(temporary, target)
-        except OSError as e:
-            with contextlib.suppress(OSError):
-                os.remove(temporary)
-            raise StorageError(os_error_class(e), f"{path}: {e.strerror}") from e
+            staged.write(data)
+        except BaseException:
+            staged.abort()
+            raise
+        staged.commit()
 
     # many files, as DataFrames
 
-    def listing(self, spark: SparkSession, folders: list[str], content: bool = False) -> DataFrame:
-        """(path, length[, content]) of all files below the folders that exist; paths are relative to the root."""
-        root = f"file://{self.root}" if self.scheme == "file" else self.root
-        prefix = urlparse(root).path if self.scheme == "file" else root
-        out = None
-        for folder in folders:
-            reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            with contextlib.suppress(AnalysisException):
-                found = reader.load(f"{root}/{folder}")
-                at = F.instr("path", prefix + "/") + len(prefix) + 1
-                found = found.select(F.expr("path").substr(at, F.lit(1 << 20)).alias("path"), "length", *(["content"] if content else []))
-                out = found if out is None else out.unionByName(found)
-        if out is None:
-            out = spark.createDataFrame([], "path string, length long" + (", content binary" if content else ""))
-        return out
-
-    def present(self, expected: DataFrame, folders: list[str]) -> DataFrame:
+    def paced(self, files: DataFrame) -> tuple[DataFrame, Callable[[], Pace | None]]:
+        """``files`` dealt out so that tasks together keep to the bandwidth limit, and what each of them keeps to.
+
+        There are as many partitions as the cluster has cores now, each with an
+        equal share: however many of them run at once, they stay at the limit.
+        """
+        limit = self.options.bandwidth_limit
+        if not limit:
+            return files, lambda: None
+        n = max(1, files.sparkSession.sparkContext.defaultParallelism)
+        return files.repartition(n), lambda: Pace(limit / n)
+
+    def listing(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        """(path, length) of all files below the folders, listed by tasks: two levels of folders are dealt out first."""
+        store = self.store
+
+        def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = [(path, length)] if length is not None else list(store.children(path))
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "length"])
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = [(path, length)] if length is not None else list(store.walk(path))
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "length"])
+
+        ddl = "path string, length long"
+        out = spark.createDataFrame([(f, None) for f in folders], ddl)
+        for _ in range(2):
+            out = out.mapInArrow(children, ddl).repartition("path")
+        return out.mapInArrow(walk, ddl)
+
+    def present(self, expected: DataFrame) -> DataFrame:
         """``expected(path, ...)`` with ``present``, error_class and error: a refused or failed request is no missing file."""
-        spark = expected.sparkSession
-        if self.scheme != "http":
-            return with_presence(expected, self.listing(spark, folders).where("length > 0"))
+        store, columns = self.store, expected.columns
+        deep = F.size(F.split("path", "/")) > 3
+        folder = F.when(deep, F.substring_index("path", "/", 3)).otherwise(F.regexp_replace("path", "/?[^/]*$", ""))
+        if store.lists:
+            expected = expected.withColumn("__folder", folder).repartition("__folder").sortWithinPartitions("__folder").drop("__folder")
+        at = columns.index("path")
+        # the tasks' own rule for a folder: the same as the column's
+        folder_of = lambda p: "/".join(p.split("/")[: 3 if p.count("/") > 2 else -1])
+
+        def one(path: str) -> tuple[bool, str | None, str | None]:
+            try:
+                there = self.exists(path)
+                return there, None if there else NOT_FOUND, None if there else "not found"
+            except StorageError as e:
+                return False, e.kind, str(e)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for path in batch.column(0).to_pylist():
-                    try:
-                        there = self.exists(path)
-                        found.append((path, there, None if there else NOT_FOUND, None if there else "not found"))
-                    except StorageError as e:
-                        found.append((path, False, e.kind, str(e)))
-                types = (pa.string(), pa.bool_(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=["path", "present", "error_class", "error"])
-
-        asked = expected.select("path").distinct().mapInArrow(run, "path string, present boolean, error_class string, error string")
-        return expected.join(asked, "path", "left")
-
-    def contents(self, expected: DataFrame, folders: list[str]) -> DataFrame:
-        """``expected(path, ...)`` with content, error_class and error."""
-        if self.scheme not in ("file", "http"):
-            return self._scanned(expected, folders)
-        columns = expected.columns
+                for under, paths in groupby(batch.column(at).to_pylist(), folder_of if store.lists else lambda _: None):
+                    some = list(paths)
+                    if store.lists and len(some) >= LIST_FROM:
+                        with contextlib.suppress(StorageError):  # then each is asked for, and tells its own error
+                            there = with_retries(lambda f=under: {p for p, size in store.walk(f) if size}, self.options)
+                            found += [(True, None, None) if p in there else (False, NOT_FOUND, "not found") for p in some]
+                            continue
+                    found += map(one, some)
+                more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, "present", "error_class", "error"])
+
+        return expected.mapInArrow(run, f"{_ddl(expected)}, present boolean, error_class string, error string")
+
+    def contents(self, expected: DataFrame) -> DataFrame:
+        """``expected(path, ...)`` with content, error_class and error; for small files, as values. Others are decoded as they are read."""
+        expected, paced = self.paced(expected)
+        columns, store = expected.columns, self.store
         at = columns.index("path")
-        names = [*columns, "content", "error_class", "error"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pace = paced()
             for batch in batches:
                 for i, path in enumerate(batch.column(at).to_pylist()):
+                    began, more = time.perf_counter_ns(), (None, None, None)
                     try:
-                        more = (self.read(path), None, None)
+                        content = bytearray()
+                        for piece in store.ranges(path, pace):
+                            content += piece
+                            if len(content) > MOST_VALUE:
+                                raise StorageError(FATAL, f"{path}: longer than {MOST_VALUE} bytes")
+                        more = (bytes(content), None, None)
                     except StorageError as e:
                         more = (None, e.kind, str(e))
                     one = batch.slice(i, 1)
-                    yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x], t) for x, t in zip(more, (pa.binary(), pa.string(), pa.string()), strict=True))], names=names)
+                    types = (pa.binary(), pa.string(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x], t) for x, t in zip((*more, time.perf_counter_ns() - began), types, strict=True))], names=[*columns, "content", "error_class", "error", "fetch_ns"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in expected.schema.fields)
-        return expected.mapInArrow(run, f"{schema}, content binary, error_class string, error string")
+        return expected.mapInArrow(run, f"{_ddl(expected)}, content binary, error_class string, error string, fetch_ns bigint")
 
-    def _scanned(self, expected: DataFrame, folders: list[str]) -> DataFrame:
-        """Contents by Spark's readers: of the expected paths that are listed, in scans of ``SCAN_PATHS`` names each.
 
-        The driver holds one scan's names at a time; they and their rows, no more than these, move to the contents.
-        """
-        spark = expected.sparkSession
-        there = with_presence(expected, self.listing(spark, folders))
-        columns = [*expected.columns, "content", "error_class", "error"]
-        out = there.where("NOT present").withColumn("content", F.lit(None).cast("binary")).select(*columns)
-        rows = there.where("present").drop("present").toLocalIterator()
-        while some := list(islice(rows, SCAN_PATHS)):
-            asked = spark.createDataFrame(some, there.drop("present").schema)
-            found = spark.read.format("binaryFile").load([self.key(r.path) for r in some])
-            found = found.select(F.expr("path").substr(F.lit(len(self.root) + 2), F.lit(1 << 20)).alias("path"), "content")
-            out = out.unionByName(found.join(F.broadcast(asked), "path").select(*columns))
-        return out
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def hadoop_settings(scheme: str, environ: Mapping[str, str] = os.environ) -> dict[str, str]:
-    """Hadoop configuration for a URL's scheme from the usual environment variables."""
+    """Hadoop configuration for a URL's scheme from the usual environment variables, for Spark's own readers."""
     get = environ.get
     out: dict[str, str | None] = {}
     if scheme in ("s3", "s3a"):
@@ -303,7 +238,7 @@ def configure(spark: SparkSession, url: str) -> None:
 
 
 def archive(url: str, options: Options | None = None) -> Archive:
-    """The archive at a URL: file, http(s), or a scheme that Hadoop reads."""
+    """The archive at a URL: file, http(s), an object store, Hadoop's filesystems, swift, sftp, or a registered scheme."""
     options = options or Options()
     if "://" not in url:
         raise StorageError(FATAL, f"no URL: {url}")
@@ -311,14 +246,20 @@ def archive(url: str, options: Options | None = None) -> Archive:
         url = url.replace("\\", "/")
     parsed = urlparse(url)
     scheme = parsed.scheme.lower()
+    if scheme not in STORES:
+        raise StorageError(FATAL, f"unknown scheme: {scheme}")
     if scheme == "file":
-        return Archive("file", os.path.normpath(unquote(parsed.path)).rstrip("/"), options)
+        root = os.path.normpath(unquote(parsed.path)).rstrip("/")
+        return Archive("file", root, options, STORES["file"](root, options))
     if scheme in ("http", "https"):
-        return Archive("http", f"{scheme}://{parsed.netloc}{parsed.path}".rstrip("/"), options)
+        root = f"{scheme}://{parsed.netloc}{parsed.path}".rstrip("/")
+        return Archive("http", root, options, STORES[scheme](root, options))
     if scheme in ("azblob", "azure") and "@" not in parsed.netloc and os.environ.get("AZURE_STORAGE_ACCOUNT"):
         parsed = parsed._replace(netloc=f"{parsed.netloc}@{os.environ['AZURE_STORAGE_ACCOUNT']}.dfs.core.windows.net")
     if scheme in HADOOP_SCHEMES:
-        return Archive(HADOOP_SCHEMES[scheme], f"{HADOOP_SCHEMES[scheme]}://{parsed.netloc}{parsed.path}".rstrip("/"), options)
-    if scheme in ("sftp", "swift"):
-        raise StorageError(FATAL, f"{scheme} is not supported: Spark has no reader for it")
-    raise StorageError(FATAL, f"unknown scheme: {scheme}")
+        root = f"{HADOOP_SCHEMES[scheme]}://{parsed.netloc}{parsed.path}".rstrip("/")
+        return Archive(HADOOP_SCHEMES[scheme], root, options, STORES[scheme](root, options))
+    return Archive(scheme, url.rstrip("/"), options, STORES[scheme](url, options))
+
+
+__all__ = ["FATAL", "NOT_FOUND", "RETRY", "Archive", "Options", "StorageError", "Store", "archive", "configure", "os_error_class", "register", "status_class", "status_class_column", "with_presence", "with_retries"]

@@ -21,3 +21,8 @@ def spark(tmp_path_factory):
     ship(session)
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session", autouse=True)
+def _session(spark):
+    """Bounds are evaluated by the session there is: this one."""

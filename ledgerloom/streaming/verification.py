@@ -6,9 +6,10 @@ the hash that the checkpoint before ends on, which that one's ledger file sends
 there. Whenever something new came, the checkpoint's rows go on to the very
 checks of a batch scan, and a table gets what they find; the last word on each
 checkpoint is that of its last batch. State of a checkpoint ends when all its
-files and the hash before it were seen, or when nothing came for ``patience``:
-then what is missing is told. So state holds open checkpoints only, however
-long the archive is.
+files and the hash before it were seen, so state holds open checkpoints only,
+however long the archive is. When files came that are later than a checkpoint's
+last one by ``patience``, what it misses is told as overdue, once; it stays open. Times are of arrival, so that no
+file is late for being old.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ BINARY = "path string, modificationTime timestamp, length bigint, content binary
 KINDS = ("ledger", "transactions", "results")
 BEFORE = "before"
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-MESSAGE = f"cp bigint, kind string, parsed boolean, rows {ROW_DDL}, hash string"
 CHECKPOINT = f"cp bigint, seen int, overdue boolean, missing array<string>, before_hash string, ledger_parsed boolean, transactions_parsed boolean, results_parsed boolean, ledger {ROW_DDL}, transactions {ROW_DDL}, results {ROW_DDL}"
 VERDICT = "cp bigint, overdue boolean, missing array<string>, errors array<struct<error: string, id: bigint>>"
 _FIELDS = ("seq", "hash", "prev_hash", "tx_set_hash", "result_hash")
@@ -44,14 +44,16 @@ def new_files(spark: SparkSession, archive: Archive) -> DataFrame:
     return found.select("path", kind_of_path(F.col("path")).alias("kind"), checkpoint_from_path(F.col("path")).alias("cp")).where("kind IS NOT NULL AND cp IS NOT NULL")
 
 
-def messages(files: DataFrame, archive: Archive) -> DataFrame:
-    """(cp, kind, parsed, rows, hash): the rows of every file for its checkpoint, and for the next one the hash that this one ends on."""
+def messages(files: DataFrame, archive: Archive, skew: str) -> DataFrame:
+    """(at, cp, kind, parsed, rows, hash): the rows of every file for its checkpoint, and for the next one the hash that this one ends on."""
     read = decoded(files, archive).select("cp", "kind", "parsed", "rows")
-    last = F.expr("element_at(array_sort(rows, (a, b) -> a.seq - b.seq), -1).hash")
+    last = F.element_at(F.array_sort("rows"), -1)["hash"]  # by seq, which comes first
     own = F.struct("cp", "kind", "parsed", "rows", F.lit(None).cast("string").alias("hash"))
     onward = F.struct((F.col("cp") + FREQUENCY).alias("cp"), F.lit(BEFORE).alias("kind"), F.lit(True).alias("parsed"), F.slice("rows", 1, 0).alias("rows"), last.alias("hash"))
     sends = (F.col("kind") == "ledger") & F.col("parsed") & (F.size("rows") > 0)
-    return read.select(F.explode(F.when(sends, F.array(own, onward)).otherwise(F.array(own))).alias("m")).select("m.*")
+    out = read.select(F.explode(F.when(sends, F.array(own, onward)).otherwise(F.array(own))).alias("m")).select("m.*")
+    # one time for each batch; the clock of a restart may lie behind by the skew
+    return out.withColumn("at", F.current_timestamp()).withWatermark("at", skew)
 
 
 class Open(StatefulProcessor):
@@ -65,8 +67,9 @@ class Open(StatefulProcessor):
         self.held = handle.getValueState("held", "body string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        held, at = json.loads(self.held.get()[0]) if self.held.exists() else {}, 0
         for r in rows:
+            at = max(at, int(r.at.timestamp() * 1000))
             if r.kind == BEFORE:
                 held[BEFORE] = r.hash
             else:
@@ -77,14 +80,12 @@ class Open(StatefulProcessor):
             self.held.clear()
         else:
             self.held.update((json.dumps(held),))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+            self.handle.registerTimer(at + self.patience_ms)
         yield self._row(key[0], held, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.held.exists():
-            held = json.loads(self.held.get()[0])
-            self.held.clear()
-            yield self._row(key[0], held, True)
+            yield self._row(key[0], json.loads(self.held.get()[0]), True)
 
     @staticmethod
     def _whole(cp: int, held: dict) -> bool:
@@ -104,11 +105,12 @@ class Open(StatefulProcessor):
 
 def open_checkpoints(stream: DataFrame, patience_ms: int) -> DataFrame:
     """What is known of each checkpoint that something new came for, or that is overdue."""
-    return stream.groupBy("cp").transformWithState(Open(patience_ms), CHECKPOINT, "Update", "ProcessingTime")
+    return stream.groupBy("cp").transformWithState(Open(patience_ms), CHECKPOINT, "Update", "EventTime")
 
 
 def verdicts(seen: DataFrame) -> DataFrame:
-    """(cp, overdue, missing, errors) of one batch's checkpoints, by the checks of a batch scan."""
+    """(cp, overdue, missing, errors) of one batch's checkpoints, by the checks of a batch scan. One without any file has not begun."""
+    seen = seen.where(F.size("missing") < len(KINDS))
     status = seen.select("cp", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_parsed").alias("parsed")) for k in KINDS))).alias("s")).select("cp", "s.kind", "s.parsed").where("parsed IS NOT NULL")
     of = lambda kind, *columns: seen.where(f"{kind}_parsed").select("cp", F.explode(kind).alias("r")).select("cp", *(f"r.{c}" for c in columns))
     headers = of("ledger", "seq", "hash", "prev_hash", "tx_set_hash", "result_hash")
@@ -121,7 +123,7 @@ def verdicts(seen: DataFrame) -> DataFrame:
     return seen.select("cp", "overdue", "missing").join(errors, "cp", "left").select("cp", "overdue", "missing", F.coalesce("errors", none).alias("errors"))
 
 
-def follow_verified(spark: SparkSession, archive: Archive, table: str, checkpoint: str, patience_seconds: int = 3600, keep_on: bool = False) -> StreamingQuery:
+def follow_verified(spark: SparkSession, archive: Archive, table: str, checkpoint: str, patience_seconds: int = 3600, skew: str = "10 minutes", keep_on: bool = False) -> StreamingQuery:
     """Verify files as they appear; ends when all are read, or keeps on.
 
     Verdicts are appended to the Parquet table at ``table``; ``latest`` reads
@@ -143,7 +145,7 @@ def follow_verified(spark: SparkSession, archive: Archive, table: str, checkpoin
     before = spark.conf.get(STORE[0], None)
     spark.conf.set(*STORE)
     try:
-        writer = open_checkpoints(messages(new_files(spark, archive), archive), 1000 * patience_seconds).writeStream
+        writer = open_checkpoints(messages(new_files(spark, archive), archive, skew), 1000 * patience_seconds).writeStream
         writer = writer.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime="10 seconds") if keep_on else writer.trigger(availableNow=True)).start()
     finally:

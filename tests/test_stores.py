@@ -27,6 +27,7 @@ from .object_store import Store as Objects
 from .object_store import handler, served
 
 SMALL = Options(max_retries=2, retry_min_delay=0.01, range_bytes=100)
+QUICK = Options(max_retries=2, retry_min_delay=0.01, range_bytes=8192)
 
 
 @pytest.fixture(scope="module")
@@ -164,9 +165,9 @@ def test_a_failing_task_leaves_nothing(spark, good, tmp_path):
     for kind in ("ledger", "results"):
         (tmp_path / "s" / a.file_path(kind, 127)).write_bytes(gzip.compress(b"wrong"))
     for scheme in ("file", "hadoop"):
-        goal = Archive("file", str(target), SMALL) if scheme == "file" else Archive("hadoop", f"file:{target}", SMALL)
+        goal = Archive("file", str(target), QUICK) if scheme == "file" else Archive("hadoop", f"file:{target}", QUICK)
         with pytest.raises(ops.OperationFailed):
-            ops.mirror(spark, archive(f"file://{tmp_path / 's'}", SMALL), goal, verify=True, overwrite=True, root_pointer="root-history.json")
+            ops.mirror(spark, archive(f"file://{tmp_path / 's'}", QUICK), goal, verify=True, overwrite=True, root_pointer="root-history.json")
         found = a.tree(target)
         assert not [p for p in found if p.endswith(".tmp")] and a.file_path("ledger", 127) not in found and a.file_path("scp", 127) in found
         shutil.rmtree(target)
@@ -174,7 +175,7 @@ def test_a_failing_task_leaves_nothing(spark, good, tmp_path):
 
 def test_mirror_to_hadoop_path(spark, good, tmp_path):
     """Both sides by Arrow's filesystems, on local files."""
-    source, target = (Archive("hadoop", f"file:{p}", SMALL) for p in (good, tmp_path / "t"))
+    source, target = (Archive("hadoop", f"file:{p}", QUICK) for p in (good, tmp_path / "t"))
     ops.mirror(spark, source, target, verify=True, root_pointer="root-history.json")
     assert a.tree(tmp_path / "t") == a.tree(good)
     (tmp_path / "t" / a.file_path("ledger", 127)).unlink()
@@ -197,11 +198,11 @@ def of(store, prefix):
 
 
 def test_object_store(spark, s3, good, tmp_path):
-    source, target = archive("s3://box/source", SMALL), archive("s3://box/target", SMALL)
+    source, target = archive("s3://box/source", QUICK), archive("s3://box/target", QUICK)
     assert ops.scan(spark, source, verify=True, root_pointer="root-history.json").report["summary"]["succeeded"] == 19
-    ops.mirror(spark, source, archive(f"file://{tmp_path / 't'}", SMALL), verify=True, root_pointer="root-history.json")
+    ops.mirror(spark, source, archive(f"file://{tmp_path / 't'}", QUICK), verify=True, root_pointer="root-history.json")
     assert a.tree(tmp_path / "t") == a.tree(good)
-    ops.mirror(spark, archive(f"file://{good}", SMALL), target, verify=True)
+    ops.mirror(spark, archive(f"file://{good}", QUICK), target, verify=True)
     assert of(s3, "target/") == a.tree(good)
     # what is missing, and what is refused, is told apart
     del s3.objects[f"target/{a.file_path('ledger', 127)}"]
@@ -216,7 +217,7 @@ def test_object_store(spark, s3, good, tmp_path):
 
 
 def test_folders_with_many_files_are_listed_once(spark, s3, good):
-    source = archive("s3://box/many", SMALL)
+    source = archive("s3://box/many", QUICK)
     s3.objects.update({f"many/ledger/00/00/{k:02x}/ledger-{k}.xdr.gz": b"x" for k in range(40)} | {"many/ledger/00/00/00/empty": b""})
     asked = [(f"ledger/00/00/{k:02x}/ledger-{k}.xdr.gz", k) for k in range(60)] + [("ledger/00/00/00/empty", -1), ("scp/00/00/00/one", -2)]
     s3.asked.clear()
@@ -234,13 +235,13 @@ def test_listing_by_tasks(spark, good, s3, kind):
 
 
 def test_no_path_passes_the_driver(spark, tmp_path):
-    """100,000 expected files: presence and content come from a range of numbers, and the driver gets counts."""
+    """20,000 expected files: presence and content come from a range of numbers, and the driver gets counts."""
     for scheme in ("file", "hadoop"):
         where = Archive("file", str(tmp_path)) if scheme == "file" else Archive("hadoop", f"file:{tmp_path}")
-        asked = ops.checkpoint_files(spark.range(63, 64 * 25_000 + 63, 64).select(F.col("id").alias("cp")), False)
+        asked = ops.checkpoint_files(spark.range(63, 64 * 5_000 + 63, 64).select(F.col("id").alias("cp")), False)
         plans = []
         for df in (where.present(asked), decoded(asked, where), where.contents(asked)):
-            assert df.groupBy("error_class").count().collect() == [("not_found", 100_000)]
+            assert df.groupBy("error_class").count().collect() == [("not_found", 20_000)]
             plans.append(df._jdf.queryExecution().executedPlan().toString())
         assert all("LocalTableScan" not in p and "Union" not in p and "FileScan" not in p for p in plans)
 
@@ -314,15 +315,15 @@ def test_swift(spark, good, tmp_path, monkeypatch):
     with served(Swift) as port:
         monkeypatch.setenv("SWIFT_ENDPOINT", f"http://127.0.0.1:{port}/v1/me")
         monkeypatch.setenv("SWIFT_TOKEN", "token")
-        there = archive("swift://box/deep/archive", SMALL)
-        ops.mirror(spark, archive(f"file://{good}", SMALL), there, verify=True)
+        there = archive("swift://box/deep/archive", QUICK)
+        ops.mirror(spark, archive(f"file://{good}", QUICK), there, verify=True)
         assert {k.removeprefix("/box/deep/archive/"): v for k, v in Swift.objects.items()} == a.tree(good)
         assert ops.scan(spark, there, verify=True, root_pointer="root-history.json").report["summary"]["succeeded"] == 19
         assert ops.scan(spark, there, root_pointer="root-history.json").report["summary"]["succeeded"] == 19
         assert {r.path for r in there.listing(spark, ["bucket"]).collect()} == {p for p in a.tree(good) if p.startswith("bucket/")}
         monkeypatch.setenv("SWIFT_TOKEN", "wrong")
         with pytest.raises(StorageError) as e:
-            archive("swift://box/deep/archive", SMALL).read(".well-known/root-history.json")
+            archive("swift://box/deep/archive", QUICK).read(".well-known/root-history.json")
         assert e.value.kind == "fatal"
 
 
@@ -346,9 +347,9 @@ class Remote:
 
 def test_sftp(spark, good, tmp_path):
     stores.by_value(Remote)
-    there = Archive("sftp", "sftp://host/", SMALL, stores.SftpStore(f"sftp://me@host:2222{tmp_path}/t", options=SMALL, connect=Remote))
+    there = Archive("sftp", "sftp://host/", QUICK, stores.SftpStore(f"sftp://me@host:2222{tmp_path}/t", options=QUICK, connect=Remote))
     assert there.store.address == ("host", 2222, "me", None)
-    ops.mirror(spark, archive(f"file://{good}", SMALL), there, verify=True)
+    ops.mirror(spark, archive(f"file://{good}", QUICK), there, verify=True)
     assert a.tree(tmp_path / "t") == a.tree(good)
     assert ops.scan(spark, there, verify=True, root_pointer="root-history.json").report["summary"]["succeeded"] == 19
     assert {r.path for r in there.listing(spark, ["scp"]).collect()} == {p for p in a.tree(good) if p.startswith("scp/")}
@@ -390,7 +391,7 @@ def test_stores_and_operations_of_others(spark, good, tmp_path):
     (tmp_path / "x").mkdir()
     for p, data in a.tree(good).items():
         (tmp_path / "x" / p[::-1].replace("/", "_")).write_bytes(data)
-    there = archive(f"turned://{tmp_path}/x", SMALL)
+    there = archive(f"turned://{tmp_path}/x", QUICK)
     assert ops.scan(spark, there, verify=True, root_pointer="root-history.json").report["summary"]["succeeded"] == 19
     mine = Sizes(there)
     found = ops.run(spark, mine)
@@ -417,7 +418,7 @@ def test_phases(spark, good, tmp_path):
 def test_values_have_a_bound(good, monkeypatch):
     monkeypatch.setattr(storage, "MOST_VALUE", 10)
     with pytest.raises(StorageError):
-        archive(f"file://{good}", SMALL).read(a.file_path("history", 63))
+        archive(f"file://{good}", QUICK).read(a.file_path("history", 63))
 
 
 def test_threads_share_no_client(tmp_path):

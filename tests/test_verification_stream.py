@@ -86,7 +86,7 @@ def test_what_stays_open_is_told_overdue(spark, whole, tmp_path):
     root = tmp_path / "archive"
     add(whole, root, 63, *KINDS)
     add(whole, root, 191, "ledger", "results")
-    found = run(spark, root, tmp_path, patience_seconds=0)
+    found = run(spark, root, tmp_path, patience_seconds=0, skew="0 seconds")
     add(whole, root, 127, "ledger")
-    found = run(spark, root, tmp_path, patience_seconds=0)
+    found = run(spark, root, tmp_path, patience_seconds=0, skew="0 seconds")
     assert found[191].overdue and found[191].missing == ["transactions"] and not found[63].overdue

@@ -62,9 +62,11 @@ def render(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     before = F.coalesce(F.sum("n").over(so_far.partitionBy("conv").orderBy("range")), F.lit(0))
     place = F.row_number().over(Window.partitionBy("conv", "range").orderBy("turn", "role", "text")) - 1
     placed = rows.withColumn("place", place).join(counts.select("conv", "range", before.alias("before")), ["conv", "range"])
-    segment = F.floor((F.col("before") + F.col("place")) / segment_turns).cast("long")
-    placed = placed.select("conv", segment.alias("segment"), "turn", "role", _escaped(F.col("text")).alias("text"))
-    grouped = placed.groupBy("conv", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    at = F.col("before") + F.col("place")
+    segment = F.floor(at / segment_turns).cast("long")
+    placed = placed.select("conv", segment.alias("segment"), at.alias("at"), "role", _escaped(F.col("text")).alias("text"))
+    # by place, which is of the texts as they were: marks change their order
+    grouped = placed.groupBy("conv", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
 
     # who sees which segment, and what is rendered before it; only dialogues of several segments need sums
     names = rows.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("perspective")).distinct()

@@ -106,3 +106,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
+
+
+def sql_crc32(codes: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a list of bytes, given as BIGINTs."""
+    step = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce({codes}, lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: {step}, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"

@@ -25,6 +25,8 @@ CONTAINERS = {"body", "main", "article", "section", "div", "td", "center", "form
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "table", "caption", "thead", "tbody", "tfoot", "tr", "th", "td", "address", "details", "summary", "hr", "fieldset", "legend", "html", "head", "label"}
 # Inline elements that are looked at for names of dropped parts too.
 MARKED = {"span", "ins", "small"}
+# Elements of an article whose ids are places to jump to, and headings, whose names say what the text below is about.
+SECTIONS, HEADINGS = {"section", "p", "dl", "table", "figure"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements that end where another of their name begins.
 UNNESTED = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements and roles that never belong to an article.
@@ -93,21 +95,28 @@ def _generalised(tag: str, found: dict[str, str]) -> str:
 def _names_dropped(names: str, article: bool) -> bool:
     for name in names.lower().split():
         parts = [p for p in (part.rstrip("0123456789") for part in re.split(r"[-_:.]+", name)) if p]
-        if any(SURE.fullmatch(p) for p in parts):
+        sure = [bool(SURE.fullmatch(p)) for p in parts]
+        known = all(s or p in NAMED or p in PLAIN for s, p in zip(sure, parts, strict=True))
+        # in an article a word beside these tells of its subject: widget-history, modal-verbs
+        if any(sure) and (known or not article):
             return True
-        if parts and any(p in NAMED for p in parts) and all(p in NAMED or p in PLAIN for p in parts):
+        if known and any(p in NAMED for p in parts):
             return True
         if not article and parts and parts[-1] in HEADERS and all(p in PLAIN or p in HEADERS for p in parts):
             return True
     return False
 
 
-def _is_dropped(tag: str, found: dict[str, str], parent: Element) -> bool:
+def _is_dropped(tag: str, found: dict[str, str], parent: Element, in_text: bool = False) -> bool:
+    """``in_text`` tells an element amid the text of a block."""
     if tag in DROPPED or tag == "header" and not parent.article:
         return True
     if found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         return True
-    return tag not in ("body", "html", "article", "main") and _names_dropped(f"{found.get('class', '')} {found.get('id', '')}", parent.article)
+    if tag in ("body", "html", "article", "main") or parent.article and (tag in HEADINGS or in_text):
+        return False
+    own = "" if parent.article and tag in SECTIONS else found.get("id", "")
+    return _names_dropped(f"{found.get('class', '')} {own}", parent.article)
 
 
 class _Scanner:
@@ -118,6 +127,7 @@ class _Scanner:
         self.last = html.rfind(">")
         self.quotes = {q: html.rfind(q) for q in "\"'"}
         self.closing: dict[str, tuple[int, int]] = {}
+        self.endless: set[int] = set()  # beginnings of quoted values after which no tag ends
 
     def tag(self, start: int) -> tuple[int, str, str, str] | None:
         """(end, slash, name, attributes) of the tag at ``start``; None if there is none."""
@@ -127,17 +137,19 @@ class _Scanner:
         m = NAME.match(self.html, start)
         if m is None or start > self.last:
             return None
-        at = m.end()
+        at, passed = m.end(), []
         while True:
             stop = STOP.search(self.html, at)
-            if stop is None:  # no end after a quoted value: the tag ends at the first ">"
+            if stop is None or stop.end() in self.endless:  # no end after a quoted value: the tag ends at the first ">"
                 break
             if stop[0] == ">":
                 return stop.end(), m[1], m[2].lower(), self.html[m.end() : stop.start()]
+            passed.append(stop.end())
             quote = stop[0][-1]
             if self.quotes[quote] < stop.end():
                 break
             at = self.html.index(quote, stop.end()) + 1
+        self.endless.update(passed)
         end = self.html.index(">", m.end())
         return end + 1, m[1], m[2].lower(), self.html[m.end() : end]
 
@@ -258,7 +270,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
                 elements.append(stack[-1])
             elif tag not in VOID and not whole and (tag in DROPPED or raw and _is_dropped(tag, _attributes(raw), stack[-1])) and (tag in UNNESTED or scanner.after(tag, at) >= 0):
                 skipped, depth, inside = tag, 1, {}
-        elif tag in MARKED and raw and not whole and _is_dropped(tag, _attributes(raw), stack[-1]) and scanner.after(tag, at) >= 0:
+        elif tag in MARKED and raw and not whole and _is_dropped(tag, _attributes(raw), stack[-1], bool("".join(pieces[-1:]).strip())) and scanner.after(tag, at) >= 0:
             skipped, depth, inside = tag, 1, {}
     flush()
     return elements, blocks

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sql_crc32
 
 ARITY = 16
 CHUNK = 64
@@ -215,3 +215,53 @@ def _proofs(climbed: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return manifest(docs)
+
+
+def _sql_leaf(text: str) -> str:
+    parts = (f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in FIELDS)
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+_SQL_CRC = sql_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")
+_SQL_TAMPERED = _sql_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")
+_SQL_LEFT, _SQL_RIGHT = "left(children, CAST(64 * (pos % 16) AS BIGINT))", "substr(children, CAST(64 * (pos % 16) + 65 AS BIGINT))"
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_sql_leaf("text")} AS leaf,
+         CASE WHEN text IS NOT NULL AND doc_id IS NOT NULL AND {_SQL_CRC} % 5 = 0
+              THEN {_SQL_TAMPERED} END AS tampered
+  FROM documents
+), l AS (
+  SELECT doc_id, leaf, coalesce(tampered, leaf) AS tampered, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM d
+), inner_nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM inner_nodes WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), outer_nodes AS (
+  SELECT 0 AS level, tree AS pos, digest, count(*) OVER () AS n FROM inner_nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM outer_nodes WHERE n > 1 GROUP BY level, pos // 16, n
+), inner_runs AS (
+  SELECT tree, level, pos // 16 AS run, string_agg(digest, '' ORDER BY pos) AS children FROM inner_nodes GROUP BY ALL
+), outer_runs AS (
+  SELECT level, pos // 16 AS run, string_agg(digest, '' ORDER BY pos) AS children FROM outer_nodes GROUP BY ALL
+), climb AS (
+  SELECT doc_id, leaf, tree, 0 AS level, pos, n, '' AS proof, tampered AS folded FROM l
+  UNION ALL
+  SELECT doc_id, leaf, c.tree, c.level + 1, pos // 16, (n + 15) // 16,
+         proof || {_SQL_LEFT} || {_SQL_RIGHT},
+         sha256({_SQL_LEFT} || folded || {_SQL_RIGHT})
+  FROM climb c JOIN inner_runs r ON c.tree = r.tree AND c.level = r.level AND c.pos // 16 = r.run WHERE n > 1
+), above AS (
+  SELECT doc_id, leaf, tree, 0 AS level, tree AS pos, (SELECT count(*) FROM inner_nodes WHERE n = 1) AS n, proof, folded FROM climb WHERE n = 1
+  UNION ALL
+  SELECT doc_id, leaf, tree, c.level + 1, pos // 16, (n + 15) // 16,
+         proof || {_SQL_LEFT} || {_SQL_RIGHT},
+         sha256({_SQL_LEFT} || folded || {_SQL_RIGHT})
+  FROM above c JOIN outer_runs r ON c.level = r.level AND c.pos // 16 = r.run WHERE n > 1
+), root AS (SELECT digest AS root FROM outer_nodes WHERE n = 1)
+SELECT a.doc_id, a.leaf, s.digest AS subroot, root.root, sha256(a.proof) AS proof_sha256, a.folded AS folded_root, a.folded = root.root AS verified
+FROM above a JOIN (SELECT tree, digest FROM inner_nodes WHERE n = 1) s ON a.tree = s.tree, root WHERE a.n = 1
+"""

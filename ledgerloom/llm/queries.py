@@ -84,4 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_topk": topk.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
+    "op11_spelling": spelling.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }

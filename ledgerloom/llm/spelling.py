@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cleaned_shuffles, sliced
+from .common import Scratch, cleaned_shuffles, sliced, sql_crc32
 
 LEAST_LETTERS, LEAST_COUNT, SLIP, MUCH_MORE = 6, 5, 199, 5
 GROUPS = 4
@@ -222,3 +222,40 @@ def variants(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return variants(docs)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SQL_BYTES = "[CAST('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2) AS BIGINT) for i in range(octet_length(encode(doc_id || ':' || run)))]"
+ORACLE_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL
+), distinct_runs AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_LETTERS} GROUP BY ALL
+), hashed AS (
+  SELECT run, n, CASE WHEN doc_id IS NOT NULL THEN {sql_crc32(_SQL_BYTES)} END AS h FROM distinct_runs
+), typed AS (
+  SELECT CASE WHEN h % {SLIP} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}
+), cut AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM words
+), less AS (
+  SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS rest FROM cut
+), masked AS (
+  SELECT word, n, left(word, i) || chr(1) || substr(word, i + 2) AS rest FROM cut
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM masked a JOIN masked b ON a.rest = b.rest AND a.word <> b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), told AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= {MUCH_MORE} * w.n THEN b.near END AS form, CASE WHEN b.near_n >= {MUCH_MORE} * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS at, form FROM told
+  UNION ALL
+  SELECT c.word, t.word, t.form FROM chain c JOIN told t ON c.form = t.word
+)
+SELECT told.word, told.form, chain.at AS root, n, n_near, form_n FROM told JOIN chain ON chain.word = told.word AND chain.form IS NULL
+"""

@@ -64,12 +64,12 @@ def units(word: str) -> list[int]:
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
     """Drawn-in log-odds of every slot from document counts of both classes."""
-    n = max(1.0, n_toxic + n_clean)
-    prior = PRIOR * (toxic + clean) / n
-    a, b = toxic + prior, clean + prior
+    share = (toxic + clean) / max(1.0, n_toxic + n_clean)
     with np.errstate(divide="ignore", invalid="ignore"):
-        delta = np.log(a / np.maximum(1e-9, n_toxic + PRIOR - a)) - np.log(b / np.maximum(1e-9, n_clean + PRIOR - b))
-        deviation = np.sqrt(1 / a + 1 / b)
+        with_it = [x + PRIOR * share for x in (toxic, clean)]
+        without = [n - x + PRIOR * (1 - share) + 0.5 for x, n in ((toxic, n_toxic), (clean, n_clean))]
+        delta = np.log(with_it[0] / without[0]) - np.log(with_it[1] / without[1])
+        deviation = np.sqrt(sum(1 / x for x in (*with_it, *without)))
         out = np.sign(delta) * np.maximum(0.0, np.abs(delta) - DRAWN * deviation)
     return np.where(toxic + clean > 0, out, 0.0).astype(np.float32)
 

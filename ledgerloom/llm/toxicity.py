@@ -37,7 +37,7 @@ SAMPLE_DOCS = 20_000
 SLOTS = 1 << 20
 PREFIXES = (5, 4, 3)
 #: Prior documents, deviations that log-odds are drawn in by, and what a token without evidence loses.
-PRIOR, DRAWN, DRIFT = 10.0, 1.5, 0.3
+PRIOR, DRAWN, DRIFT = 10.0, 2.0, 0.3
 #: Scores from here on are the tail that lambda and K are estimated from; expected chance segments of a passage told as significant.
 TAIL, SIGNIFICANT = 1.0, 0.01
 #: Bins of the sum statistic's logarithm for the fitted curve.

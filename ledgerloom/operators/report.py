@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -190,7 +192,7 @@ _SHAPE = "a plan needs version, files, buckets and checkpoints; reports of sever
 def plan_rows(spark: SparkSession, plan: Mapping | str) -> DataFrame:
     """A plan, given as a path or an object, as one row of ``PLAN``: parsed by a task."""
     if isinstance(plan, str):
-        where = plan if "://" in plan else f"file://{os.path.abspath(plan)}"
+        where = plan if "://" in plan else _shared(spark, os.path.abspath(plan))
         return spark.read.schema(PLAN).option("multiLine", True).option("mode", "FAILFAST").json(where)
     if not isinstance(plan, Mapping):
         raise InvalidPlan(_SHAPE)
@@ -198,6 +200,19 @@ def plan_rows(spark: SparkSession, plan: Mapping | str) -> DataFrame:
     return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", PLAN, {"mode": "FAILFAST"}).alias("p")).select("p.*")
 
 
+def _shared(spark: SparkSession, path: str) -> str:
+    """A file of the driver where tasks can read it: on a cluster, a copy in the shared folder."""
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return f"file://{path}"
+    from ledgerloom.plans.scratch import shared_dir
+
+    jvm = spark.sparkContext._jvm
+    target = f"{shared_dir(spark).rstrip('/')}/ledgerloom/plan-{uuid.uuid4().hex}.json"
+    there = jvm.org.apache.hadoop.fs.Path(target)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{path}"), there)
+    return target
+
+
 def plan_entries(plan: DataFrame) -> DataFrame:
     """(part, cp, name, broken) of a plan's row: every entry, and the rule it breaks."""
     typed = lambda v, kind: F.schema_of_variant(v).isin(*kind)

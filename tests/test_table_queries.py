@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans.table_queries import ORACLE_SQL, QUERIES
+from ledgerloom.plans.archive_queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

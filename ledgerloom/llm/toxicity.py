@@ -135,19 +135,22 @@ class Model:
             found = self.known[word] = best - DRIFT
         return found
 
-    def found(self, text: str, places: bool = False) -> tuple[list[tuple[int, int, float]], int]:
-        """(maximal segments, number of tokens); segments by tokens, or by code points with ``places``."""
+    def found(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        """(maximal segments by tokens, number of tokens)."""
         scores: list[np.ndarray] = []
         size = 0
         for piece in self._pieces(text):
             some = [self.token_score(w) for w in _TOKEN.findall(piece.lower())]
             scores.append(np.array(some, np.float32))
             size += len(some)
-        found = segments(np.concatenate(scores) if scores else np.zeros(0, np.float32))
-        if places and found:
-            at = _places(text, {x for a, b, _ in found for x in (a, b - 1)})
-            found = [(at[a][0], at[b - 1][1], s) for a, b, s in found]
-        return found, size
+        return segments(np.concatenate(scores) if scores else np.zeros(0, np.float32)), size
+
+    def significant(self, text: str, found: list[tuple[int, int, float]], size: int) -> list[tuple[int, int, float, float]]:
+        """(start, stop, score, expected) by code points of the segments fewer than ``SIGNIFICANT`` of which are expected by chance."""
+        told = [(a, b, s, self.expected(s, size)) for a, b, s in found]
+        told = [x for x in told if x[3] < SIGNIFICANT]
+        at = _places(text, {x for a, b, *_ in told for x in (a, b - 1)}) if told else {}
+        return [(at[a][0], at[b - 1][1], s, e) for a, b, s, e in told]
 
     @staticmethod
     def _pieces(text: str) -> Iterator[str]:
@@ -309,11 +312,10 @@ def scored(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
             values, places = [], []
             for i in range(part.num_rows):
                 text = part.column(at)[i].as_py() or ""
-                found, size = model.found(text, passages)
+                found, size = model.found(text)
                 values.append(model.probability(model.statistic(found, size)))
                 if passages:
-                    told = [(a, b, s, model.expected(s, size)) for a, b, s in found]
-                    places.append([dict(zip(("start", "stop", "score", "expected"), x, strict=True)) for x in told if x[3] < SIGNIFICANT])
+                    places.append([dict(zip(("start", "stop", "score", "expected"), x, strict=True)) for x in model.significant(text, found, size)])
             part = part.append_column("score", pa.array(values, pa.float64()))
             yield part.append_column("passages", pa.array(places, _PASSAGES)) if passages else part
 

@@ -198,9 +198,10 @@ def test_pieces_change_nothing(planted, monkeypatch):
     docs, labels = planted
     model = toxicity.train(docs, labels)
     text = " ".join(r.text for r in docs.limit(40).collect())
-    whole = model.found(text, True)
+    whole = model.found(text)
+    passages = model.significant(text, *whole)
     monkeypatch.setattr(toxicity, "STEP", 17)
-    assert model.found(text, True) == whole
+    assert model.found(text) == whole and passages and all(text[a:b].strip() == text[a:b] for a, b, *_ in passages)
 
 
 def test_labels_of_held_out_rows_are_not_read(spark, planted):

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,13 +131,14 @@ def pieces(value: object, indent: str = "") -> Iterator[str]:
         yield _indented(value, indent)
         return
     inner, before = indent + "  ", "{\n"
+    body = value.body if isinstance(value, Report) else value
     for key in value:
         yield f"{before}{inner}{json.dumps(key)}: "
         before = ",\n"
-        if isinstance(value, Section) and key in PARTS and key not in value.known:
+        if isinstance(body, Section) and key in PARTS and key not in body.known:
             start, stop = "{}" if key == "files" else "[]"
             any_yet = False
-            for text in fragments(value.rows, key, inner + "  "):
+            for text in fragments(body.rows, key, inner + "  "):
                 yield f"{',' if any_yet else start}\n{inner}  {text}"
                 any_yet = True
             yield f"\n{inner}{stop}" if any_yet else start + stop
@@ -253,7 +255,7 @@ def plan_failures(spark: SparkSession, plan: Mapping | str) -> tuple[DataFrame,
         for r in given.where("broken IS NOT NULL").orderBy("part", "cp", "name").head(1):
             raise InvalidPlan(f"{r.part}: {r.name if r.cp is None else r.cp} ({r.name}): {r.broken}")
         known = given.where("part = 'checkpoints' AND name IS NOT NULL").select("cp").head(1)
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise InvalidPlan(f"the plan is not of a report's form: {str(e).splitlines()[0]}") from e
     listed = given.where("part != 'checkpoints' OR name IS NULL")
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in PARTS.items() for x in pair)), F.col("part"))

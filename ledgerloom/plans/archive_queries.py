@@ -1,6 +1,6 @@
 """Queries that run storage and whole operations: archives are derived from the tables, in the shared folder, and then copied, scanned and mended.
 
-A document stands for a bucket, an order for a ledger. Which files are damaged
+Documents stand for buckets, an order for a ledger. Which files are damaged
 or missing follows from their numbers, so that SQL can tell the outcome.
 """
 
@@ -50,12 +50,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([data[:-5] if damage == 0 else data]), pa.array([None], pa.string())], names=["path", "content", "error_class"])
 
 
-@_query("""SELECT sha256(text) AS hash, CASE min(doc_id) % 7 WHEN 0 THEN 'retry' WHEN 1 THEN 'fatal' WHEN 2 THEN 'not_found' END AS error_class, min(doc_id) % 7 > 2 AS present,
-  CAST(CASE WHEN min(doc_id) % 7 > 2 THEN strlen(text) ELSE 0 END AS BIGINT) AS verified FROM documents WHERE text IS NOT NULL GROUP BY text""")
+@_query("""WITH g AS (SELECT doc_id // 64 AS n, (doc_id // 64) || ':' || string_agg(text, '' ORDER BY doc_id, text) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id // 64)
+SELECT sha256(t) AS hash, CASE n % 7 WHEN 0 THEN 'retry' WHEN 1 THEN 'fatal' WHEN 2 THEN 'not_found' END AS error_class, n % 7 > 2 AS present, CAST(CASE WHEN n % 7 > 2 THEN strlen(t) ELSE 0 END AS BIGINT) AS verified FROM g""")
 def bucket_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Buckets written to an archive, some cut, some of wrong content, some not at all; copied to another with a check of each hash; then looked for there."""
-    one = _table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min(F.struct("doc_id", "text")).alias("m"))
-    buckets = one.select("hash", cps.bucket_path(F.col("hash")).alias("path"), F.col("m.text").alias("text"), (F.col("m.doc_id") % 7).alias("damage"), F.lit("bucket").alias("kind"), F.col("m.doc_id").alias("cp"))
+    """Buckets of the texts of 64 documents each, written to an archive, some cut, some of wrong content, some not at all; copied to another with a check of each hash; then looked for there."""
+    n, texts = F.floor(F.col("doc_id") / 64), F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    whole = _table(spark, d, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").groupBy(n.alias("n")).agg(texts.alias("texts"))
+    one = whole.select("n", F.concat(F.col("n").cast("string"), F.lit(":"), F.array_join(F.transform("texts", lambda x: x.text), "")).alias("text")).withColumn("hash", F.sha2("text", 256))
+    buckets = one.select("hash", cps.bucket_path(F.col("hash")).alias("path"), "text", (F.col("n") % 7).alias("damage"), F.lit("bucket").alias("kind"), (F.col("n") * 64 + 63).alias("cp"))
     source, target = derived(spark, "buckets"), derived(spark, "copies")
     made = buckets.where("damage != 2").select("path", "text", "damage").mapInArrow(_packed, "path string, content binary, error_class string")
     asked = cut(buckets.select("hash", "path", "kind", "cp"))

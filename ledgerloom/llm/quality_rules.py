@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 #: A line is navigation if it has so many separators between so few characters; short lines also by trail marks and first words.
 NAVIGATION = r"^[^|]{0,24}\|[^|]{0,24}\|([^|]{0,24}\|){2}"
@@ -21,6 +20,8 @@ BOILERPLATE = r"(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|all ri
 SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 #: A line without an ending passes if it is at most this long (headings, broken lines).
 HEADING_WORDS = 12
+#: Finds a line of more words than that, by its runs of white space.
+LONG_LINE = rf"^(?:[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++){{{HEADING_WORDS}}}"
 #: Symbols that a line may hold of 100 characters.
 MOST_SYMBOLS = 10
 #: Share of a document's word characters that failing lines may hold.
@@ -33,12 +34,12 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """The first rule that a line fails, or null."""
-    long_line = F.size(F.split(line, SPACE)) > HEADING_WORDS
+    """The first rule that a line fails, or null. Cheap conditions stand first: they spare the others."""
+    long_line = line.rlike(LONG_LINE)
     return (
-        F.when(line.rlike(NAVIGATION) | (line.rlike(MENU) & ~long_line), "navigation")
-        .when(line.rlike(BOILERPLATE) & ~long_line, "boilerplate")
-        .when(100 * (F.length(line) - _without(line, SYMBOLS)) > MOST_SYMBOLS * F.length(line), "punctuation")
+        F.when(line.rlike(NAVIGATION) | (~long_line & line.rlike(MENU)), "navigation")
+        .when(~long_line & line.rlike(BOILERPLATE), "boilerplate")
+        .when(line.rlike(f"[{SYMBOLS}]") & (100 * (F.length(line) - _without(line, SYMBOLS)) > MOST_SYMBOLS * F.length(line)), "punctuation")
         .when(long_line & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
@@ -54,23 +55,22 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("_text"), F.lit(""))
     base = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     base = base.withColumns({
-        "_words": F.filter(F.split(text, SPACE), lambda w: w != ""),
+        "_words": F.array_remove(F.split(text, SPACE), ""),
         "_lines": F.split(text, "\n"),
     })
     base = base.withColumns({
         "n_words": F.size("_words").cast("long"),
         "_full": F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         "_good": F.filter("_lines", lambda x: line_fails(x).isNull()),
-        # every three-word window by hash, with its place; null in texts of fewer words
-        "_tri": F.when(
+        # every three-word window by hash; null in texts of fewer words
+        "_hashes": F.when(
             F.size("_words") >= 3,
-            F.transform(
-                F.sequence(F.lit(0), F.size("_words") - 3),
-                lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i")),
-            ),
+            F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2),
         ),
     })
-    base = base.withColumn("_tri", F.sort_array("_tri"))
+    # with their places, in order; null where no window comes again, which needs no sorting
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    base = base.withColumn("_tri", F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     before = lambda x, k: F.when(k > 0, x["h"] == F.get("_tri", k - 1)["h"]).otherwise(False)
     after = lambda x, k: F.coalesce(x["h"] == F.get("_tri", k + 1)["h"], F.lit(False))
     again = F.transform("_tri", lambda x, k: F.when(before(x, k) | after(x, k), x["i"]))
@@ -81,17 +81,17 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
     )["n"]
     base = base.withColumns({
-        "word_chars": _without(text, BLANKS).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "cleaned": F.array_join("_good", "\n"),
     })
-    base = base.withColumn("kept_chars", _without(F.col("cleaned"), BLANKS).cast("long"))
+    base = base.withColumn("kept_chars", F.length(F.regexp_replace("cleaned", SPACE, "")).cast("long"))
     base = base.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     lost = (F.col("word_chars") - F.col("kept_chars")) > MOST_LOST * F.col("word_chars")
     base = base.withColumn("kept", ~F.col("base_failed") & ~lost)
-    return base.drop("_text", "_words", "_lines", "_full", "_good", "_tri", "_again")
+    return base.drop("_text", "_words", "_lines", "_full", "_good", "_hashes", "_tri", "_again")
 
 
 def query(docs: DataFrame) -> DataFrame:

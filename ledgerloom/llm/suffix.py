@@ -15,7 +15,8 @@ Anchors found in one document only are left out, which loses no match; the
 segments of the others are dealt by anchor, so that each part holds all
 occurrences of its strings, and each part is sorted by itself. A chunk of
 documents sends equal segments once, for its smallest document; in the others
-they are removed at once.
+they are removed at once. A part does the same with what several chunks sent,
+so that it sorts each distinct segment once.
 
 An anchor found in many chunks would gather too much in one part, as the edges
 of a passage that very many documents share differ in each of them. Of the
@@ -219,6 +220,15 @@ def _within(pool: np.ndarray, h: np.ndarray) -> np.ndarray:
     return pool[np.minimum(np.searchsorted(pool, h), len(pool) - 1)] == h if len(pool) else np.zeros(len(h), bool)
 
 
+def _padded(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Segments that lie in ``data`` one after the other as rows of one width, each with its size."""
+    width = 2 * LENGTH - GRAM
+    mat = np.zeros((len(size), width + 4), np.uint8)
+    mat[:, width] = size
+    mat[:, :width][np.arange(width) < size[:, None]] = data
+    return mat
+
+
 def _same(mat: np.ndarray) -> np.ndarray:
     """A number for each row of bytes, equal for equal rows; the width is a multiple of 8."""
     key = np.zeros(len(mat), np.uint64)
@@ -393,11 +403,7 @@ def _segments(parts: int):
             h, w0, w1, doc = (np.concatenate([x[keep], y]) for x, y in ((h, lh), (w0, l0), (w1, l1), (doc, of)))
             size = w1 - w0 + LENGTH
             # equal segments by their bytes, padded to one width
-            width = 2 * LENGTH - GRAM
-            mat = np.zeros((len(h), width + 4), np.uint8)
-            mat[:, width] = size
-            mat[:, :width][np.arange(width) < size[:, None]] = _gather(c.buf, w0, size)
-            same = _same(mat)
+            same = _same(_padded(_gather(c.buf, w0, size), size))
             ids, start = c.ids[doc], w0 - c.first[doc]
             order = np.lexsort((start, ids, same))
             fresh = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
@@ -427,29 +433,46 @@ def _segments(parts: int):
     return run
 
 
-def _sort_part(group: pa.Table) -> pa.Table:
-    """What is removed in the segments of one part."""
-    get = lambda name, kind=np.int64: [np.frombuffer(b.as_buffer(), kind) for b in group.column(name)]
-    docs = get("doc")
-    counts = [len(d) for d in docs]
-    chunk = np.repeat(group.column("chunk").to_numpy(), counts).astype(np.int64)
-    doc, local, start = np.concatenate(docs), np.concatenate(get("local")), np.concatenate(get("start"))
-    windows = np.concatenate(get("windows", np.uint8)).astype(np.int64)
+def _removed_runs(data: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, stop) of what is removed in segments of so many strings each, by sorting their suffixes."""
     size = windows + LENGTH - 1
     # a separator after each segment
-    head = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    head = np.cumsum(size + 1) - (size + 1)
     text, inside = np.zeros(int((size + 1).sum()), np.uint8), np.ones(int((size + 1).sum()), bool)
     inside[head + size] = False
-    text[inside] = np.concatenate(get("bytes", np.uint8))
+    text[inside] = data
     seg = np.repeat(np.arange(len(windows)), windows)
     within = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
     gone = repeated(text, inside, head[seg] + within, doc[seg])
     seg, within = seg[gone], within[gone]
+    fresh = np.concatenate([[True], (seg[1:] != seg[:-1]) | (within[1:] != within[:-1] + 1)])[: len(seg)]
+    last = np.concatenate([fresh[1:], [True]])[: len(seg)]
+    return seg[fresh], within[fresh], within[last] + LENGTH
+
+
+def _sort_part(group: pa.Table) -> pa.Table:
+    """What is removed in the segments of one part."""
+    get = lambda name, kind=np.int64: [np.frombuffer(b.as_buffer(), kind) for b in group.column(name)]
+    docs = get("doc")
+    counts = [len(d) for d in docs]
+    chunk = np.repeat(group.column("chunk").to_numpy(), counts).astype(np.int64)
+    doc, local, start = np.concatenate(docs), np.concatenate(get("local")), np.concatenate(get("start"))
+    windows = np.concatenate(get("windows", np.uint8)).astype(np.int64)
+    size, data = windows + LENGTH - 1, np.concatenate(get("bytes", np.uint8))
+    # what several chunks sent stays for its smallest document; in the others it is removed as a whole
+    same = _same(_padded(data, size))
+    order = np.lexsort((doc, same))
+    fresh = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
+    lead = np.repeat(order[fresh], np.diff([*fresh, len(order)]))
+    stays = np.ones(len(doc), bool)
+    stays[order[doc[order] > doc[lead]]] = False
+    sent, again = np.flatnonzero(stays), np.flatnonzero(~stays)
+    seg, begin, stop = _removed_runs(data[np.repeat(stays, size)], windows[sent], doc[sent])
+    seg, begin, stop = np.concatenate([sent[seg], again]), np.concatenate([begin, np.zeros(len(again), np.int64)]), np.concatenate([stop, size[again]])
     if not len(seg):
         return _removed_rows(*[np.zeros(0, np.int64)] * 4)
-    fresh = np.concatenate([[True], (seg[1:] != seg[:-1]) | (within[1:] != within[:-1] + 1)])
-    last = np.concatenate([fresh[1:], [True]])
-    seg, begin, stop = seg[fresh], within[fresh], within[last] + LENGTH
+    order = np.argsort(seg, kind="stable")
+    seg, begin, stop = seg[order], begin[order], stop[order]
     out = [(chunk[seg], local[seg], start[seg] + begin, start[seg] + stop)]
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     alias = [a.reshape(-1, 2) for a in get("alias")]

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, local_forest, mix64
@@ -282,9 +282,10 @@ def _emit_rooted(part: int, buckets: int, masks: np.ndarray, passes: int):
 def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) -> DataFrame:
     """Links of ``nodes(fp, root)`` at values where not all that meet are of one class (root; null: of none).
 
-    With ``pairs`` they are all pairs of different classes, else a forest. A value
-    lies near no more fingerprints than the ball has masks, so that meetings are
-    of 39 at most.
+    With ``pairs`` they are all pairs (a, b, ca, cb) of different classes, where a
+    fingerprint of one class stands as that class (ca or cb true), else a forest.
+    A value lies near no more fingerprints than the ball has masks, so that
+    meetings are of 39 at most.
     """
     masks, n = ball(TABLE_RADIUS // 2, TABLE_BITS), nodes.count()
     buckets = max(16, -(-n * len(masks) // (passes * BUCKET_VALUES)))
@@ -311,8 +312,13 @@ def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) ->
             a, b, _ = candidates(values[keep], owners[keep], TABLE_RADIUS, len(masks))
             known, at = np.unique(owners[keep], return_index=True)
             x, y = (at[np.searchsorted(known, end)] for end in (a, b))
-            differ = ~(flag[keep][x] & flag[keep][y] & (root[keep][x] == root[keep][y]))
-            a, b = a[differ], b[differ]
+            flag, root = flag[keep], root[keep]
+            differ = ~(flag[x] & flag[y] & (root[x] == root[y]))
+            ends = [np.stack([flag[at], np.where(flag[at], root[at], end.view(np.int64))], axis=1)[differ] for at, end in ((x, a), (y, b))]
+            swap = (ends[0][:, 0] < ends[1][:, 0]) | ((ends[0][:, 0] == ends[1][:, 0]) & (ends[0][:, 1] > ends[1][:, 1]))
+            both = np.where(swap[:, None], np.hstack(ends[::-1]), np.hstack(ends))  # a class before a fingerprint
+            both = np.unique(both, axis=0)
+            return pa.table({"a": both[:, 1], "b": both[:, 3], "ca": both[:, 0] == 1, "cb": both[:, 2] == 1})
         else:
             a, b = meeting(values[keep], owners[keep], TABLE_RADIUS)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
@@ -320,7 +326,7 @@ def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) ->
     found = None
     for part in range(passes):
         blobs = dealt.mapInArrow(_emit_rooted(part, buckets, masks, passes), "bucket int, v binary, m binary, r binary")
-        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long"))
+        new = scratch.keep(blobs.groupBy("bucket").applyInArrow(collide, "a long, b long, ca boolean, cb boolean" if pairs else "a long, b long"))
         found = new if found is None else found.union(new)
     return found
 
@@ -338,10 +344,11 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     Classes grow in three steps, so that large groups of copies make no pairs
     within: texts with an equal fingerprint are asked of the first of them; then
     meetings in the first tables are asked of one of them each; last, all
-    tables are searched for meetings between what are still different classes,
-    and there every pair is measured. Where two fingerprints that meet have many
-    texts, hubs are asked, new ones in each round until these texts are one
-    class or all were hubs.
+    tables are searched for meetings between what are still different classes.
+    Texts of no class are measured pair by pair; where a class has met others,
+    these are measured in its frame (``_framed``). Where two fingerprints that
+    meet have many texts, hubs are asked, new ones in each round until these
+    texts are one class or all were hubs.
 
     Rows with a null doc_id are left out; texts without a word are one class. A
     text meets n * 56 * 742 / 2^38 strangers among n others: 15 for 10^8 texts,
@@ -381,26 +388,30 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     near = open_links(classed, scratch, TABLE_PASSES, pairs=True)
     near = scratch.keep(near.distinct())
     mixed = classed.where("n > 1 AND root IS NULL")
-    touched = near.select(F.col("a").alias("fp")).union(near.select("b")).union(mixed.select("fp")).distinct()
+    touched = near.where("NOT ca").select(F.col("a").alias("fp")).union(near.where("NOT cb").select("b")).union(mixed.select("fp")).distinct()
     touched = scratch.keep(touched)
     counts = scratch.keep(classed.join(touched, "fp", "left_semi").select("fp", "n", "root"))
     mine = values.join(touched, "fp", "left_semi").join(roots.withColumnRenamed("node", "least"), "least", "left")
     mine = scratch.keep(mine.select("fp", "least", F.coalesce("root", "least").alias("root")))
     scratch.drop(values, nodes, classed)
-    near = near.join(counts.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    near = scratch.keep(near.withColumn("few", F.col("na") * F.col("nb") <= SMALL_PAIRS))
+    alone = near.where("NOT ca").join(counts.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+    alone = alone.select("a", "b", (F.col("na") * F.col("nb") <= SMALL_PAIRS).alias("few"))
 
-    # Pairs to be measured at once, and crowds: the texts of one or two fingerprints, where these are too many.
+    # Classes that met, and crowds: the texts of one or two fingerprints, where these are too many.
     mixed = counts.where("n > 1 AND root IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"), (F.col("n") <= SMALL).alias("few"))
-    met = near.select("a", "b", "few").unionByName(mixed)
-    owner = lambda x: mine.select(F.col("fp").alias(x), F.col("least").alias(f"d{x}"), F.col("root").alias(f"r{x}"))
-    pairs = met.where("few").join(owner("a"), "a").join(owner("b"), "b").where("ra != rb").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    met = scratch.keep(alone.unionByName(mixed))
+    own = scratch.keep(mine.select("fp", "root").distinct())
+    owner = lambda x: own.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}"))
+    pairs = met.where("few").join(owner("a"), "a").join(owner("b"), "b").select("ra", "rb")
+    pairs = pairs.union(near.where("ca AND NOT cb").join(owner("b"), "b").select("a", "rb")).union(near.where("cb").select("a", "b"))
+    pairs = scratch.keep(pairs.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     crowded = met.where("NOT few").select(F.struct("a", "b").alias("crowd"), F.explode(F.array("a", "b")).alias("fp"))
     members = scratch.keep(crowded.join(mine, "fp").select("crowd", F.col("least").alias("text")).distinct())
+    pairs = _framed(pairs, linked, roots, docs, texts, scratch, width)
 
     linked = scratch.keep(linked.union(_verified(pairs, docs, texts, scratch, width)).distinct())
     roots = scratch.keep(components(linked, scratch))
-    scratch.drop(mine, counts, near, touched)
+    scratch.drop(mine, own, met, counts, near, touched)
     turn = 0
     while True:
         placed = members.join(roots.withColumnRenamed("node", "text"), "text", "left").select("crowd", "text", F.coalesce("root", "text").alias("root"))
@@ -423,6 +434,78 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     return sigs.join(classes, "sig").select("doc_id", "component_id")
 
 
+def _apart(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, a: n + a)
+
+
+def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """Pairs (a, b) of texts that may be similar, for classes (a, b) that met; texts of no class are classes of their own.
+
+    Two of these make a pair. Else the larger class is a frame and the texts of
+    the other are its guests: each text of a frame is taken as what it adds to
+    the frame's centre, its text with the most links, and what it lacks of it.
+    With n shingles, p added and q lacking, texts that share s of the added ones
+    differ in p1 + p2 - 2s + |q1 - q2| shingles at least, and similar ones in
+    (n1 + n2) / 9 at most. So they share added shingles, by which they are
+    joined, and edits made by themselves make no pairs; or both lack so much and
+    add so little that none need be shared, and then both are shorter than the
+    centre, as neither is left out but by being similar to that.
+    """
+    sizes = scratch.keep(roots.groupBy("root").agg(F.count("*").alias("n")))
+    size = lambda x: sizes.select(F.col("root").alias(x), F.col("n").alias(f"n{x}"))
+    sized = met.join(size("a"), "a", "left").join(size("b"), "b", "left").fillna(1, ["na", "nb"])
+    sized = scratch.keep(sized)
+    direct = sized.where("na = 1 AND nb = 1").select("a", "b")
+    larger = F.col("na") >= F.col("nb")
+    guests = sized.where("na > 1 OR nb > 1").select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("frame"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("root"))
+    guests = scratch.keep(guests.join(roots, "root", "left").select("frame", F.coalesce("node", "root").alias("text"), "root"))
+
+    # centres, and guests that are near enough to them for the class's radius
+    frames = scratch.keep(guests.select("frame").distinct())
+    inside = scratch.keep(roots.select(F.col("root").alias("frame"), F.col("node").alias("text")).join(frames, "frame", "left_semi"))
+    degrees = linked.select(F.col("a").alias("text")).union(linked.select("b")).groupBy("text").agg(F.count("*").alias("links"))
+    centres = inside.join(degrees, "text", "left").groupBy("frame").agg(F.max(F.struct("links", "text"))["text"].alias("centre"))
+    centres = scratch.keep(centres.join(texts.select(F.col("least").alias("centre"), F.col("sig").alias("csig")), "centre"))
+    sig = texts.select(F.col("least").alias("text"), "sig")
+    wide = scratch.keep(inside.join(sig, "text").join(centres, "frame").select("frame", _apart("sig", "csig").alias("apart")))
+    radius = wide.groupBy("frame").agg(F.max("apart").alias("radius"))
+    centres = scratch.keep(centres.join(radius, "frame"))
+    guests = guests.join(sig, "text").join(centres, "frame").where(_apart("sig", "csig") <= F.lit(MOST_APART) + F.col("radius")).select("frame", "text", "root")
+    guests = scratch.keep(guests)
+    frames = scratch.keep(guests.select("frame").distinct())
+    inside = inside.join(frames, "frame", "left_semi").select("frame", "text", F.col("frame").alias("root"))
+    placed = scratch.keep(guests.unionByName(inside))
+
+    # what each adds to the centre and lacks of it
+    asked = scratch.keep(placed.select(F.col("text").alias("doc_id")).distinct())
+    sets = scratch.keep(shingle_sets(docs.join(asked, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    centre_sets = centres.join(frames, "frame", "left_semi").join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("cs")), "centre")
+    centre_sets = scratch.keep(centre_sets.select("frame", "centre", "cs"))
+    differ = placed.join(sets.withColumnRenamed("doc_id", "text"), "text").join(centre_sets, "frame")
+    differ = differ.select("frame", "centre", "text", "root", F.size("shingles").alias("n"), F.size("cs").alias("nc"), F.array_except("shingles", "cs").alias("added"), F.size(F.array_except("cs", "shingles")).alias("q"))
+    differ = scratch.keep(differ.withColumn("p", F.size("added")).withColumn("close", F.col("n") - F.col("p") >= SIMILARITY * (F.col("nc") + F.col("p"))))
+    to_centre = differ.where("close AND root != frame").select(F.col("text").alias("a"), F.col("centre").alias("b"))
+
+    # guests that are not similar to the centre: by added shingles of more than one class, or without any
+    open_ = differ.where("root = frame OR NOT close")
+    elements = scratch.keep(open_.select("frame", F.explode("added").alias("e"), "text", "root"))
+    several = elements.groupBy("frame", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("frame", "e")
+    elements = scratch.keep(elements.join(several, ["frame", "e"], "left_semi"))
+    of = lambda x, *more: [F.col(c).alias(f"{c}{x}") for c in ("text", "root", *more)]
+    shared = elements.select("frame", "e", *of(1)).join(elements.select("frame", "e", *of(2)), ["frame", "e"]).where("text1 < text2 AND root1 != root2")
+    shared = scratch.keep(shared.groupBy("frame", "text1", "text2").agg(F.count("*").alias("s")))
+    counted = open_.select("frame", "text", "root", "n", "nc", "p", "q")
+    end = lambda x: counted.select("frame", *of(x, "n", "p", "q"))
+    least = "9 * (p1 + p2 + abs(q1 - q2)) - (n1 + n2)"
+    shared = shared.join(end(1), ["frame", "text1"]).join(end(2), ["frame", "text2"]).where(f"18 * s >= {least}").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
+    short = scratch.keep(counted.where("n < nc AND 4 * p <= n"))
+    short_end = lambda x: short.select("frame", *of(x, "n", "p", "q"))
+    free = short_end(1).join(short_end(2), "frame").where(f"text1 < text2 AND root1 != root2 AND {least} <= 0").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
+    found = scratch.keep(direct.union(to_centre).union(shared).union(free))
+    scratch.drop(sets, centre_sets, differ, elements, wide, sized)
+    return found
+
+
 def _hubs(placed: DataFrame, linked: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
     """(crowd, text, root): of each crowd's members those with the most and with the fewest links, in 2^turn slots each.
 
@@ -443,8 +526,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scra
     pairs = scratch.keep(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left = texts.select(F.col("least").alias("a"), F.col("sig").alias("sa"))
     right = texts.select(F.col("least").alias("b"), F.col("sig").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    measured = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= MOST_APART))
+    measured = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", _apart("sa", "sb").alias("apart")).where(F.col("apart") <= MOST_APART))
     unsure = measured.where(F.col("apart") > SURE).select("a", "b")
     asked = scratch.keep(unsure.select(F.col("a").alias("doc_id")).union(unsure.select("b")).distinct())
     sets = scratch.keep(shingle_sets(docs.join(asked, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))

@@ -447,9 +447,9 @@ def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, docs: DataFrame
     With n shingles, p added and q lacking, texts that share s of the added ones
     differ in p1 + p2 - 2s + |q1 - q2| shingles at least, and similar ones in
     (n1 + n2) / 9 at most. So they share added shingles, by which they are
-    joined, and edits made by themselves make no pairs; or both lack so much and
-    add so little that none need be shared, and then both are shorter than the
-    centre, as neither is left out but by being similar to that.
+    joined, and edits made by themselves make no pairs; or they add so little
+    that none need be shared, and then one of them is shorter than the centre,
+    as the other is not similar to that.
     """
     sizes = scratch.keep(roots.groupBy("root").agg(F.count("*").alias("n")))
     size = lambda x: sizes.select(F.col("root").alias(x), F.col("n").alias(f"n{x}"))
@@ -498,9 +498,9 @@ def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, docs: DataFrame
     end = lambda x: counted.select("frame", *of(x, "n", "p", "q"))
     least = "9 * (p1 + p2 + abs(q1 - q2)) - (n1 + n2)"
     shared = shared.join(end(1), ["frame", "text1"]).join(end(2), ["frame", "text2"]).where(f"18 * s >= {least}").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
-    short = scratch.keep(counted.where("n < nc AND 4 * p <= n"))
-    short_end = lambda x: short.select("frame", *of(x, "n", "p", "q"))
-    free = short_end(1).join(short_end(2), "frame").where(f"text1 < text2 AND root1 != root2 AND {least} <= 0").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
+    few = scratch.keep(counted.where("4 * p <= n"))
+    one, other = few.where("n < nc").select("frame", *of(1, "n", "p", "q")), few.select("frame", (F.col("n") < F.col("nc")).alias("short2"), *of(2, "n", "p", "q"))
+    free = one.join(other, "frame").where(f"(text1 < text2 OR NOT short2) AND root1 != root2 AND {least} <= 0").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
     found = scratch.keep(direct.union(to_centre).union(shared).union(free))
     scratch.drop(sets, centre_sets, differ, elements, wide, sized)
     return found

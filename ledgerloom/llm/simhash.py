@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, local_forest, mix64
@@ -321,6 +321,11 @@ def open_links(nodes: DataFrame, scratch: Scratch, passes: int, pairs: bool) ->
             return pa.table({"a": both[:, 1], "b": both[:, 3], "ca": both[:, 0] == 1, "cb": both[:, 2] == 1})
         else:
             a, b = meeting(values[keep], owners[keep], TABLE_RADIUS)
+            known, at = np.unique(owners[keep], return_index=True)
+            x, y = (at[np.searchsorted(known, end)] for end in (a, b))
+            flag, root = flag[keep], root[keep]
+            differ = ~(flag[x] & flag[y] & (root[x] == root[y]))  # those of one class are joined by it
+            a, b = a[differ], b[differ]
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     found = None
@@ -343,11 +348,13 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Classes grow in three steps, so that large groups of copies make no pairs
     within: texts with an equal fingerprint are asked of the first of them; then
-    meetings in the first tables are asked of one of them each; last, all
-    tables are searched for meetings between what are still different classes.
-    Texts of no class are measured pair by pair; where a class has met others,
-    these are measured in its frame (``_framed``). Where two fingerprints that
-    meet have many texts, hubs are asked, new ones in each round until these
+    classes that meet in the first tables are asked of each other once; last,
+    all tables are searched for meetings between different homes. A home is a
+    class with the texts of no class that it met before (``_homes``): all in it
+    are measured in the class's frame (``_framed``), as are others that it meets,
+    so that edits of one text meet each other without making pairs. Texts without
+    a home are measured pair by pair. Where two fingerprints that meet have many
+    texts of several homes, hubs are asked, new ones in each round until these
     texts are one class or all were hubs.
 
     Rows with a null doc_id are left out; texts without a word are one class. A
@@ -366,38 +373,42 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     linked = _verified(equal, docs, texts, scratch, width)
     roots = scratch.keep(components(linked, scratch))
 
-    def rooted() -> DataFrame:
+    def rooted(roots: DataFrame) -> DataFrame:
         """(fp, first, n, root): the class of each fingerprint's texts, null if they are of none or of several."""
-        classed = texts.join(roots.select(F.col("node").alias("least"), "root"), "least").select(F.col("root"), "least", "sig")
-        of = table_values(classed).join(classed.select("least", "root"), "least").groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
+        classed = texts.join(roots.select(F.col("node").alias("least"), "root"), "least").select(F.col("root").alias("least"), "sig")
+        of = table_values(classed).groupBy("fp").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.count("*").alias("c"))
         one = (F.col("low") == F.col("high")) & (F.col("c") == F.col("n"))
         return scratch.keep(nodes.join(of, "fp", "left").select("fp", "first", "n", F.when(one, F.col("low")).alias("root")))
 
-    # neighbours in the first tables
-    classed = rooted()
+    # neighbours in the first tables: two classes, or texts of none, are asked once, at one of their meetings
+    classed = rooted(roots)
     some = classed.where(F.shiftright("fp", TABLE_BITS) < FIRST_TABLES)
     near = open_links(some, scratch, 1, pairs=False)
-    end = lambda x, d: some.select(F.col("fp").alias(x), F.col("first").alias(d))
-    asked = near.distinct().join(end("a", "da"), "a").join(end("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    linked = scratch.keep(linked.union(_verified(asked, docs, texts, scratch, width)).distinct())
-    roots = scratch.keep(components(linked, scratch))
+    end = lambda x: some.select(F.col("fp").alias(x), F.col("first").alias(f"d{x}"), F.coalesce("root", "first").alias(f"r{x}"))
+    asked = near.distinct().join(end("a"), "a").join(end("b"), "b").where("ra != rb")
+    asked = asked.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min(F.struct("da", "db")).alias("d"))
+    asked = scratch.keep(asked.select(F.col("d.da").alias("a"), F.col("d.db").alias("b")))
+    new = _verified(asked, docs, texts, scratch, width)
+    linked = scratch.keep(linked.union(new).distinct())
+    roots = scratch.keep(components(_star(roots).union(new), scratch))
     scratch.drop(classed)
 
-    # all neighbours of different classes
-    classed = rooted()
+    # all neighbours of different homes
+    homes = _homes(asked, linked, roots, texts, scratch)
+    classed = rooted(homes)
     near = open_links(classed, scratch, TABLE_PASSES, pairs=True)
     near = scratch.keep(near.distinct())
     mixed = classed.where("n > 1 AND root IS NULL")
     touched = near.where("NOT ca").select(F.col("a").alias("fp")).union(near.where("NOT cb").select("b")).union(mixed.select("fp")).distinct()
     touched = scratch.keep(touched)
     counts = scratch.keep(classed.join(touched, "fp", "left_semi").select("fp", "n", "root"))
-    mine = values.join(touched, "fp", "left_semi").join(roots.withColumnRenamed("node", "least"), "least", "left")
+    mine = values.join(touched, "fp", "left_semi").join(homes.withColumnRenamed("node", "least"), "least", "left")
     mine = scratch.keep(mine.select("fp", "least", F.coalesce("root", "least").alias("root")))
     scratch.drop(values, nodes, classed)
     alone = near.where("NOT ca").join(counts.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
     alone = alone.select("a", "b", (F.col("na") * F.col("nb") <= SMALL_PAIRS).alias("few"))
 
-    # Classes that met, and crowds: the texts of one or two fingerprints, where these are too many.
+    # Homes that met, and crowds: the texts of one or two fingerprints, where these are too many.
     mixed = counts.where("n > 1 AND root IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"), (F.col("n") <= SMALL).alias("few"))
     met = scratch.keep(alone.unionByName(mixed))
     own = scratch.keep(mine.select("fp", "root").distinct())
@@ -407,10 +418,11 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     pairs = scratch.keep(pairs.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     crowded = met.where("NOT few").select(F.struct("a", "b").alias("crowd"), F.explode(F.array("a", "b")).alias("fp"))
     members = scratch.keep(crowded.join(mine, "fp").select("crowd", F.col("least").alias("text")).distinct())
-    pairs = _framed(pairs, linked, roots, docs, texts, scratch, width)
+    pairs = _framed(pairs, linked, roots, homes, docs, texts, scratch, width)
 
-    linked = scratch.keep(linked.union(_verified(pairs, docs, texts, scratch, width)).distinct())
-    roots = scratch.keep(components(linked, scratch))
+    new = _verified(pairs, docs, texts, scratch, width)
+    linked = scratch.keep(linked.union(new).distinct())
+    roots = scratch.keep(components(_star(roots).union(new), scratch))
     scratch.drop(mine, own, met, counts, near, touched)
     turn = 0
     while True:
@@ -426,7 +438,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
         members = scratch.keep(placed.join(hubs.select("crowd", "text"), ["crowd", "text"], "left_anti").select("crowd", "text"))
         if not new.isEmpty():
             linked = scratch.keep(linked.union(new).distinct())
-            roots = scratch.keep(components(linked, scratch))
+            roots = scratch.keep(components(_star(roots).union(new), scratch))
         turn += 1
     rooted_texts = scratch.keep(texts.join(roots.withColumnRenamed("node", "least"), "least", "left").select("sig", "least", F.coalesce("root", "least").alias("root")))
     first = scratch.keep(rooted_texts.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -438,43 +450,81 @@ def _apart(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, a: n + a)
 
 
-def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """Pairs (a, b) of texts that may be similar, for classes (a, b) that met; texts of no class are classes of their own.
+def _star(roots: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of ``roots(node, root)``, one for each text."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _centres(members: DataFrame, linked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(frame, centre, csig): of the ``members(frame, text)`` of a class the one with the most links."""
+    degrees = linked.select(F.col("a").alias("text")).union(linked.select("b")).groupBy("text").agg(F.count("*").alias("links"))
+    centres = members.join(degrees, "text", "left").groupBy("frame").agg(F.max(F.struct("links", "text"))["text"].alias("centre"))
+    return centres.join(texts.select(F.col("least").alias("centre"), F.col("sig").alias("csig")), "centre")
+
+
+def _reach(members: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """(frame, radius): the most bits that one of the ``members(frame, text)`` is apart from the centre."""
+    wide = members.join(texts.select(F.col("least").alias("text"), "sig"), "text").join(centres, "frame")
+    return wide.groupBy("frame").agg(F.max(_apart("sig", "csig")).alias("radius"))
 
-    Two of these make a pair. Else the larger class is a frame and the texts of
-    the other are its guests: each text of a frame is taken as what it adds to
-    the frame's centre, its text with the most links, and what it lacks of it.
+
+def _homes(asked: DataFrame, linked: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): ``roots`` with texts of no class added to the largest class that they were asked of and may be similar to.
+
+    ``asked(a, b)`` are the pairs of texts that were asked.
+    """
+    either = asked.select(F.col("a").alias("text"), F.col("b").alias("node")).union(asked.select("b", "a"))
+    guests = either.join(roots.select(F.col("node").alias("text")), "text", "left_anti").join(roots, "node").select("text", F.col("root").alias("frame"))
+    guests = scratch.keep(guests.distinct())
+    members = scratch.keep(roots.select(F.col("root").alias("frame"), F.col("node").alias("text")).join(guests.select("frame").distinct(), "frame", "left_semi"))
+    centres = scratch.keep(_centres(members, linked, texts))
+    reach = centres.join(_reach(members, centres, texts), "frame").join(members.groupBy("frame").agg(F.count("*").alias("n")), "frame")
+    sig = texts.select(F.col("least").alias("text"), "sig")
+    near = guests.join(sig, "text").join(scratch.keep(reach), "frame").where(_apart("sig", "csig") <= F.lit(MOST_APART) + F.col("radius"))
+    chosen = near.groupBy("text").agg(F.max(F.struct("n", "frame"))["frame"].alias("frame"))
+    return scratch.keep(roots.select("node", "root").union(chosen.select("text", "frame")))
+
+
+def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, homes: DataFrame, docs: DataFrame, texts: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """Pairs (a, b) of texts that may be similar, in one of ``homes(node, root)`` or in two (a, b) that met; texts without one stand for themselves.
+
+    Two of these make a pair. A home is a frame of its own texts, and of two that
+    met the larger one has the texts of the other as its guests: each text of a
+    frame is taken as what it adds to the frame's centre, the text of its class
+    with the most links, and what it lacks of it. A class with a text similar to
+    the centre is of the frame's class from there on.
     With n shingles, p added and q lacking, texts that share s of the added ones
     differ in p1 + p2 - 2s + |q1 - q2| shingles at least, and similar ones in
     (n1 + n2) / 9 at most. So they share added shingles, by which they are
     joined, and edits made by themselves make no pairs; or they add so little
     that none need be shared, and then one of them is shorter than the centre,
-    as the other is not similar to that.
+    as one at least is not similar to that. One of n1 shingles has (5 n1 - 4 n2) / 9
+    at most that a similar one of n2 has not. So with the frame's rarest shingles
+    first, no more of them come before the first that both share, and edits that
+    many made, which come last, make no pairs either.
     """
-    sizes = scratch.keep(roots.groupBy("root").agg(F.count("*").alias("n")))
+    sizes = scratch.keep(homes.groupBy("root").agg(F.count("*").alias("n")))
     size = lambda x: sizes.select(F.col("root").alias(x), F.col("n").alias(f"n{x}"))
     sized = met.join(size("a"), "a", "left").join(size("b"), "b", "left").fillna(1, ["na", "nb"])
     sized = scratch.keep(sized)
     direct = sized.where("na = 1 AND nb = 1").select("a", "b")
     larger = F.col("na") >= F.col("nb")
     guests = sized.where("na > 1 OR nb > 1").select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("frame"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("root"))
-    guests = scratch.keep(guests.join(roots, "root", "left").select("frame", F.coalesce("node", "root").alias("text"), "root"))
-
-    # centres, and guests that are near enough to them for the class's radius
-    frames = scratch.keep(guests.select("frame").distinct())
-    inside = scratch.keep(roots.select(F.col("root").alias("frame"), F.col("node").alias("text")).join(frames, "frame", "left_semi"))
-    degrees = linked.select(F.col("a").alias("text")).union(linked.select("b")).groupBy("text").agg(F.count("*").alias("links"))
-    centres = inside.join(degrees, "text", "left").groupBy("frame").agg(F.max(F.struct("links", "text"))["text"].alias("centre"))
-    centres = scratch.keep(centres.join(texts.select(F.col("least").alias("centre"), F.col("sig").alias("csig")), "centre"))
+    guests = scratch.keep(guests.join(homes, "root", "left").select("frame", F.coalesce("node", "root").alias("text")))
+
+    # centres, and guests that are near enough to them for the home's radius
+    lone = homes.join(roots.select("node"), "node", "left_anti").select("root")
+    frames = scratch.keep(guests.select("frame").union(lone).distinct())
+    inside = scratch.keep(homes.select(F.col("root").alias("frame"), F.col("node").alias("text")).join(frames, "frame", "left_semi"))
+    classes = roots.select(F.col("root").alias("frame"), F.col("node").alias("text")).join(frames, "frame", "left_semi")
+    centres = scratch.keep(_centres(classes, linked, texts))
+    centres = scratch.keep(centres.join(_reach(inside, centres, texts), "frame"))
     sig = texts.select(F.col("least").alias("text"), "sig")
-    wide = scratch.keep(inside.join(sig, "text").join(centres, "frame").select("frame", _apart("sig", "csig").alias("apart")))
-    radius = wide.groupBy("frame").agg(F.max("apart").alias("radius"))
-    centres = scratch.keep(centres.join(radius, "frame"))
-    guests = guests.join(sig, "text").join(centres, "frame").where(_apart("sig", "csig") <= F.lit(MOST_APART) + F.col("radius")).select("frame", "text", "root")
+    guests = guests.join(sig, "text").join(centres, "frame").where(_apart("sig", "csig") <= F.lit(MOST_APART) + F.col("radius")).select("frame", "text")
     guests = scratch.keep(guests)
-    frames = scratch.keep(guests.select("frame").distinct())
-    inside = inside.join(frames, "frame", "left_semi").select("frame", "text", F.col("frame").alias("root"))
-    placed = scratch.keep(guests.unionByName(inside))
+    frames = scratch.keep(guests.select("frame").union(lone).distinct())
+    both = guests.union(inside.join(frames, "frame", "left_semi").select("frame", "text"))
+    placed = scratch.keep(both.join(roots.withColumnRenamed("node", "text"), "text", "left").select("frame", "text", F.coalesce("root", "text").alias("root")))
 
     # what each adds to the centre and lacks of it
     asked = scratch.keep(placed.select(F.col("text").alias("doc_id")).distinct())
@@ -486,23 +536,31 @@ def _framed(met: DataFrame, linked: DataFrame, roots: DataFrame, docs: DataFrame
     differ = scratch.keep(differ.withColumn("p", F.size("added")).withColumn("close", F.col("n") - F.col("p") >= SIMILARITY * (F.col("nc") + F.col("p"))))
     to_centre = differ.where("close AND root != frame").select(F.col("text").alias("a"), F.col("centre").alias("b"))
 
-    # guests that are not similar to the centre: by added shingles of more than one class, or without any
-    open_ = differ.where("root = frame OR NOT close")
-    elements = scratch.keep(open_.select("frame", F.explode("added").alias("e"), "text", "root"))
-    several = elements.groupBy("frame", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("frame", "e")
-    elements = scratch.keep(elements.join(several, ["frame", "e"], "left_semi"))
+    # classes of which no text is similar to the centre: by added shingles of more than one class, or without any
+    as_centre = differ.where("close AND root != frame").select("frame", "root", F.lit(True).alias("joined")).distinct()
+    open_ = differ.join(as_centre, ["frame", "root"], "left").withColumn("root", F.when(F.col("joined"), F.col("frame")).otherwise(F.col("root")))
+    open_ = scratch.keep(open_.drop("joined", "close", "centre"))
+    elements = scratch.keep(open_.select("frame", "text", "root", "n", "p", F.explode("added").alias("e")))
+    counts = scratch.keep(elements.groupBy("frame", "e").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high")))
+    of_text = Window.partitionBy("frame", "text")
+    rank = F.col("p") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("f", "e"))  # a text's own come first
+    early = elements.join(counts.where("f > 1"), ["frame", "e"]).withColumn("rank", rank).where("low < high AND 5 * (rank - 1) <= n")
+    early = scratch.keep(early.select("frame", "e", "text", "root", "n", "rank"))
     of = lambda x, *more: [F.col(c).alias(f"{c}{x}") for c in ("text", "root", *more)]
-    shared = elements.select("frame", "e", *of(1)).join(elements.select("frame", "e", *of(2)), ["frame", "e"]).where("text1 < text2 AND root1 != root2")
-    shared = scratch.keep(shared.groupBy("frame", "text1", "text2").agg(F.count("*").alias("s")))
-    counted = open_.select("frame", "text", "root", "n", "nc", "p", "q")
-    end = lambda x: counted.select("frame", *of(x, "n", "p", "q"))
+    side = lambda x: early.select("frame", "e", *of(x, "n", "rank"))
+    shared = side(1).where("9 * (rank1 - 1) <= n1").join(side(2), ["frame", "e"]).where("(n1 < n2 OR n1 = n2 AND text1 < text2) AND root1 != root2")
+    shared = shared.where("9 * (rank1 - 1) <= 5 * n1 - 4 * n2 AND 9 * (rank2 - 1) <= 5 * n2 - 4 * n1")
+    shared = scratch.keep(shared.select("frame", "text1", "text2").distinct())
+    counted = open_.select("frame", "text", "root", "n", "nc", "p", "q", "added")
+    end = lambda x: counted.select("frame", *of(x, "n", "p", "q", "added"))
     least = "9 * (p1 + p2 + abs(q1 - q2)) - (n1 + n2)"
-    shared = shared.join(end(1), ["frame", "text1"]).join(end(2), ["frame", "text2"]).where(f"18 * s >= {least}").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
-    few = scratch.keep(counted.where("4 * p <= n"))
+    shared = shared.join(end(1), ["frame", "text1"]).join(end(2), ["frame", "text2"]).where(f"18 * size(array_intersect(added1, added2)) >= {least}")
+    shared = shared.select(F.col("text1").alias("a"), F.col("text2").alias("b"))
+    few = scratch.keep(counted.where("4 * p <= n").drop("added"))
     one, other = few.where("n < nc").select("frame", *of(1, "n", "p", "q")), few.select("frame", (F.col("n") < F.col("nc")).alias("short2"), *of(2, "n", "p", "q"))
     free = one.join(other, "frame").where(f"(text1 < text2 OR NOT short2) AND root1 != root2 AND {least} <= 0").select(F.col("text1").alias("a"), F.col("text2").alias("b"))
     found = scratch.keep(direct.union(to_centre).union(shared).union(free))
-    scratch.drop(sets, centre_sets, differ, elements, wide, sized)
+    scratch.drop(sets, centre_sets, differ, open_, elements, sized)
     return found
 
 

@@ -16,7 +16,10 @@ segments of the others are dealt by anchor, so that each part holds all
 occurrences of its strings, and each part is sorted by itself. A chunk of
 documents sends equal segments once, for its smallest document; in the others
 they are removed at once. A part does the same with what several chunks sent,
-so that it sorts each distinct segment once.
+so that it sorts each distinct segment once. A task gathers what several chunks
+have before it deals it to the parts, and what several parts found before it
+deals that to the chunks: a row for each pair of chunk and part would make rows
+that grow with the square of the input.
 
 An anchor found in many chunks would gather too much in one part, as the edges
 of a passage that very many documents share differ in each of them. Of the
@@ -33,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, sliced
 
 LENGTH, GRAM = 50, 24
 #: Bytes of a chunk of documents, of a slice hashed at once (fits a cache), and of the segments of a part.
@@ -45,6 +49,10 @@ ANCHORS_PART = 600_000
 #: An anchor in more chunks than this is hot; bytes of the longer anchors by which its strings are dealt.
 HOT_CHUNKS, LONG_GRAM = 32, 36
 PLACE_BITS = np.uint64(24)
+#: Bytes that a task gathers before it deals them out, and of a batch of rows then.
+GATHERED, DEALT = 32_000_000, 4_000_000
+#: A document's place: its chunk, and its number there in so many bits.
+LOCAL_BITS = 32
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -270,6 +278,7 @@ class Chunk:
 
 
 CHUNK_SCHEMA = "chunk int, ids binary, sizes binary, shas binary, bytes binary"
+CHUNK_NAMES = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
 
 def _pack(docs: pa.Table, chosen: pa.Table) -> pa.Table:
@@ -289,68 +298,143 @@ def _pack(docs: pa.Table, chosen: pa.Table) -> pa.Table:
     return pa.table([pa.array(r if ids else [], t) for r, t in zip(rows, types, strict=True)], names=["chunk", "ids", "sizes", "shas", "bytes"])
 
 
-def _deal(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for i, j in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
-        yield int(bucket[order[i]]), [order[i:j]] + [c[order[i:j]] for c in columns]
-
-
-BLOBS = "part int, chunk int, h binary, several binary"
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]]) if n else np.zeros(1, np.int64)
+
+
+def _cells(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` from each edge to the next, without a copy for each."""
+    values = np.ascontiguousarray(values)
+    offsets = ((edges - edges[0]) * values.itemsize).astype(np.int32)
+    data = values[edges[0] : edges[-1]]
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _flat(cells: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What cells hold, one after the other, and how much each holds."""
+    values, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for x in cells.chunks if isinstance(cells, pa.ChunkedArray) else [cells]:
+        if len(x):
+            x = x.cast(pa.large_binary())
+            at = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+            if at[-1] > at[0]:
+                values.append(np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind))
+            counts.append(np.diff(at) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(counts)
+
+
+def _gathered(found: Iterator[tuple[int, object]], deal) -> Iterator[pa.RecordBatch]:
+    """What ``deal`` makes of the items of ``found``, (bytes, item), a list of them at a time."""
+    held, size = [], 0
+    for more, item in found:
+        held.append(item)
+        size += more
+        if size >= GATHERED:
+            yield from deal(held)
+            held, size = [], 0
+    if held:
+        yield from deal(held)
+
+
+BLOBS = "part int, chunk binary, count binary, h binary, several binary"
+SHARED = "kind string, chunk binary, count binary, h binary"
 FLAGS = "chunk int, h binary, hot binary, w binary"
 
 
-def _blobs(chunk: int, h: np.ndarray, doc: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The distinct hashes of a chunk by part, and for each whether more than one document has it."""
+def _distinct(chunk: int, h: np.ndarray, doc: np.ndarray) -> tuple[int, tuple]:
+    """The distinct hashes of a chunk, and for each whether more than one document has it."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
-    fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    last = np.concatenate([fresh[1:], [len(h)]]) - 1 if len(h) else fresh
-    several, h = doc[fresh] != doc[last], h[fresh]
-    dealt = list(_deal((mix64(h) % np.uint64(parts)).astype(np.int64), h, several))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _ in dealt], pa.int32()), pa.array([chunk] * len(dealt), pa.int32()), pa.array([x[1].tobytes() for _, x in dealt], pa.binary()), pa.array([np.packbits(x[2]).tobytes() for _, x in dealt], pa.binary())],
-        names=["part", "chunk", "h", "several"],
-    )
+    edges = _edges(h)
+    first, last = edges[:-1], edges[1:] - 1
+    return 9 * len(first), (chunk, h[first], doc[first] != doc[last])
+
+
+def _blobs(parts: int):
+    """The hashes of chunks by part."""
+
+    def deal(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, several = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        chunk = np.repeat(np.array([x[0] for x in held], np.int32), [len(x[1]) for x in held])
+        part = (mix64(h) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        h, several, chunk, part = h[order], several[order], chunk[order], part[order]
+        edges, runs = _edges(part), _edges(part, chunk)
+        of_part = np.searchsorted(runs, edges)
+        bits = [np.packbits(several[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        columns = [pa.array(part[edges[:-1]]), _cells(chunk[runs[:-1]], of_part), _cells(np.diff(runs).astype(np.int32), of_part), _cells(h, edges), pa.array(bits, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOBS.split(", ")])
+
+    return deal
 
 
 def _anchor_blobs(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, _, _, doc = Chunk(row).anchors()
-                yield _blobs(row["chunk"], h, doc, parts)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for batch in sliced(batches, 1):
+            row = batch.to_pylist()[0]
+            h, _, _, doc = Chunk(row).anchors()
+            yield _distinct(row["chunk"], h, doc)
 
-    return run
+    return lambda batches: _gathered(found(batches), _blobs(parts))
 
 
 def _shared(hot_chunks: int | None):
     """The hashes of each chunk that more than one document has; those in many chunks apart. None: of windows."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_buffer(), np.uint64) for b in group.column("h")]
-        several = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))[: len(h)].astype(bool) for b, h in zip(group.column("several"), blobs, strict=True)]
-        _, inverse, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-        many = count > 1
+        (h, sizes), (chunk, _), (count, _) = (_flat(group.column(name), kind) for name, kind in (("h", np.uint64), ("chunk", np.int32), ("count", np.int32)))
+        several = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))[:n].astype(bool) for b, n in zip(group.column("several"), sizes, strict=True)]
+        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        many = times > 1
         many[inverse[np.concatenate(several)]] = True
-        hot = count > hot_chunks if hot_chunks is not None else np.zeros(len(count), bool)
-        masks = (many & ~hot)[inverse], (many & hot)[inverse]
-        out: tuple[list[bytes], list[bytes]] = ([], [])
-        at = 0
-        for h in blobs:
-            for k in (0, 1):
-                out[k].append(h[masks[k][at : at + len(h)]].tobytes())
-            at += len(h)
-        none = [b""] * len(blobs)
-        columns = (out[0], out[1], none) if hot_chunks is not None else (none, none, out[0])
-        return pa.table({"chunk": group.column("chunk"), **{name: pa.chunked_array([pa.array(x, pa.binary())]) for name, x in zip(("h", "hot", "w"), columns, strict=True)}})
+        hot = times > hot_chunks if hot_chunks is not None else np.zeros(len(times), bool)
+        rows = []
+        for kind, mask in (("w" if hot_chunks is None else "h", many & ~hot), ("hot", many & hot)):
+            mask = mask[inverse]
+            left = np.concatenate([[0], np.cumsum(mask)])
+            ends = np.cumsum(count, dtype=np.int64)
+            n = left[ends] - left[ends - count]
+            if n.any():
+                rows.append((kind, chunk[n > 0].tobytes(), n[n > 0].astype(np.int32).tobytes(), h[mask].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table([pa.array(x, pa.binary() if k else pa.string()) for k, x in enumerate(columns)], names=[x.split()[0] for x in SHARED.split(", ")])
 
     return run
 
 
-def _pool(flags: pa.Table, name: str) -> np.ndarray:
-    found = [np.frombuffer(b.as_buffer(), np.uint64) for b in flags.column(name)]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared hashes by chunk."""
+
+    def found() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in sliced(batches, 16):
+            yield batch.nbytes, batch
+
+    def deal(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        for kind in ("h", "hot", "w"):
+            own = table.filter(pc.equal(table.column("kind"), kind))
+            (h, _), (chunk, _), (count, _) = (_flat(own.column(name), t) for name, t in (("h", np.uint64), ("chunk", np.int32), ("count", np.int32)))
+            chunk = np.repeat(chunk, count)
+            order = np.argsort(chunk, kind="stable")
+            edges = _edges(chunk[order])
+            cells, none = _cells(h[order], edges), pa.array([b""] * (len(edges) - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[order][edges[:-1]], pa.int32()), *(cells if name == kind else none for name in ("h", "hot", "w"))], names=["chunk", "h", "hot", "w"])
+
+    return _gathered(found(), deal)
+
+
+def _with_flags(packed: DataFrame, flags: DataFrame) -> DataFrame:
+    """Chunks that have flags, each in one row with them."""
+    return packed.join(flags.groupBy("chunk").agg(*(F.collect_list(name).alias(name) for name in ("h", "hot", "w"))), "chunk")
+
+
+def _pool(row: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.sort(_flat(row.column(name)[0].values, np.uint64)[0])
 
 
 def _hot_windows(c: Chunk, h: np.ndarray, w0: np.ndarray, w1: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,75 +446,107 @@ def _hot_windows(c: Chunk, h: np.ndarray, w0: np.ndarray, w1: np.ndarray, doc: n
 
 
 def _window_blobs(parts: int):
-    def run(chunks: pa.Table, flags: pa.Table) -> pa.Table:
-        hot = _pool(flags, "hot")
-        if not chunks.num_rows or not len(hot):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["part", "chunk", "h", "several"])
-        c = Chunk(chunks.to_pylist()[0])
-        h, _, doc = _hot_windows(c, *c.anchors(), hot)
-        return pa.Table.from_batches([_blobs(chunks.column("chunk")[0].as_py(), h, doc, parts)])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for row in sliced(batches, 1):
+            hot = _pool(row, "hot")
+            if len(hot):
+                c = Chunk(row.select(CHUNK_NAMES).to_pylist()[0])
+                h, _, doc = _hot_windows(c, *c.anchors(), hot)
+                yield _distinct(row.column("chunk")[0].as_py(), h, doc)
 
-    return run
+    return lambda batches: _gathered(found(batches), _blobs(parts))
 
 
+#: chunk is -1, and local has places: a row holds what several chunks have.
 SEGMENTS = "part int, chunk int, doc binary, local binary, start binary, windows binary, bytes binary, alias binary, alias_start binary, stop binary"
 REMOVED = "chunk int, local binary, start binary, stop binary"
 
 
 def _removed_rows(chunk: np.ndarray, local: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
-    dealt = list(_deal(chunk, local, start, stop))
-    return pa.table({
-        "chunk": pa.array([c for c, _ in dealt], pa.int32()),
-        **{name: pa.array([x[k].tobytes() for _, x in dealt], pa.binary()) for k, name in ((1, "local"), (2, "start"), (3, "stop"))},
-    })
+    order = np.argsort(chunk, kind="stable")
+    edges = _edges(chunk[order])
+    return pa.table({"chunk": pa.array(chunk[order][edges[:-1]], pa.int32()), **{name: _cells(x[order], edges) for name, x in (("local", local), ("start", start), ("stop", stop))}})
+
+
+def _segments_of(row: pa.RecordBatch, parts: int) -> dict[str, np.ndarray]:
+    """Segments of a chunk's shared anchors with the parts they are dealt to; those that a smaller document of the chunk holds too are removed."""
+    pool, hot, windows = (_pool(row, name) for name in ("h", "hot", "w"))
+    c = Chunk(row.select(CHUNK_NAMES).to_pylist()[0])
+    place = row.column("chunk")[0].as_py() << LOCAL_BITS
+    h, w0, w1, doc = c.anchors()
+    keep = _within(pool, h)
+    wh, at, _ = _hot_windows(c, h, w0, w1, doc, hot)
+    mine = np.argsort(at := at[_within(windows, wh)], kind="stable")
+    lh, l0, l1 = long_anchors(c.buf, at[mine])
+    of = np.searchsorted(c.first, l0, side="right") - 1
+    h, w0, w1, doc = (np.concatenate([x[keep], y]) for x, y in ((h, lh), (w0, l0), (w1, l1), (doc, of)))
+    size = w1 - w0 + LENGTH
+    # equal segments by their bytes, padded to one width
+    same = _same(_padded(_gather(c.buf, w0, size), size))
+    ids, start = c.ids[doc], w0 - c.first[doc]
+    order = np.lexsort((start, ids, same))
+    edges = _edges(same[order])
+    lead = np.repeat(order[edges[:-1]], np.diff(edges))
+    later = ids[order] > ids[lead]
+    gone = order[later]
+    of, begin, stop = _merged(doc[gone], start[gone], start[gone] + size[gone]) if len(gone) else (gone, gone, gone)
+    # further places of a segment in its least document go along as aliases
+    more = ~later & (order != lead)
+    extra, first = order[more], order[edges[:-1]]
+    spot = np.empty(len(h), np.int64)
+    spot[first] = np.arange(len(first))
+    return {
+        "buf": c.buf, "part": (mix64(h[first]) % np.uint64(parts)).astype(np.int32), "doc": ids[first], "local": doc[first] + place, "start": start[first], "windows": (w1 - w0 + 1)[first].astype(np.uint8), "at": w0[first],
+        "alias": spot[lead[more]], "alias_local": doc[extra] + place, "alias_start": start[extra], "gone": of + place, "gone_start": begin, "gone_stop": stop,
+    }
+
+
+def _deal_segments(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The segments of several chunks by part, in batches of some MB; part -1: what is removed."""
+    get = lambda name: np.concatenate([x[name] for x in held])
+    behind = lambda name: np.cumsum([0] + [len(x[name]) for x in held[:-1]])
+    moved = lambda name, by: np.concatenate([x[name] + n for x, n in zip(held, behind(by), strict=True)])
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    batch = lambda **x: pa.RecordBatch.from_arrays([x[n] for n in names], names=names)
+    part, buf = get("part"), get("buf")
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = _edges(part)
+    at, doc, local, start, windows = (x[order] for x in (moved("at", "buf"), get("doc"), get("local"), get("start"), get("windows")))
+    size = windows.astype(np.int64) + LENGTH - 1
+    reach = np.concatenate([[0], np.cumsum(size)])[edges]
+    spot = np.empty(len(order), np.int64)
+    spot[order] = np.arange(len(order))
+    alias = spot[moved("alias", "part")]
+    by_spot = np.argsort(alias, kind="stable")
+    alias = alias[by_spot]
+    alias_edges = np.searchsorted(alias, edges)
+    pairs = np.stack([alias - np.repeat(edges[:-1], np.diff(alias_edges)), get("alias_local")[by_spot]], axis=1).ravel()
+    alias_start = get("alias_start")[by_spot]
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(reach, reach[i] + DEALT, side="right")) - 1)
+        own, places = edges[i : j + 1], alias_edges[i : j + 1]
+        data = _gather(buf, at[own[0] : own[-1]], size[own[0] : own[-1]])
+        yield batch(
+            part=pa.array(part[own[:-1]]), chunk=pa.array(np.full(j - i, -1, np.int32)), doc=_cells(doc, own), local=_cells(local, own), start=_cells(start, own), windows=_cells(windows, own),
+            bytes=_cells(data, reach[i : j + 1] - reach[i]), alias=_cells(pairs, 2 * places), alias_start=_cells(alias_start, places), stop=pa.array([b""] * (j - i), pa.binary()),
+        )
+        i = j
+    if len(gone := get("gone")):
+        lone = {name: _cells(x, np.array([0, len(gone)])) for name, x in (("local", gone), ("start", get("gone_start")), ("stop", get("gone_stop")))}
+        none = pa.array([b""], pa.binary())
+        yield batch(**{name: none for name in names} | lone | {name: pa.array([-1], pa.int32()) for name in ("part", "chunk")})
 
 
 def _segments(parts: int):
-    """Segments of shared anchors by part; those that a smaller document of the chunk holds too are removed: part -1."""
-
-    def run(chunks: pa.Table, flags: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        pool, hot, windows = (_pool(flags, name) for name in ("h", "hot", "w"))
-        if chunks.num_rows and len(pool) + len(windows):
-            c = Chunk(chunks.to_pylist()[0])
-            number = chunks.column("chunk")[0].as_py()
-            h, w0, w1, doc = c.anchors()
-            keep = _within(pool, h)
-            wh, at, _ = _hot_windows(c, h, w0, w1, doc, hot)
-            mine = np.argsort(at := at[_within(windows, wh)], kind="stable")
-            lh, l0, l1 = long_anchors(c.buf, at[mine])
-            of = np.searchsorted(c.first, l0, side="right") - 1
-            h, w0, w1, doc = (np.concatenate([x[keep], y]) for x, y in ((h, lh), (w0, l0), (w1, l1), (doc, of)))
-            size = w1 - w0 + LENGTH
-            # equal segments by their bytes, padded to one width
-            same = _same(_padded(_gather(c.buf, w0, size), size))
-            ids, start = c.ids[doc], w0 - c.first[doc]
-            order = np.lexsort((start, ids, same))
-            fresh = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]])) if len(order) else order
-            lead = np.repeat(order[fresh], np.diff([*fresh, len(order)]))
-            later = ids[order] > ids[lead]
-            gone = order[later]
-            if len(gone):
-                of, begin, stop = _merged(doc[gone], start[gone], start[gone] + size[gone])
-                rows.append((-1, number, b"", of.tobytes(), begin.tobytes(), b"", b"", b"", b"", stop.tobytes()))
-            # further places of a segment in its least document go along as aliases
-            more = ~later & (order != lead)
-            extra, extra_lead = order[more], lead[more]
-            part_of = (mix64(h) % np.uint64(parts)).astype(np.int64)
-            others = {p: x for p, x in _deal(part_of[extra_lead], extra, extra_lead)}
-            spot = np.full(len(h), -1, np.int64)
-            for part, (_, mine) in _deal(part_of[order[fresh]], order[fresh]):
-                spot[mine] = np.arange(len(mine))
-                _, places, leads = others.get(part, (None, mine[:0], mine[:0]))
-                rows.append((
-                    part, number, ids[mine].tobytes(), doc[mine].tobytes(), start[mine].tobytes(), (w1 - w0 + 1)[mine].astype(np.uint8).tobytes(),
-                    _gather(c.buf, w0[mine], size[mine]).tobytes(), np.stack([spot[leads], doc[places]], axis=1).tobytes(), start[places].tobytes(), b"",
-                ))
-        names = [x.split()[0] for x in SEGMENTS.split(", ")]
-        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.table([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(columns)], names=names)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        for row in sliced(batches, 1):
+            if len(_pool(row, "h")) + len(_pool(row, "w")):
+                out = _segments_of(row, parts)
+                yield sum(x.nbytes for x in out.values()), out
 
-    return run
+    return lambda batches: _gathered(found(batches), _deal_segments)
 
 
 def _removed_runs(data: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -452,13 +568,12 @@ def _removed_runs(data: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> tup
 
 def _sort_part(group: pa.Table) -> pa.Table:
     """What is removed in the segments of one part."""
-    get = lambda name, kind=np.int64: [np.frombuffer(b.as_buffer(), kind) for b in group.column(name)]
-    docs = get("doc")
-    counts = [len(d) for d in docs]
+    get = lambda name, kind=np.int64: _flat(group.column(name), kind)
+    doc, counts = get("doc")
     chunk = np.repeat(group.column("chunk").to_numpy(), counts).astype(np.int64)
-    doc, local, start = np.concatenate(docs), np.concatenate(get("local")), np.concatenate(get("start"))
-    windows = np.concatenate(get("windows", np.uint8)).astype(np.int64)
-    size, data = windows + LENGTH - 1, np.concatenate(get("bytes", np.uint8))
+    local, start = get("local")[0], get("start")[0]
+    windows = get("windows", np.uint8)[0].astype(np.int64)
+    size, data = windows + LENGTH - 1, get("bytes", np.uint8)[0]
     # what several chunks sent stays for its smallest document; in the others it is removed as a whole
     same = _same(_padded(data, size))
     order = np.lexsort((doc, same))
@@ -474,11 +589,11 @@ def _sort_part(group: pa.Table) -> pa.Table:
     order = np.argsort(seg, kind="stable")
     seg, begin, stop = seg[order], begin[order], stop[order]
     out = [(chunk[seg], local[seg], start[seg] + begin, start[seg] + stop)]
-    base = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    alias = [a.reshape(-1, 2) for a in get("alias")]
-    of = np.concatenate([a[:, 0] + b for a, b in zip(alias, base, strict=True)])
+    alias, width = get("alias")
+    alias = alias.reshape(-1, 2)
+    of = alias[:, 0] + np.repeat(np.cumsum(counts) - counts, width // 2)
     if len(of):
-        alias_local, alias_start = np.concatenate([a[:, 1] for a in alias]), np.concatenate(get("alias_start"))
+        alias_local, alias_start = alias[:, 1], get("alias_start")[0]
         lo, hi = np.searchsorted(seg, of), np.searchsorted(seg, of, side="right")
         times = hi - lo
         pick = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -487,24 +602,32 @@ def _sort_part(group: pa.Table) -> pa.Table:
     return _removed_rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several parts found, by chunk."""
+
+    def found() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in sliced(batches, 16):
+            yield batch.nbytes, batch
+
+    def deal(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, start, stop = (_flat(pa.chunked_array([x.column(name) for x in held]), np.int64)[0] for name in ("local", "start", "stop"))
+        yield from _removed_rows(place >> LOCAL_BITS, place & ((1 << LOCAL_BITS) - 1), start, stop).to_batches()
+
+    return _gathered(found(), deal)
+
+
 def _cut(chunks: pa.Table, removed: pa.Table) -> pa.Table:
     """(doc_id, sha, n_removed, n_spans, kept) of a chunk's documents."""
     out: list[tuple] = []
     if chunks.num_rows:
         c = Chunk(chunks.to_pylist()[0])
-        get = lambda name: np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in removed.column(name)]) if removed.num_rows else np.zeros(0, np.int64)
-        doc, start, stop = get("local"), get("start"), get("stop")
-        order = np.lexsort((start, doc))
-        doc, start, stop = doc[order], start[order], stop[order]
+        doc, start, stop = (_flat(removed.column(name), np.int64)[0] for name in ("local", "start", "stop"))
+        if len(doc):
+            doc, start, stop = _merged(doc, start, stop)
         lo, hi = np.searchsorted(doc, np.arange(len(c.ids))), np.searchsorted(doc, np.arange(len(c.ids)), side="right")
         for i, doc_id in enumerate(c.ids):
             raw = c.buf[c.first[i] : c.first[i] + c.sizes[i]]
-            spans: list[list[int]] = []
-            for a, b in zip(start[lo[i] : hi[i]].tolist(), stop[lo[i] : hi[i]].tolist(), strict=True):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
+            spans = list(zip(start[lo[i] : hi[i]].tolist(), stop[lo[i] : hi[i]].tolist(), strict=True))
             kept, at = [], 0
             for a, b in spans:
                 kept.append(raw[at:a])
@@ -538,19 +661,18 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     dealt = named.select("doc_id", "sha", "text", chunk("doc_id"))
     packed = scratch.keep(dealt.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(_pack, CHUNK_SCHEMA))
     blobs = packed.mapInArrow(_anchor_blobs(anchor_parts), BLOBS)
-    shared = scratch.keep(blobs.groupBy("part").applyInArrow(_shared(HOT_CHUNKS), FLAGS))
+    shared = scratch.keep(blobs.groupBy("part").applyInArrow(_shared(HOT_CHUNKS), SHARED).mapInArrow(_flags, FLAGS))
     sizes = shared.agg(F.sum(F.octet_length("h")).alias("h"), F.sum(F.octet_length("hot")).alias("hot")).first()
     flags, made = shared, [shared]
     if sizes.hot:
-        of_hot = shared.where(F.octet_length("hot") > 0).groupBy("chunk")
-        blobs = packed.groupBy("chunk").cogroup(of_hot).applyInArrow(_window_blobs(anchor_parts), BLOBS)
-        made.append(scratch.keep(blobs.groupBy("part").applyInArrow(_shared(None), FLAGS)))
+        blobs = _with_flags(packed, shared.where(F.octet_length("hot") > 0)).mapInArrow(_window_blobs(anchor_parts), BLOBS)
+        made.append(scratch.keep(blobs.groupBy("part").applyInArrow(_shared(None), SHARED).mapInArrow(_flags, FLAGS)))
         flags = shared.unionByName(made[1])
     parts = max(16, -(-(flags.agg(F.sum(F.octet_length("h") + F.octet_length("w"))).first()[0] or 0) * 9 // PART))
-    segments = scratch.keep(packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_segments(parts), SEGMENTS))
+    segments = scratch.keep(_with_flags(packed, flags).mapInArrow(_segments(parts), SEGMENTS))
     scratch.drop(*made)
     sorted_parts = segments.where("part >= 0").groupBy("part").applyInArrow(_sort_part, REMOVED)
-    removed = scratch.keep(sorted_parts.unionByName(segments.where("part < 0").select("chunk", "local", "start", "stop")))
+    removed = scratch.keep(sorted_parts.unionByName(segments.where("part < 0").select("chunk", "local", "start", "stop")).mapInArrow(_by_chunk, REMOVED))
     scratch.drop(segments)
     cut = packed.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(_cut, "doc_id long, sha string, n_removed long, n_spans long, kept binary")
     final = (lambda c: F.sha2(c, 256)) if digest else (lambda c: c)

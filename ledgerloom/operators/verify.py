@@ -108,3 +108,35 @@ def chain_errors(headers: DataFrame) -> DataFrame:
 def all_errors(status: DataFrame, headers: DataFrame, tx_sets: DataFrame, results: DataFrame) -> DataFrame:
     """Every check; duplicates are removed. Headers should be written or cached: they are read five times."""
     return file_errors(status, headers, tx_sets, results).union(chain_errors(headers)).distinct()
+
+
+def by_checkpoint(ledgers: DataFrame) -> DataFrame:
+    """(cp, tx, results, chain, complete, outside, first_prev_hash, last_hash): what the checks find in each checkpoint, in one pass.
+
+    ``ledgers`` are headers with ``tx`` and ``result`` beside them, the hashes of
+    the other files (null: none). No shuffle where rows are dealt by cp.
+    """
+    cp, seq = F.col("cp"), F.col("seq")
+    w = Window.partitionBy("cp").orderBy("seq")
+    follows = ledgers.withColumns({"before": F.lag("seq").over(w), "before_hash": F.lag("hash").over(w)})
+    broken = F.col("before").isNotNull() & ((F.col("before") + 1 != seq) | (F.col("before_hash") != F.col("prev_hash")))
+    inside = seq.between(first_ledger(cp), cp)
+    found = lambda bad: F.collect_list(F.when(bad, seq))
+    return follows.groupBy("cp").agg(
+        found(tx_set_mismatch(F.col("tx"), F.col("tx_set_hash"), F.col("result_hash"), F.col("prev_hash"))).alias("tx"), found(result_mismatch(F.col("result"), F.col("result_hash"))).alias("results"), found(broken).alias("chain"),
+        (F.size(F.collect_set(F.when(inside, seq))) == cp - first_ledger(cp) + 1).alias("complete"), F.bool_or(~inside).alias("outside"),
+        F.min_by("prev_hash", "seq").alias("first_prev_hash"), F.max_by("hash", "seq").alias("last_hash"),
+    )
+
+
+def errors_by_checkpoint(status: DataFrame, checked: DataFrame) -> DataFrame:
+    """The failures of :func:`all_errors` from what :func:`by_checkpoint` found. That is read three times, and has a row for each checkpoint."""
+    read = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds) & F.coalesce("parsed", F.lit(False)))
+    files = status.groupBy("cp").agg(read("ledger").alias("ledger_read"), read("transactions").alias("tx_read"), read("results").alias("results_read"))
+    both = checked.join(files, "cp", "full")
+    none, has_ledger = F.array().cast("array<bigint>"), F.col("ledger_read")
+    seqs = F.concat(*(F.when(on, F.col(name)).otherwise(none) for on, name in ((F.col("tx_read"), "tx"), (F.col("results_read"), "results"), (F.col("chain").isNotNull(), "chain"))))
+    wrong = both.select(F.explode(seqs).alias("seq"))
+    lacking = (has_ledger & F.col("cp").isNotNull() & ~F.coalesce("complete", F.lit(False))) | (~has_ledger & (F.col("tx_read") | F.col("results_read"))) | F.col("outside")
+    errors = _failures(wrong, "ledger", "seq").union(_failures(both.where(lacking), "checkpoint", "cp"))
+    return errors.union(boundary_failures(checked)).distinct()
